@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilspark.llm import language_id, lsm_dedup
+from vigilspark.llm import language_id, lsm_dedup, mixing, ngram_join, packing
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,9 +17,24 @@ def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lsm_dedup.drop_copies(docs)
 
 
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.drop_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", identify),
     ("exact_dedup", dedupe),
+    ("ngram_jaccard_join", join_near_copies),
+    ("mixing", mix),
+    ("packing", pack),
 ]
 
 #: Neither the network nor the packing can be said in SQL.

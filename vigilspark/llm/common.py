@@ -91,6 +91,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = edges.where("a is not null and b is not null").select("a", "b")
     nodes = cut(e.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     e = cut(e.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if e.isEmpty():
+        return nodes.select("node", F.col("node").alias("component"))
     seen = None
     for _ in range(max_rounds):
         # large star: every larger neighbour of u goes to the smallest of u and its neighbours

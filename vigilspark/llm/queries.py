@@ -6,27 +6,122 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, lsm_dedup
+from . import language_id, lsm_dedup, mixing, ngram_join, packing, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_pairs(_table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_order(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op4_ngram_join": op4_ngram_join,
+    "op5_packing": op5_packing,
     "op7_language_id": op7_language_id,
+    "op8_mixing": op8_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+_BLOCK = mixing.BLOCK_TOKENS
+
+
+def _met(rules: tuple[tuple[str, str], ...]) -> str:
+    said = {"url": "node = '{0}'", "host": "(host = '{0}' OR host LIKE '%.{0}')", "word": "contains(host, '{0}')"}
+    return " OR ".join(said[kind].format(value) for kind, value in rules)
+
+
+_BLOCKED, _ALLOWED = _met(url_filter.BLOCK), _met(url_filter.ALLOW)
+
+
+def _form(url: str) -> str:
+    """The normal form of a URL in SQL."""
+    u = f"regexp_replace(trim({url}), '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
+    u = f"regexp_replace({u}, '#.*$', '')"
+    u = f"regexp_replace({u}, '^[^/?@]*@', '')"
+    u = f"regexp_replace({u}, '([?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '\\1', 'g')"
+    u = f"regexp_replace({u}, '([?&])&+', '\\1', 'g')"
+    u = f"regexp_replace({u}, '[?&]+$', '')"
+    host = f"regexp_replace(regexp_replace(lower(regexp_extract({u}, '^([^/?]*)', 1)), '^(www|m)\\.', ''), ':(80|443)$', '')"
+    rest = f"regexp_replace(regexp_extract({u}, '^[^/?]*(.*)$', 1), '(/index)?\\.html?(\\?|$)', '\\2', 'g')"
+    return f"({host} || regexp_replace({rest}, '/+(\\?|$)', '\\1', 'g'))"
+
+
 ORACLES: dict[str, str] = {
+    "op1_url_filter": rf"""
+        WITH RECURSIVE links AS (
+            SELECT url, unnest([
+                regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical["'']?[^>]*>', 0), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+                regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh["'']?[^>]*>', 0), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target
+            FROM pages),
+        whole AS (
+            SELECT url, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
+                WHEN starts_with(target, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || target
+                WHEN starts_with(target, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || target END AS target
+            FROM links WHERE target <> ''),
+        one AS (SELECT {_form("url")} AS a, {_form("target")} AS b FROM whole WHERE target IS NOT NULL AND url IS NOT NULL),
+        edges AS (SELECT a, b FROM one WHERE a <> b UNION SELECT b, a FROM one WHERE a <> b),
+        nodes AS (SELECT DISTINCT {_form("url")} AS node FROM pages WHERE url IS NOT NULL AND url <> '' UNION SELECT a FROM edges),
+        reach(node, other) AS (SELECT node, node FROM nodes UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.other = e.a),
+        classes AS (SELECT node, min(other) AS resource FROM reach GROUP BY node),
+        known AS (SELECT node, resource, regexp_extract(node, '^([^/?:]*)', 1) AS host FROM classes),
+        judged AS (SELECT node, resource, ({_ALLOWED}) AS allowed, ({_BLOCKED}) AND NOT ({_ALLOWED}) AS bad FROM known),
+        bad AS (SELECT DISTINCT resource FROM judged WHERE bad)
+        SELECT page_id, url, j.resource,
+            CASE WHEN j.allowed THEN 'allow' WHEN b.resource IS NOT NULL THEN 'block' ELSE 'pass' END AS decision
+        FROM pages p LEFT JOIN judged j ON j.node = {_form("p.url")} LEFT JOIN bad b ON b.resource = j.resource
+    """,
+    "op4_ngram_join": rf"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS words FROM documents),
+        g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) END) AS gram
+              FROM w WHERE len(words) > 0),
+        n AS (SELECT doc_id, count(*) AS size FROM g GROUP BY 1),
+        c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
+        SELECT doc_a, doc_b, shared / (x.size + y.size - shared) AS jaccard
+        FROM c JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
+        WHERE shared >= {ngram_join.THRESHOLD} * (x.size + y.size - shared)
+    """,
+    "op8_mixing": rf"""
+        WITH t AS (SELECT DISTINCT doc_id, hash(text) AS h, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^ \t\n\r\f]+')), 0) AS tokens,
+                md5('{mixing.SEED}-' || coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle FROM documents),
+        s AS (SELECT source, sum(tokens) AS total FROM t GROUP BY 1 HAVING sum(tokens) > 0),
+        w AS (SELECT source, CAST((total + {_BLOCK - 1}) // {_BLOCK} AS BIGINT) AS blocks,
+                greatest(1, CAST(floor(pow(total, {mixing.POWER}) / sum(pow(total, {mixing.POWER})) OVER () * {mixing.UNIT}) AS BIGINT)) AS weight FROM s),
+        c AS (SELECT *, sum(weight) OVER (ORDER BY source) AS high, sum(weight) OVER () AS every FROM w),
+        i AS (SELECT unnest(range(CAST((SELECT max((blocks * every + weight - 1) // weight) FROM c) AS BIGINT))) AS slot),
+        p AS (SELECT slot, (slot + 1) * CAST({mixing.GOLDEN} AS DOUBLE) - floor((slot + 1) * CAST({mixing.GOLDEN} AS DOUBLE)) AS u FROM i),
+        k AS (SELECT source, blocks, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+              FROM p JOIN c ON p.u * CAST(c.every AS DOUBLE) >= c.high - c.weight AND p.u * CAST(c.every AS DOUBLE) < c.high),
+        b AS (SELECT doc_id, source, tokens,
+                coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY shuffle, doc_id, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM t)
+        SELECT b.doc_id, b.source, CAST(b.tokens AS BIGINT) AS tokens, k.slot, CAST(k.rank // k.blocks AS BIGINT) AS epoch, CAST(b.start AS BIGINT) AS start
+        FROM b JOIN k ON b.source = k.source AND least(b.start // {_BLOCK}, k.blocks - 1) = k.rank % k.blocks
+        WHERE k.rank // k.blocks < {mixing.MAX_EPOCHS}
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, keep_id, keep_id <> doc_id AS is_copy
         FROM (SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS keep_id
