@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, cut, maybe_broadcast, shuffle_partitions
 from .ngrams import mix, ngram_sets
+from .postings import PairCounts, bucket_of, key_pairs
 
 NGRAM, THRESHOLD = 3, 0.5
 #: Tokens in more documents are frequent; how many frequent tokens may be broadcast (12 bytes each).
@@ -39,10 +40,6 @@ FLUSH_TOKENS, BUCKET_POSTINGS, TASK_PAIRS = 6_000_000, 3_000_000, 20_000
 _ALWAYS = 1 << 30
 
 
-def bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    return ((tokens >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-
-
 def _keys(tokens: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket and low 32 bits: what token frequencies are counted by."""
     return bucket_of(tokens, buckets) << np.uint64(32) | (tokens & np.uint64(0xFFFFFFFF))
@@ -233,64 +230,15 @@ def _index_map(n: int, t: float, buckets: int, count_buckets: int, hot_value):
     return run
 
 
-class _Pairs:
-    """Counts of pair codes, kept small by settling now and then."""
-
-    def __init__(self, limit: int = 3_000_000):
-        self.limit, self.held, self.n = limit, [], 0
-        self.codes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def add(self, codes: np.ndarray) -> None:
-        self.held.append(codes)
-        self.n += len(codes)
-        if self.n >= self.limit:
-            self.settle()
-
-    def settle(self) -> None:
-        if not self.held:
-            return
-        codes = np.sort(np.concatenate(self.held))
-        start = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-        codes, counts = codes[start], np.diff(np.append(start, len(codes)))
-        both = np.concatenate([self.codes, codes])
-        order = np.argsort(both, kind="stable")
-        both, counts = both[order], np.concatenate([self.counts, counts])[order]
-        start = np.flatnonzero(np.r_[True, both[1:] != both[:-1]][: len(both)])
-        self.codes, self.counts = both[start], np.add.reduceat(counts, start) if len(start) else counts
-        self.held, self.n = [], 0
-        self.limit = max(self.limit, len(self.codes))
-
-
 def _posting_pairs(postings: np.ndarray, size: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """Codes (set << 32 | set) of pairs on one key that sizes allow, and how many keys each has in common."""
     code = np.sort(postings[0].astype(np.uint64) << np.uint64(32) | postings[1])
-    key, doc = code >> np.uint64(32), code & np.uint64(0xFFFFFFFF)
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    length = np.diff(np.append(start, len(key)))
-    pairs = _Pairs()
-
-    def add(a: np.ndarray, b: np.ndarray) -> None:
-        a, b = a.ravel(), b.ravel()
+    doc, pairs = code & np.uint64(0xFFFFFFFF), PairCounts()
+    for i, j in key_pairs(code >> np.uint64(32)):
+        a, b = doc[i], doc[j]
         sa, sb = size[a.astype(np.int64)], size[b.astype(np.int64)]
         fits = (np.minimum(sa, sb) >= t * np.maximum(sa, sb) - 1e-9) & (a != b)
         pairs.add(a[fits] << np.uint64(32) | b[fits])
-
-    for c in np.unique(length[length > 1]):
-        runs = start[length == c]
-        if c <= 512:
-            i, j = np.triu_indices(int(c), 1)
-            step = max(1, 1_000_000 // len(i))
-            for k in range(0, len(runs), step):
-                rows = doc[runs[k : k + step, None] + np.arange(c)]
-                add(rows[:, i], rows[:, j])
-        else:
-            for s in runs:
-                own = doc[s : s + c]
-                step = max(1, 1_000_000 // int(c))
-                for k in range(0, int(c), step):
-                    a, b = np.meshgrid(np.arange(k, min(k + step, int(c))), np.arange(int(c)), indexing="ij")
-                    above = b > a
-                    add(own[a[above]], own[b[above]])
     pairs.settle()
     return pairs.codes, pairs.counts
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, lsm_dedup, mixing, ngram_join, packing, url_filter
+from . import chat, fingerprints, language_id, lsm_dedup, mixing, ngram_join, packing, pseudonyms, shards, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.similar_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.kd_shards(_table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_pairs(_table(spark, sf_dir, "documents"))
 
@@ -25,6 +33,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -33,16 +45,24 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_order(_table(spark, sf_dir, "documents"))
 
 
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymize(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_fingerprints": op2_fingerprints,
+    "op3_sharding": op3_sharding,
     "op4_ngram_join": op4_ngram_join,
     "op5_packing": op5_packing,
+    "op6_chat_format": op6_chat_format,
     "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
+    "op9_pseudonyms": op9_pseudonyms,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -94,6 +114,28 @@ ORACLES: dict[str, str] = {
             CASE WHEN j.allowed THEN 'allow' WHEN b.resource IS NOT NULL THEN 'block' ELSE 'pass' END AS decision
         FROM pages p LEFT JOIN judged j ON j.node = {_form("p.url")} LEFT JOIN bad b ON b.resource = j.resource
     """,
+    "op3_sharding": f"""
+        WITH RECURSIVE base AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(n_chars, -1) AS d0, coalesce(doc_id, -1) AS d1,
+                coalesce(CAST('0x' || substr(md5(source), 1, 8) AS BIGINT), -1) AS d2, coalesce(CAST('0x' || substr(md5(lang), 1, 8) AS BIGINT), -1) AS d3,
+                CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS w FROM documents),
+        span AS (SELECT max(d0) - min(d0) AS s0, max(d1) - min(d1) AS s1, max(d2) - min(d2) AS s2, max(d3) - min(d3) AS s3 FROM base),
+        t AS (
+            SELECT r, doc_id, d0, d1, d2, d3, w, CAST(1 AS BIGINT) AS cell FROM base
+            UNION ALL
+            SELECT r, doc_id, d0, d1, d2, d3, w, CASE WHEN v <= edge THEN 2 * cell ELSE 2 * cell + 1 END FROM (
+                SELECT *, CASE WHEN middle = top THEN max(CASE WHEN v < top THEN v END) OVER (PARTITION BY cell) ELSE middle END AS edge FROM (
+                    SELECT *, min(CASE WHEN 2 * upto >= total THEN v END) OVER (PARTITION BY cell) AS middle, max(v) OVER (PARTITION BY cell) AS top FROM (
+                        SELECT *, sum(w) OVER (PARTITION BY cell ORDER BY v) AS upto FROM (
+                            SELECT *, CASE greatest(r0, r1, r2, r3) WHEN r0 THEN d0 WHEN r1 THEN d1 WHEN r2 THEN d2 ELSE d3 END AS v FROM (
+                                SELECT t.*, sum(w) OVER c AS total,
+                                    coalesce((max(d0) OVER c - min(d0) OVER c) / nullif(CAST(s0 AS DOUBLE), 0), 0) AS r0, coalesce((max(d1) OVER c - min(d1) OVER c) / nullif(CAST(s1 AS DOUBLE), 0), 0) AS r1,
+                                    coalesce((max(d2) OVER c - min(d2) OVER c) / nullif(CAST(s2 AS DOUBLE), 0), 0) AS r2, coalesce((max(d3) OVER c - min(d3) OVER c) / nullif(CAST(s3 AS DOUBLE), 0), 0) AS r3
+                                FROM t, span WINDOW c AS (PARTITION BY cell))
+                            WHERE total > {shards.SHARD_BYTES} AND greatest(r0, r1, r2, r3) > 0))))
+        )
+        SELECT doc_id, w AS bytes, max(cell) AS shard FROM t GROUP BY r, doc_id, w
+    """,
     "op4_ngram_join": rf"""
         WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS words FROM documents),
         g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
@@ -105,6 +147,20 @@ ORACLES: dict[str, str] = {
         FROM c JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
         WHERE shared >= {ngram_join.THRESHOLD} * (x.size + y.size - shared)
     """,
+    "op6_chat_format": """
+        WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (
+            SELECT conv_id, CASE WHEN bool_or(turn IS NULL) THEN 'turn missing' WHEN bool_or(role IS NULL) THEN 'role missing' WHEN bool_or(text IS NULL) THEN 'text missing'
+                WHEN count(DISTINCT turn) < count(*) THEN 'turn repeated' WHEN bool_or(role NOT IN ('system', 'user', 'assistant')) THEN 'role unknown'
+                WHEN NOT regexp_matches(string_agg(role, ',' ORDER BY turn), '^(system,)?user,assistant(,user,assistant)*$') THEN 'order' END AS error
+            FROM t GROUP BY conv_id),
+        g AS (SELECT t.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM t JOIN c USING (conv_id) WHERE error IS NULL)
+        SELECT conv_id, CAST(3 * k AS INTEGER) AS segment, role, '<|' || role || '|>' || chr(10) AS text, CAST(0 AS INTEGER) AS loss, CAST(NULL AS VARCHAR) AS error FROM g
+        UNION ALL SELECT conv_id, CAST(3 * k + 1 AS INTEGER), role, text, CASE role WHEN 'assistant' THEN 1 ELSE 0 END, NULL FROM g
+        UNION ALL SELECT conv_id, CAST(3 * k + 2 AS INTEGER), role, '<|end|>' || chr(10), CASE role WHEN 'assistant' THEN 1 ELSE 0 END, NULL FROM g
+        UNION ALL SELECT conv_id, CAST(3 * n AS INTEGER), NULL, '<|done|>', 1, NULL FROM g WHERE k = 0
+        UNION ALL SELECT conv_id, -1, NULL, NULL, NULL, error FROM c WHERE error IS NOT NULL
+    """,
     "op8_mixing": rf"""
         WITH t AS (SELECT DISTINCT doc_id, hash(text) AS h, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^ \t\n\r\f]+')), 0) AS tokens,
                 md5('{mixing.SEED}-' || coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle FROM documents),
