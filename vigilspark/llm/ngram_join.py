@@ -36,7 +36,7 @@ NGRAM, THRESHOLD = 3, 0.5
 FREQUENT, FREQUENT_TOKENS = 64, 2_000_000
 #: Part of a set by which its prefix is extended; largest set whose frequent tokens are combined.
 EXTENSION, COMBINED_SIZE = 0.15, 64
-FLUSH_TOKENS, BUCKET_POSTINGS, TASK_PAIRS = 6_000_000, 3_000_000, 20_000
+FLUSH_TOKENS, BUCKET_POSTINGS, TASK_PAIRS = 2_000_000, 1_500_000, 20_000
 _ALWAYS = 1 << 30
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from .arrow_text import spans, utf8
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

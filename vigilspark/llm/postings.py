@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-PIECE = 1_000_000
+PIECE = 400_000
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -38,7 +38,7 @@ def key_pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 class PairCounts:
     """Counts of pair codes, settled now and then so that repeats take no room."""
 
-    def __init__(self, limit: int = 3_000_000):
+    def __init__(self, limit: int = 1_500_000):
         self.limit, self.held, self.n = limit, [], 0
         self.codes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
