@@ -146,7 +146,8 @@ def _post(buckets: int):
             if len(own):
                 docs, local = np.unique(owner[own], return_inverse=True)
                 blob = np.stack([(keys[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32), local.astype(np.uint32)])
-                yield {"bucket": b, "docs": np.stack([ids[docs], bits[docs], size[docs]]).tobytes(), "postings": blob.tobytes(), "before": before[own].astype(np.uint8).tobytes()}
+                meta = np.stack([bits[docs], size[docs]]).astype(np.uint8)
+                yield {"bucket": b, "docs": ids[docs].tobytes(), "meta": meta.tobytes(), "postings": blob.tobytes(), "before": before[own].astype(np.uint8).tobytes()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
@@ -155,23 +156,24 @@ def _post(buckets: int):
                 held.append(b)
                 n += len(b)
                 if n >= 100_000:
-                    yield pd.DataFrame(flush(held), columns=["bucket", "docs", "postings", "before"])
+                    yield pd.DataFrame(flush(held), columns=["bucket", "docs", "meta", "postings", "before"])
                     held, n = [], 0
             if n:
-                yield pd.DataFrame(flush(held), columns=["bucket", "docs", "postings", "before"])
+                yield pd.DataFrame(flush(held), columns=["bucket", "docs", "meta", "postings", "before"])
 
     return run
 
 
 def _pair(min_score: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        tables, blobs, shift = [], [], 0
-        for docs, postings in zip(rows["docs"], rows["postings"]):
-            table, blob = np.frombuffer(docs, np.int64).reshape(3, -1), np.frombuffer(postings, np.uint32).reshape(2, -1)
-            tables.append(table)
+        tables, metas, blobs, shift = [], [], [], 0
+        for docs, meta, postings in zip(rows["docs"], rows["meta"], rows["postings"]):
+            blob = np.frombuffer(postings, np.uint32).reshape(2, -1)
+            tables.append(np.frombuffer(docs, np.int64))
+            metas.append(np.frombuffer(meta, np.uint8).reshape(2, -1))
             blobs.append(np.stack([blob[0], blob[1] + np.uint32(shift)]))
-            shift += table.shape[1]
-        ids, bits, size = np.concatenate(tables, 1)
+            shift += len(tables[-1])
+        ids, (bits, size) = np.concatenate(tables), np.concatenate(metas, 1).astype(np.int64)
         postings, before = np.concatenate(blobs, 1), np.concatenate([np.frombuffer(x, np.uint8) for x in rows["before"]])
         order = np.argsort(postings[0], kind="stable")
         key, doc, before = postings[0][order], postings[1][order].astype(np.int64), before[order]
@@ -193,11 +195,12 @@ def _pair(min_score: int):
 def _matches(reps: DataFrame, min_score: int) -> DataFrame:
     """(a, b, score) of different fingerprints, a < b."""
     spark = reps.sparkSession
-    sigs = cut(reps.select("id", "bits", F.col("one").alias("sig")).union(reps.select("id", F.col("bits") + 1, "two")))
+    sigs = reps.select("id", F.explode(F.array(F.struct("bits", F.col("one").alias("sig")), F.struct((F.col("bits") + 1).alias("bits"), F.col("two").alias("sig")))).alias("s")).select("id", "s.*")
     count = sigs.agg(F.sum(F.greatest(F.length("sig") - COMMON + 1, F.lit(0)))).first()[0] or 0
     buckets = max(shuffle_partitions(spark) // 4, math.ceil(count / BUCKET_POSTINGS), 1)
-    posted = sigs.mapInPandas(_post(buckets), "bucket long, docs binary, postings binary, before binary")
-    found = posted.groupBy("bucket").applyInPandas(_pair(min_score), "a long, b long, bits long").distinct()
+    posted = sigs.mapInPandas(_post(buckets), "bucket long, docs binary, meta binary, postings binary, before binary")
+    # one exchange serves both the pairs' distinctness and the first join
+    found = posted.groupBy("bucket").applyInPandas(_pair(min_score), "a long, b long, bits long").repartition("a", "bits").distinct()
     found = found.join(sigs.select(F.col("id").alias("a"), "bits", F.col("sig").alias("sa")), ["a", "bits"])
     found = found.join(sigs.select(F.col("id").alias("b"), "bits", F.col("sig").alias("sb")), ["b", "bits"])
     longer = F.greatest(F.length("sa"), F.length("sb"))
@@ -221,13 +224,15 @@ def similar_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     rows = one_row_per_id(docs, id_col, text_col)
     prints = cut(rows.mapInArrow(_map, "id long, bits long, one string, two string"))
-    groups = prints.groupBy("bits", "one", "two").agg(F.min("id").alias("same_as"))
-    prints = cut(prints.join(groups, ["bits", "one", "two"]))
-    reps = prints.where("id = same_as and length(one) > 0")
+    # equal fingerprints meet by 128 bits of hash: the signatures themselves aren't shuffled for it
+    keyed = prints.select("id", F.xxhash64("bits", "one", "two").alias("h1"), F.xxhash64(F.lit("second half"), "two", "one", "bits").alias("h2"))
+    groups = keyed.groupBy("h1", "h2").agg(F.min("id").alias("same_as"))
+    same = cut(keyed.join(groups, ["h1", "h2"]).select("id", "same_as"))
+    reps = cut(prints.where("length(one) > 0").join(same.where("id = same_as"), "id", "left_semi"))
     pairs = cut(_matches(reps, min_score))
     both = pairs.union(pairs.select("b", "a", "score"))
     lists = both.groupBy(F.col("a").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("b").alias("doc_id"), "score"))).alias("found"))
     none = F.array().cast("array<struct<doc_id:bigint,score:int>>")
-    return prints.join(lists, "id", "left").select(
+    return prints.join(same, "id").join(lists, "id", "left").select(
         F.col("id").alias("doc_id"), F.pow(F.lit(2), "bits").cast("long").alias("block_size"), F.col("one").alias("signature"), F.col("two").alias("signature_double"), "same_as", F.coalesce("found", none).alias("matches")
     )
