@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blobs import expand, squeeze
 from .common import connected_components, cut, maybe_broadcast, shuffle_partitions
 from .ngrams import mix, ngram_sets
 from .postings import PairCounts, bucket_of, key_pairs
@@ -37,7 +38,6 @@ FREQUENT, FREQUENT_TOKENS = 64, 2_000_000
 #: Part of a set by which its prefix is extended; largest set whose frequent tokens are combined.
 EXTENSION, COMBINED_SIZE = 0.15, 64
 FLUSH_TOKENS, BUCKET_POSTINGS, TASK_PAIRS = 2_000_000, 1_500_000, 20_000
-_ALWAYS = 1 << 30
 
 
 def _keys(tokens: np.ndarray, buckets: int) -> np.ndarray:
@@ -87,7 +87,7 @@ def _count_map(n: int, buckets: int):
             part, many = slice(edge[b], edge[b + 1]), counts[edge[b] : edge[b + 1]] > 1
             own = np.flatnonzero(home == b)
             yield {
-                "bucket": b, "once": low[part][~many].tobytes(), "more": low[part][many].tobytes(), "times": counts[part][many].astype(np.uint32).tobytes(),
+                "bucket": b, "once": squeeze(low[part][~many], True), "more": squeeze(low[part][many], True), "times": squeeze(counts[part][many].astype(np.uint32)),
                 "docs": np.stack([ids[own], d1[own].view(np.int64), d2[own].view(np.int64), size[own]]).tobytes(),
             }
 
@@ -117,8 +117,9 @@ def _count_map(n: int, buckets: int):
 def _count_reduce(frequent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         b = int(rows["bucket"].iloc[0])
-        keys = np.concatenate([np.frombuffer(x, np.uint32) for c in ("once", "more") for x in rows[c]])
-        times = np.concatenate([np.ones(sum(len(x) // 4 for x in rows["once"]), np.uint32), *(np.frombuffer(x, np.uint32) for x in rows["times"])])
+        once = np.concatenate([expand(x) for x in rows["once"]])
+        keys = np.concatenate([once, *(expand(x) for x in rows["more"])])
+        times = np.concatenate([np.ones(len(once), np.uint32), *(expand(x) for x in rows["times"])])
         code = np.sort(keys.astype(np.uint64) << np.uint64(32) | times)
         key, start = np.unique(code >> np.uint64(32), return_index=True)
         df = np.add.reduceat(code & np.uint64(0xFFFFFFFF), start) if len(code) else np.zeros(0, np.uint64)
@@ -188,7 +189,7 @@ def _combined(frequent: np.ndarray, rare: int, size: int, t: float) -> np.ndarra
 
 
 def _index_map(n: int, t: float, buckets: int, count_buckets: int, hot_value):
-    schema = pa.schema([("bucket", pa.int64()), ("kind", pa.int64()), ("docs", pa.binary()), ("postings", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("kind", pa.int64()), *((c, pa.binary()) for c in ("docs", "sizes", "keys", "owners"))])
 
     def post(kind: int, tokens: np.ndarray, owner: np.ndarray, table: np.ndarray) -> Iterator[pa.RecordBatch]:
         home = bucket_of(tokens, buckets)
@@ -198,8 +199,9 @@ def _index_map(n: int, t: float, buckets: int, count_buckets: int, hot_value):
             own = order[edge[b] : edge[b + 1]]
             if len(own):
                 docs, local = np.unique(owner[own], return_inverse=True)
-                blob = np.stack([(tokens[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32), local.astype(np.uint32)])
-                yield pa.RecordBatch.from_pylist([{"bucket": b, "kind": kind, "docs": np.ascontiguousarray(table[:, docs]).tobytes(), "postings": blob.tobytes()}], schema)
+                part = table[:, docs]
+                row = {"bucket": b, "kind": kind, "docs": squeeze(part[0], True), "sizes": squeeze(part[1:].astype(np.uint32)), "keys": squeeze((tokens[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), "owners": squeeze(local.astype(np.uint32), True)}
+                yield pa.RecordBatch.from_pylist([row], schema)
 
     def flush(ids: list, sets: list) -> Iterator[pa.RecordBatch]:
         size = np.array([len(s) for s in sets], np.int64)
@@ -243,30 +245,45 @@ def _posting_pairs(postings: np.ndarray, size: np.ndarray, t: float) -> tuple[np
     return pairs.codes, pairs.counts
 
 
-def _index_reduce(t: float):
+def _index_reduce(t: float, homes: int):
+    """Pairs of a bucket, those of each home as one row: ends, keys in common, and how many the lemma asks for."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        tables, blobs, shift = [], [], 0
-        for docs, postings in zip(rows["docs"], rows["postings"]):
-            table = np.frombuffer(docs, np.int64).reshape(3, -1)
-            blob = np.frombuffer(postings, np.uint32).reshape(2, -1)
-            tables.append(table)
-            blobs.append(np.stack([blob[0], blob[1] + np.uint32(shift)]))
-            shift += table.shape[1]
-        ids, size, reach = np.concatenate(tables, 1)
-        del tables
-        postings = np.concatenate(blobs, 1)
-        del blobs
+        ids = [expand(x) for x in rows["docs"]]
+        shift = np.cumsum([0, *map(len, ids)]).astype(np.uint32)
+        postings = np.stack([np.concatenate([expand(x) for x in rows["keys"]]), np.concatenate([expand(x) + d for x, d in zip(rows["owners"], shift)])])
+        size, reach = np.concatenate([expand(x).reshape(2, -1) for x in rows["sizes"]], 1).astype(np.int64)
+        ids = np.concatenate(ids)
         codes, counts = _posting_pairs(postings, size, t)
         a, b = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        del codes
         k = _extra(size, t)
         need = np.maximum(1, np.minimum(k[a], k[b]) - np.minimum(reach[a], reach[b]))
         if rows["kind"].iloc[0] == 1:
-            counts = np.full(len(codes), _ALWAYS)
-        return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "n": counts, "need": need})
+            counts = need  # a combination in common is enough
+        a, b = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+        with np.errstate(over="ignore"):
+            home = bucket_of(mix(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)), homes)
+        order = np.lexsort((b, a, home))
+        a, b, home = a[order], b[order], home[order]
+        counts, need = np.minimum(counts, need)[order].astype(np.uint32), need[order].astype(np.uint32)
+        edge = np.append(np.flatnonzero(np.r_[True, home[1:] != home[:-1]][: len(home)]), len(home))
+        out = [(int(home[i]), squeeze(a[i:j], True), squeeze(b[i:j]), squeeze(counts[i:j]), squeeze(need[i:j])) for i, j in zip(edge[:-1], edge[1:])]
+        return pd.DataFrame(out, columns=["home", "a", "b", "n", "need"])
 
     return run
 
 
+def _candidates(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one home whose keys in common, over all buckets, are as many as asked for."""
+    a, b, n, need = (np.concatenate([expand(x) for x in rows[c]]) for c in ("a", "b", "n", "need"))
+    order = np.lexsort((b, a))
+    a, b, n, need = a[order], b[order], n[order], need[order]
+    start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+    enough = np.add.reduceat(n, start, dtype=np.int64) >= np.maximum.reduceat(need, start)
+    return pd.DataFrame({"a": a[start][enough], "b": b[start][enough]})
+
+
 # -- verification
 
 
@@ -323,9 +340,9 @@ def _group_pairs(docs: DataFrame, id_col: str, text_col: str, n: int, t: float,
     buckets = max(count_buckets // 4, math.ceil((1 - t + EXTENSION) * total / BUCKET_POSTINGS), 1)
     copies = maybe_broadcast(groups.where("id != rep").select("id"))
     distinct = rows.join(copies, "id", "left_anti")
-    index = distinct.mapInArrow(_index_map(n, t, buckets, count_buckets, hot_value), "bucket long, kind long, docs binary, postings binary")
-    found = index.groupBy("bucket", "kind").applyInPandas(_index_reduce(t), "a long, b long, n long, need long")
-    candidates = cut(found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b"))
+    index = distinct.mapInArrow(_index_map(n, t, buckets, count_buckets, hot_value), "bucket long, kind long, docs binary, sizes binary, keys binary, owners binary")
+    found = index.groupBy("bucket", "kind").applyInPandas(_index_reduce(t, count_buckets), "home long, a binary, b binary, n binary, need binary")
+    candidates = cut(found.groupBy("home").applyInPandas(_candidates, "a long, b long"))
 
     # a pair is verified where the hub of its first end is, so that a set travels once or a few times, not once a pair
     ends = candidates.union(candidates.select("b", "a"))
