@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .oracles import ORACLES
+from .queries import QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-FLAGSHIP = "threat_levels"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+FLAGSHIP = "o126_threat_levels"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
