@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import spans, utf8
+from .blobs import expand, squeeze
 from .common import cut, shuffle_partitions
 from .ngram_join import one_row_per_id
 from .ngrams import mix
@@ -145,9 +146,9 @@ def _post(buckets: int):
             own = order[edge[b] : edge[b + 1]]
             if len(own):
                 docs, local = np.unique(owner[own], return_inverse=True)
-                blob = np.stack([(keys[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32), local.astype(np.uint32)])
                 meta = np.stack([bits[docs], size[docs]]).astype(np.uint8)
-                yield {"bucket": b, "docs": ids[docs].tobytes(), "meta": meta.tobytes(), "postings": blob.tobytes(), "before": before[own].astype(np.uint8).tobytes()}
+                low = (keys[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                yield {"bucket": b, "docs": squeeze(ids[docs], True), "meta": squeeze(meta), "keys": squeeze(low), "owners": squeeze(local.astype(np.uint32), True), "before": squeeze(before[own].astype(np.uint8))}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
@@ -156,27 +157,23 @@ def _post(buckets: int):
                 held.append(b)
                 n += len(b)
                 if n >= 100_000:
-                    yield pd.DataFrame(flush(held), columns=["bucket", "docs", "meta", "postings", "before"])
+                    yield pd.DataFrame(flush(held), columns=["bucket", "docs", "meta", "keys", "owners", "before"])
                     held, n = [], 0
             if n:
-                yield pd.DataFrame(flush(held), columns=["bucket", "docs", "meta", "postings", "before"])
+                yield pd.DataFrame(flush(held), columns=["bucket", "docs", "meta", "keys", "owners", "before"])
 
     return run
 
 
 def _pair(min_score: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        tables, metas, blobs, shift = [], [], [], 0
-        for docs, meta, postings in zip(rows["docs"], rows["meta"], rows["postings"]):
-            blob = np.frombuffer(postings, np.uint32).reshape(2, -1)
-            tables.append(np.frombuffer(docs, np.int64))
-            metas.append(np.frombuffer(meta, np.uint8).reshape(2, -1))
-            blobs.append(np.stack([blob[0], blob[1] + np.uint32(shift)]))
-            shift += len(tables[-1])
-        ids, (bits, size) = np.concatenate(tables), np.concatenate(metas, 1).astype(np.int64)
-        postings, before = np.concatenate(blobs, 1), np.concatenate([np.frombuffer(x, np.uint8) for x in rows["before"]])
-        order = np.argsort(postings[0], kind="stable")
-        key, doc, before = postings[0][order], postings[1][order].astype(np.int64), before[order]
+        ids = [expand(x) for x in rows["docs"]]
+        shift = np.cumsum([0, *map(len, ids)])
+        bits, size = np.concatenate([expand(x).reshape(2, -1) for x in rows["meta"]], 1).astype(np.int64)
+        ids, key = np.concatenate(ids), np.concatenate([expand(x) for x in rows["keys"]])
+        doc, before = np.concatenate([expand(x).astype(np.int64) + d for x, d in zip(rows["owners"], shift)]), np.concatenate([expand(x) for x in rows["before"]])
+        order = np.argsort(key, kind="stable")
+        key, doc, before = key[order], doc[order], before[order]
         pairs = PairCounts()
         for i, j in key_pairs(key):
             a, b = doc[i], doc[j]
@@ -198,7 +195,7 @@ def _matches(reps: DataFrame, min_score: int) -> DataFrame:
     sigs = reps.select("id", F.explode(F.array(F.struct("bits", F.col("one").alias("sig")), F.struct((F.col("bits") + 1).alias("bits"), F.col("two").alias("sig")))).alias("s")).select("id", "s.*")
     count = sigs.agg(F.sum(F.greatest(F.length("sig") - COMMON + 1, F.lit(0)))).first()[0] or 0
     buckets = max(shuffle_partitions(spark) // 4, math.ceil(count / BUCKET_POSTINGS), 1)
-    posted = sigs.mapInPandas(_post(buckets), "bucket long, docs binary, meta binary, postings binary, before binary")
+    posted = sigs.mapInPandas(_post(buckets), "bucket long, docs binary, meta binary, keys binary, owners binary, before binary")
     # one exchange serves both the pairs' distinctness and the first join
     found = posted.groupBy("bucket").applyInPandas(_pair(min_score), "a long, b long, bits long").repartition("a", "bits").distinct()
     found = found.join(sigs.select(F.col("id").alias("a"), "bits", F.col("sig").alias("sa")), ["a", "bits"])
