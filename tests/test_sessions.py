@@ -83,7 +83,7 @@ def test_labels_of_the_cases(spark):
 
 @pytest.mark.parametrize("chain", catalog.CHAINS, ids=lambda c: "+".join(sorted(c)))
 def test_chains(spark, chain):
-    one = {"Discovery": "uname", "Persistence": "crontab -l", "Execution": "./x", "Impact": "mkfs x", "Privilege Escalation": "chown a b", "Command and Control": "tftp a", "Credential Access": "cat /etc/shadow", "Resource Hijacking": "minerd"}
+    one = {"Discovery": "uname", "Persistence": "crontab -l", "Execution": "./x", "Impact": "mkfs x", "Privilege Escalation": "chown a b", "Command and Control": "tftp a", "Credential Access": "useradd a", "Resource Hijacking": "minerd"}
     r = label(spark, *commands(*[one[t] for t in chain]))
     assert r["kill_chain_detected"] and r["level"] == 1 and set(r["all_tactics"]) == chain
 
