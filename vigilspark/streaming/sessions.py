@@ -26,7 +26,7 @@ def _row(key: tuple, seg: int, s: list, closed: bool, duration: float | None) ->
     }
 
 
-def _step(timeout_ms: int):
+def _step(timeout_ms: int | None):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else (0, *_EMPTY)
         seg, s = held[0], [*held[1:]]
@@ -48,7 +48,7 @@ def _step(timeout_ms: int):
                 out.append(_row(key, seg, s, True, None if pd.isna(duration) else float(duration)))
                 seg, s = seg + 1, [*_EMPTY[:-1], []]
         state.update((seg, *s))
-        if s[2]:
+        if s[2] and timeout_ms is not None:
             state.setTimeoutDuration(timeout_ms)
         if out:
             yield pd.DataFrame(out)
@@ -56,11 +56,14 @@ def _step(timeout_ms: int):
     return step
 
 
-def stream_sessions(events: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
-    """Sessions of a streaming ``events`` as they end. A session without events for ``timeout_ms`` comes out unclosed.
+def stream_sessions(events: DataFrame, timeout_ms: int | None = None) -> DataFrame:
+    """Sessions of a streaming ``events`` as they end. With ``timeout_ms``, a session without events for so long comes out unclosed.
+
+    A timeout keeps a query running: use it with a trigger by processing time, as a run over what is
+    available now would never end.
 
     Events of a key are ordered by ``seq`` within a micro-batch; across batches arrival counts, as it
     does for a reader of growing files. The number of closed sessions of a key is kept, so ``seg`` goes on.
     """
     slim = events.select("location", "session", "seq", "kind", F.unix_micros("ts").alias("us"), "input", "duration")
-    return slim.groupBy("location", "session").applyInPandasWithState(_step(timeout_ms), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return slim.groupBy("location", "session").applyInPandasWithState(_step(timeout_ms), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
