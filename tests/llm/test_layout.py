@@ -121,6 +121,35 @@ def test_every_source_is_used_whole_once(docs):
     assert set(first) == want and set(first.values()) == {1}
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_every_document_has_an_epoch_0_by_default(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    plan = mixing.mixed_order(docs).collect()
+    first = Counter(r["doc_id"] for r in plan if r["epoch"] == 0)
+    want = {r["doc_id"] for r in docs.collect()}
+    assert set(first) == want and set(first.values()) == {1}
+    assert {r["doc_id"] for r in mixing.mix_documents(docs).select("doc_id").collect()} == want
+
+
+@pytest.mark.parametrize("small", [100, 500])
+def test_schedule_ends_where_the_last_source_is_whole(spark, small):
+    from fractions import Fraction
+
+    rows = [(i, "w " * 1000, f"s{i % 9}") for i in range(900)] + [(1000, "w " * small, "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sources = mixing.weighted(mixing.token_rows(d, "doc_id", "text", "source", 1).groupBy("source").agg({"tokens": "sum"}).toDF("source", "total"), None, 8192).collect()
+    expected = max(-(-r["blocks"] * r["all"] // r["weight"]) for r in sources)
+    left, slot = {r["source"]: r["blocks"] for r in sources}, 0
+    while any(v > 0 for v in left.values()) or slot < expected:
+        u = (slot + 1) * mixing.GOLDEN % 1.0
+        at = Fraction(u) * sources[0]["all"]
+        left[next(r["source"] for r in sources if r["low"] <= at < r["high"])] -= 1
+        slot += 1
+    plan = mixing.schedule(d, max_epochs=10**6).collect()
+    assert max(r["slot"] for r in plan) == slot - 1
+    assert {r["id"] for r in plan} == {r[0] for r in rows}
+
+
 def test_prefixes_are_close_to_the_weights(spark):
     rows = [(i, "w " * 50, "abc"[i % 3]) for i in range(600)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")

@@ -45,31 +45,54 @@ def weighted(totals: DataFrame, targets: dict[str, float] | None, block: int) ->
     return rows.select("source", F.expr(f"(total + {block - 1}) div {block}").alias("blocks"), "weight", (high - F.col("weight")).alias("low"), high.alias("high"), F.sum("weight").over(every).alias("all"))
 
 
+def _slots(sources: DataFrame, first: int, end: int) -> DataFrame:
+    """(slot, columns of sources) of the slots first .. end - 1, each with the source on whose interval its point falls."""
+    point = F.col("id") + 1
+    slots = sources.sparkSession.range(first, end).select(F.col("id").alias("slot"), (point * GOLDEN - F.floor(point * GOLDEN)).alias("u"))
+    # interval join by cells of the unit interval: a source lies in its cells and no others
+    cells = sources.withColumn("cell", F.explode(F.sequence(F.expr(f"low * {_CELLS} div all"), F.expr(f"(high - 1) * {_CELLS} div all + 1"))))
+    at = F.col("u") * F.col("all")
+    return slots.withColumn("cell", F.floor(F.col("u") * _CELLS)).join(maybe_broadcast(cells), "cell").where((at >= F.col("low")) & (at < F.col("high"))).drop("cell", "u")
+
+
+def _whole_length(sources: DataFrame) -> int:
+    """Slots until each source is expected to have as many as blocks and does have them; 0 without sources."""
+    length = sources.agg(F.max(F.expr("(blocks * all + weight - 1) div weight"))).first()[0] or 0
+    got = _slots(sources, 0, length).groupBy("source").agg(F.count(F.lit(1)).alias("got"))
+    short = cut(sources.join(got, "source", "left").withColumn("left", F.col("blocks") - F.coalesce("got", F.lit(0))).where("left > 0"))
+    number, end, gap = short.count(), length, 3
+    while number:
+        # n points in a row leave no gap of 2 / n: gap * all / weight slots meet a source; twice as many should rounding be in the way
+        reach = short.withColumn("reach", F.expr(f"{length} + left * ({gap} * all div weight + 1)"))
+        more = _slots(reach, length, reach.agg(F.max("reach")).first()[0]).where("slot < reach")
+        more = more.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("slot"))).where("nth = left")
+        last, found = more.agg(F.max("slot"), F.count(F.lit(1))).first()
+        if found == number:
+            end = last + 1
+            break
+        gap *= 2
+    return end
+
+
 def schedule(docs: DataFrame, targets: dict[str, float] | None = None, block: int = BLOCK_TOKENS, seed: int = SEED, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, h, source, tokens, slot, epoch, start): where each document goes; h is the hash of its text.
 
-    The schedule is as long as it takes every source to be used whole at least once; sources of more
-    weight than share are repeated, up to ``max_epochs`` times. With ``targets``, sources that it
+    The schedule is as long as it takes every source to be used whole at least once: as long as is
+    expected by the weights, or to the slot at which the last source has one for each of its blocks
+    where points fall late. Sources of more weight than share are repeated, up to ``max_epochs`` times. With ``targets``, sources that it
     doesn't name or gives nothing are left out. A block is a stretch of ``block`` tokens of its
     source's stream; a document belongs to the block in which it starts, one without tokens to that
     of the document before it. Null sources are the source '', null texts have no tokens, null
     identifiers are shuffled as ''. An empty table, or one without tokens, gives no rows.
     """
-    spark = docs.sparkSession
     rows = cut(token_rows(docs, id_col, text_col, source_col, seed))
     sources = cut(weighted(rows.groupBy("source").agg(F.sum("tokens").alias("total")), targets, block))
-    length = sources.agg(F.max(F.expr("(blocks * all + weight - 1) div weight"))).first()[0] or 0
     order = [F.col(c) for c in ("shuffle", "id", "h", "tokens")]
     placed = running_total(rows.where("tokens >= 0"), ["source"], order, F.substring("shuffle", 1, 2), "tokens", "start")
     known = maybe_broadcast(sources.select("source", "blocks"))
     placed = placed.join(known, "source").withColumn("block", F.least(F.expr(f"start div {block}"), F.col("blocks") - 1))
 
-    point = F.col("id") + 1
-    slots = spark.range(length).select(F.col("id").alias("slot"), (point * GOLDEN - F.floor(point * GOLDEN)).alias("u"))
-    # interval join by cells of the unit interval: a source lies in its cells and no others
-    cells = sources.select("source", "blocks", "low", "high", "all", F.explode(F.sequence(F.expr(f"low * {_CELLS} div all"), F.expr(f"(high - 1) * {_CELLS} div all + 1"))).alias("cell"))
-    at = F.col("u") * F.col("all")
-    slots = slots.withColumn("cell", F.floor(F.col("u") * _CELLS)).join(maybe_broadcast(cells), "cell").where((at >= F.col("low")) & (at < F.col("high")))
+    slots = _slots(sources, 0, _whole_length(sources))
     slots = ranked(slots.select("source", "blocks", "slot"), ["source"], [F.col("slot")], F.expr(f"slot div {_SLOTS_A_CHUNK}"), "rank")
     slots = slots.select("source", "slot", F.expr("rank % blocks").alias("block"), F.expr("rank div blocks").alias("epoch")).where(F.col("epoch") < max_epochs)
     return placed.join(slots, ["source", "block"]).select("id", "h", "source", "tokens", "slot", "epoch", "start")
