@@ -137,6 +137,16 @@ def test_equal_values_stay_linked_across_documents(spark):
     assert got[1] == got[2] != got[3]
 
 
+@pytest.mark.parametrize("local", ["ab" * 32, "Jane.Doe99" + "x7" * 45, "a" * 63 + "." + "b" * 63 + "+" + "c" * 70])
+def test_a_long_local_part_is_replaced_from_its_beginning(local):
+    there, back = pseudonyms.Pseudonymizer("k"), pseudonyms.Pseudonymizer("k", inverse=True)
+    text = f"to ..{local}@example.org, b@x.com"
+    new, found = there.text(text)
+    assert found == {"email": 2} and back.text(new)[0] == text
+    one = new.split("..")[1].split("@")[0]
+    assert len(one) == len(local) and all(one[k : k + 20] != local[k : k + 20] for k in range(len(local) - 20))
+
+
 def test_pseudonyms_against_one_text_at_a_time(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     p = pseudonyms.Pseudonymizer()

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 KEY = "set a secret of your own"
 ROUNDS = 8
+#: Characters of a local part that are permuted as one number.
+LOCAL_PIECE = 64
 KINDS = ("card", "phone", "ssn", "ip", "date", "iban", "email")
 
 
@@ -175,7 +177,9 @@ class Pseudonymizer:
 
     def email(self, s: str) -> str | None:
         local, _, domain = s.rpartition("@")
-        return f"{self._mixed('email ' + domain.lower(), local)}@{domain}"
+        # pieces from the end, so that the numbers stay short however long the text
+        pieces = [local[max(0, k - LOCAL_PIECE) : k] for k in range(len(local), 0, -LOCAL_PIECE)]
+        return f"{''.join(self._mixed('email ' + domain.lower(), x) for x in reversed(pieces))}@{domain}"
 
     def _mixed(self, kind: str, s: str) -> str:
         """Letters and digits permuted together as one number of mixed base; anything else stays."""
@@ -203,7 +207,7 @@ class Pseudonymizer:
         spans: list[tuple[int, int, str]] = []
         if "@" in text:
             for m in _AT.finditer(text):
-                left, right = _LOCAL.search(text, max(0, m.start() - 64), m.start()), _DOMAIN.match(text, m.end())
+                left, right = _LOCAL.search(text, _local_from(text, m.start()), m.start()), _DOMAIN.match(text, m.end())
                 if left and right:
                     spans.append((left.start(), right.end(), "email"))
         if _DIGIT.search(text):
@@ -238,6 +242,7 @@ class Pseudonymizer:
 
 _DIGIT, _AT = re.compile(r"[0-9]"), re.compile(r"@")
 _LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*$")
+_LOCAL_MORE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _CHUNK = re.compile(r"[+(0-9][0-9()+./ -]*[0-9]")
@@ -251,6 +256,14 @@ _VALUE = re.compile(
 )
 
 
+def _local_from(text: str, end: int) -> int:
+    """Where the characters of a local part begin that go up to ``end``, or up to a line's end just before it."""
+    at = end - 1 if text[end - 1 : end] == "\n" else end
+    while at and text[at - 1] in _LOCAL_MORE:
+        at -= 1
+    return at
+
+
 def _inside(text: str, m: re.Match) -> bool:
     """Whether the match is a part of something longer: a word, a number, a version."""
     before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
