@@ -1,4 +1,4 @@
-"""Sessions from a stream of events: they end with a close event, or when nothing came for a while."""
+"""Sessions from a stream of events: they end with a close event or, if a timeout is given, when nothing came for so long."""
 
 from __future__ import annotations
 
