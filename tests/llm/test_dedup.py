@@ -44,7 +44,7 @@ def test_a_repeated_row_stays_once(spark):
 def test_empty_tables(none):
     assert lsm_dedup.exact_groups(none).count() == lsm_dedup.drop_copies(none).count() == 0
     assert fingerprints.similar_fingerprints(none).count() == 0
-    assert ngram_join.similar_pairs(none).count() == ngram_join.drop_near_copies(none).count() == 0
+    assert ngram_join.similar_pairs(none).count() == ngram_join.near_groups(none).count() == ngram_join.drop_near_copies(none).count() == 0
 
 
 def test_small_memtables_give_the_same(docs):
@@ -114,11 +114,12 @@ def _levenshtein(a: str, b: str) -> int:
     return row[-1]
 
 
-def _score(a: dict, b: dict) -> int:
+def _score(a: dict, b: dict, gate: bool = True) -> int:
     best = 0
     for k1, s1 in a.items():
         s2 = b.get(k1, "")
-        if any(s1[i : i + 7] in s2 for i in range(len(s1) - 6)):
+        run = fingerprints.COMMON_SHORT if min(len(s1), len(s2)) <= fingerprints.SHORT else fingerprints.COMMON
+        if s1 and s2 and (not gate or any(s1[i : i + run] in s2 for i in range(len(s1) - run + 1))):
             longer = max(len(s1), len(s2))
             best = max(best, 100 * (longer - _levenshtein(s1, s2)) // longer)
     return best
@@ -140,16 +141,21 @@ def test_fingerprints_against_every_pair(spark, docs):
         groups.setdefault(tuple(sorted(sigs[i].items())), i)
     assert all(r["same_as"] == groups[tuple(sorted(sigs[i].items()))] for i, r in rows.items())
     reps = sorted(set(groups.values()))
-    for i in reps:
-        want = [(j, s) for j in reps if j != i and len(sigs[i]) and (s := _score(sigs[i], sigs[j])) >= fingerprints.MIN_SCORE]
-        assert [(m["doc_id"], m["score"]) for m in rows[i]["matches"]] == want, i
+    scores = {(i, j): s for i in reps for j in reps if i < j and (s := _score(sigs[i], sigs[j])) >= fingerprints.MIN_SCORE}
+    assert {(r["doc_a"], r["doc_b"]): r["score"] for r in fingerprints.fingerprint_pairs(docs).collect()} == scores
+    free = {(i, j) for i in reps for j in reps if i < j and _score(sigs[i], sigs[j], False) >= fingerprints.MIN_SCORE}
+    assert len(scores) >= 0.9 * len(free)
+    for i, r in rows.items():
+        own = [s for pair, s in scores.items() if r["same_as"] in pair]
+        assert (r["links"], r["best_score"]) == (len(own), max(own, default=None)) and r["class_id"] <= r["same_as"]
+    assert all(rows[a]["class_id"] == rows[b]["class_id"] for a, b in scores)
 
 
 def test_fingerprints_on_messy_rows(messy):
     rows = {r["doc_id"]: r for r in fingerprints.similar_fingerprints(messy).collect()}
     assert sorted(rows) == [1, 2, 4, 5, 6, 7, 8, 9, 10]
     assert rows[2]["same_as"] == 1 and rows[5]["same_as"] == 4 and rows[4]["signature"] == ""
-    assert 7 in [m["doc_id"] for m in rows[6]["matches"]] or rows[7]["same_as"] == 6
+    assert rows[7]["class_id"] == 6 and (rows[6]["links"] == 1 or rows[7]["same_as"] == 6)
     assert len(rows[6]["signature"]) <= fingerprints.LENGTH
 
 
@@ -185,12 +191,56 @@ def test_join_against_every_pair(spark, seed, words, size, frequent):
             own = rng.choices(vocabulary, k=rng.randint(1, size))
         texts[i] = " ".join(own)
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    for t in (0.5, 0.8):
-        got = ngram_join.similar_pairs(d, threshold=t, frequent=frequent).collect()
+    # tiny blocks, lists, parts and ranges of buckets: every way to cut the work gives the same
+    tiny = ngram_join.Plan(frequent=frequent, flush=200, bucket=150, dense=3, counters=50, list_block=4, part=60, fan=3)
+    for t, plan in ((0.5, None), (0.8, None), (0.5, tiny)):
+        got = ngram_join.similar_pairs(d, threshold=t, frequent=frequent, plan=plan).collect()
         assert len(got) == len({(r["doc_a"], r["doc_b"]) for r in got})
         assert {(r["doc_a"], r["doc_b"]) for r in got} == _pairs(texts, t)
 
 
+def test_frequent_tokens_are_indexed_as_combinations():
+    rng = np.random.default_rng(5)
+    tokens = np.unique(rng.integers(0, 1 << 48, 300).astype(np.uint64))
+    weights = np.full(len(tokens), 1000, np.uint32)
+    keys = ngram_join.signatures(tokens, weights, len(tokens), 64, 0.5)
+    singles = set(ngram_join.mix(tokens ^ ngram_join._RARE).tolist())
+    assert len(keys) > 100 and not singles & set(keys.tolist())
+    assert len(keys) < 4 * len(tokens)
+    # half of the tokens and two more are in common: some combination is too
+    for _ in range(50):
+        keep = rng.permutation(len(tokens))
+        other = np.unique(np.concatenate([tokens[keep[:201]], rng.integers(0, 1 << 48, 99).astype(np.uint64)]))
+        w = np.where(np.isin(other, tokens), 1000, 70).astype(np.uint32)
+        mine = ngram_join.signatures(other, w, len(other), 64, 0.5)
+        assert set(mine.tolist()) & set(keys.tolist())
+
+
+def test_near_groups_are_components_of_the_pairs(spark, docs):
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    sets, least = {i: _grams(x) for i, x in texts.items()}, {}
+    for i in sorted(sets):
+        least.setdefault(frozenset(sets[i]) or i, i)
+    rep = {i: least[frozenset(sets[i]) or i] for i in sets}
+    pairs = _pairs(texts, 0.5)
+    group = {i: i for i in texts}
+    for _ in texts:
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    for r in ngram_join.near_groups(docs).collect():
+        i = r["doc_id"]
+        linked = {rep[b if a == rep[i] else a] for a, b in pairs if rep[i] in (a, b)} - {rep[i]}
+        assert (r["class_id"], r["copies"], r["links"]) == (group[i], sum(rep[j] == rep[i] for j in rep) - 1, len(linked)), i
+
+
+def test_identifiers_may_be_strings(spark, docs):
+    named = docs.withColumn("doc_id", F.concat(F.lit("d-"), F.lpad(F.col("doc_id").cast("string"), 6, "0")))
+    back = lambda x: int(x[2:]) if x else x
+    same = lambda f: sorted((back(a), back(b), *c) for a, b, *c in f(named).collect()) == sorted(map(tuple, f(docs).collect()))
+    assert same(ngram_join.similar_pairs) and same(ngram_join.near_groups)
+    assert sorted(back(r[0]) for r in ngram_join.drop_near_copies(named).select("doc_id").collect()) == sorted(r[0] for r in ngram_join.drop_near_copies(docs).select("doc_id").collect())
+
+
 def test_join_on_messy_rows(messy):
     assert [(a, b) for a, b, _ in rows_of(ngram_join.similar_pairs(messy))] == [(1, 2), (6, 7)]
     kept = ngram_join.drop_near_copies(messy)

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of 8-byte keys that may be broadcast (about 32 MB once hashed); beyond it both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table, as estimated from its rows and column types, that may be broadcast; beyond it both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
+_WIDTH = {"tinyint": 1, "smallint": 2, "int": 4, "float": 4, "boolean": 1}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where that is unset (tests), one of our own."""
+    """The shared folder of ``spark.checkpoint.dir``; only where that is unset, and under a local master, one of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vigilspark-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="vigilspark-"))
     return sc.getCheckpointDir()
 
 
@@ -25,16 +30,45 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether an already materialised ``df`` has at most ``limit`` rows."""
-    return df.limit(limit + 1).count() <= limit
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether an already materialised ``df`` is within ``limit``: 32 bytes a row for the hash table, 8 a number; text columns are measured."""
+    text = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    row = 32 + sum(_WIDTH.get(t, 8) for _, t in df.dtypes)
+    most = limit // row + 1
+    found = df.limit(most).agg(F.count(F.lit(1)), *text).first()
+    return found[0] < most and found[0] * row + sum(found[1:]) <= limit
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of a materialised narrow table after counting it; a larger one is left to a shuffle join."""
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of a materialised table after measuring it; a larger one is left to a shuffle join."""
     return F.broadcast(df) if small(df, limit) else df
 
 
+def numbered(rows: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` with ``id_col`` as a long, and the (name, number) table where the identifiers aren't whole numbers, else None.
+
+    Other identifiers are numbered in their order as strings: distinct ones are range-partitioned and
+    sorted, so the smallest number is the smallest name.
+    """
+    if rows.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return rows.withColumn(id_col, F.col(id_col).cast("long")), None
+    rows = rows.withColumn(id_col, F.col(id_col).cast("string"))
+    names = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__name")).distinct().repartitionByRange("__name").sortWithinPartitions("__name")
+    names = cut(names.select("__name", F.monotonically_increasing_id().alias("__number")))
+    joined = rows.join(maybe_broadcast(names), rows[id_col] == names["__name"], "left").drop("__name")
+    return joined.withColumn(id_col, F.col("__number")).drop("__number"), names
+
+
+def renamed(df: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """``columns`` of ``numbered`` back as they were; as they are where ``names`` is None."""
+    if names is None:
+        return df
+    order = df.columns
+    for c in columns:
+        df = df.join(maybe_broadcast(names.select(F.col("__number").alias(c), F.col("__name").alias("__back"))), c, "left").withColumn(c, F.col("__back")).drop("__back")
+    return df.select(*order)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -6,31 +6,30 @@ bits, hence the boundaries of 2^(k+1) are among those of 2^k. A document's block
 for which the whole text has at most ``LENGTH`` chunks; a chunk gives one character, and the
 fingerprint has the signatures for 2^k and 2^(k+1). Runs of a character are cut to ``RUN``, as
 repeated content says little. Signatures of one block size are compared by edit distance if they
-have ``COMMON`` characters in a row in common.
+have ``COMMON`` characters in a row in common, ``COMMON_SHORT`` if one of them is short.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import spans, utf8
-from .blobs import expand, squeeze
-from .common import cut, shuffle_partitions
+from .common import connected_components, cut, renamed, shuffle_partitions
 from .ngram_join import one_row_per_id
 from .ngrams import mix
-from .postings import PairCounts, bucket_of, key_pairs
+from .postings import INDEX, INDEX_ARROW, buckets_for, first_step, index_rows, joined_lists
 
-WINDOW, LEAST_BITS, LENGTH, RUN, COMMON = 7, 3, 64, 3, 7
+WINDOW, LEAST_BITS, LENGTH, RUN = 7, 3, 64, 3
+#: Characters in a row that two signatures have in common to be compared; fewer where the shorter one has at most ``SHORT``.
+COMMON, COMMON_SHORT, SHORT = 7, 5, 16
 #: Least score of a match: 100 times 1 - distance / longer signature.
 MIN_SCORE = 60
-BLOCK_BYTES, BUCKET_POSTINGS = 1 << 20, 1_500_000
+BLOCK_BYTES, BUCKET_POSTINGS = 1 << 20, 1_000_000
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _CODE = np.zeros(256, np.uint64)
 _CODE[ALPHABET] = np.arange(64)
@@ -39,12 +38,12 @@ _TABLE = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 def rolling(data: np.ndarray) -> np.ndarray:
     """Hash of the WINDOW bytes up to each position; before the first byte there are zeros."""
-    q = np.uint32(0x01000193)
+    q, q2, q4, q6 = (np.uint32(pow(0x01000193, k, 1 << 32)) for k in (1, 2, 4, 6))
     pad = np.concatenate([np.zeros(WINDOW - 1, np.uint8), data])
     one = _TABLE[pad]
     two = one[1:] + q * one[:-1]
-    four = two[2:] + q * q * two[:-2]
-    r = four[3:] + q**4 * two[1:-4] + q**6 * one[:-6]
+    four = two[2:] + q2 * two[:-2]
+    r = four[3:] + q4 * two[1:-4] + q6 * one[:-6]
     r ^= r >> np.uint32(15)
     r *= np.uint32(0x2C1B3C6D)
     r ^= r >> np.uint32(12)
@@ -119,117 +118,98 @@ def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["id"].cast(pa.int64()), pa.array(bits), _strings(*one), _strings(*two)], names=["id", "bits", "one", "two"])
 
 
-def _post(buckets: int):
-    """Postings of all runs of COMMON characters, with the character before each."""
-
-    def flush(rows: list[pd.DataFrame]) -> Iterator[dict]:
-        rows = pd.concat(rows)
-        ids, bits = rows["id"].to_numpy(np.int64), rows["bits"].to_numpy(np.int64)
-        text = [s.encode() for s in rows["sig"]]
-        size = np.array([len(s) for s in text], np.int64)
-        code = _CODE[np.frombuffer(b"".join(text), np.uint8)]
-        start = np.cumsum(size) - size
-        grams = np.zeros(max(0, len(code) - COMMON + 1), np.uint64)
-        for k in range(COMMON):
-            grams = grams * np.uint64(64) + code[k : k + len(grams)]
-        owner = np.repeat(np.arange(len(size)), size)[: len(grams)]
-        place = np.arange(len(grams)) - start[owner]
-        whole = place + COMMON <= size[owner]
-        before = np.concatenate([[64], code[:-1].astype(np.int64)])[: len(grams)] if len(grams) else np.zeros(0, np.int64)
-        before = np.where(place == 0, 64, before)
-        keys = mix(grams * np.uint64(64) + bits[owner].astype(np.uint64))[whole]
-        owner, before = owner[whole], before[whole]
-        home = bucket_of(keys, buckets)
-        order = np.argsort(home, kind="stable")
-        edge = np.searchsorted(home[order], np.arange(buckets + 1, dtype=np.uint64))
-        for b in range(buckets):
-            own = order[edge[b] : edge[b + 1]]
-            if len(own):
-                docs, local = np.unique(owner[own], return_inverse=True)
-                meta = np.stack([bits[docs], size[docs]]).astype(np.uint8)
-                low = (keys[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                yield {"bucket": b, "docs": squeeze(ids[docs], True), "meta": squeeze(meta), "keys": squeeze(low), "owners": squeeze(local.astype(np.uint32), True), "before": squeeze(before[own].astype(np.uint8))}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _grams(code: np.ndarray, size: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of signatures one after the other: every run of ``run`` characters as a number, its signature, and the character before it, 64 at the beginning."""
+    grams = np.zeros(max(0, len(code) - run + 1), np.uint64)
+    for k in range(run):
+        grams = grams * np.uint64(64) + code[k : k + len(grams)]
+    owner = np.repeat(np.arange(len(size)), size)[: len(grams)]
+    place = np.arange(len(grams)) - (np.cumsum(size) - size)[owner]
+    before = np.concatenate([[64], code[:-1].astype(np.int64)])[: len(grams)] if len(grams) else np.zeros(0, np.int64)
+    whole = place + run <= size[owner]
+    return grams[whole], owner[whole], np.where(place == 0, 64, before)[whole].astype(np.uint8)
+
+
+def _post(buckets: int, step: int, min_score: int):
+    """Postings of runs of characters: long ones of every signature, short ones of the signatures that a short one may match."""
+
+    def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        ids, bits = table["id"].to_numpy(), table["bits"].to_numpy()
+        data, offsets = utf8(table["sig"])
+        code, size = _CODE[data], np.diff(offsets)
+        few = size <= SHORT * 100 / min_score
+        short, whose, ahead = _grams(code[np.repeat(few, size)], size[few], COMMON_SHORT)
+        parts = [_grams(code, size, COMMON), (short, np.flatnonzero(few)[whose], ahead)]
+        keys = np.concatenate([mix((g * np.uint64(64) + bits[o].astype(np.uint64)) ^ np.uint64(k << 56)) for (g, o, _), k in zip(parts, (COMMON, COMMON_SHORT))])
+        owner, before = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+        return pa.RecordBatch.from_pylist(list(index_rows(keys >> np.uint64(16), owner, ids, size, bits, buckets, step, before)), INDEX_ARROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             held, n = [], 0
             for b in batches:
                 held.append(b)
-                n += len(b)
-                if n >= 100_000:
-                    yield pd.DataFrame(flush(held), columns=["bucket", "docs", "meta", "keys", "owners", "before"])
+                n += b.num_rows
+                if n >= 50_000:
+                    yield flush(held)
                     held, n = [], 0
             if n:
-                yield pd.DataFrame(flush(held), columns=["bucket", "docs", "meta", "keys", "owners", "before"])
-
-    return run
-
-
-def _pair(min_score: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = [expand(x) for x in rows["docs"]]
-        shift = np.cumsum([0, *map(len, ids)])
-        bits, size = np.concatenate([expand(x).reshape(2, -1) for x in rows["meta"]], 1).astype(np.int64)
-        ids, key = np.concatenate(ids), np.concatenate([expand(x) for x in rows["keys"]])
-        doc, before = np.concatenate([expand(x).astype(np.int64) + d for x, d in zip(rows["owners"], shift)]), np.concatenate([expand(x) for x in rows["before"]])
-        order = np.argsort(key, kind="stable")
-        key, doc, before = key[order], doc[order], before[order]
-        pairs = PairCounts()
-        for i, j in key_pairs(key):
-            a, b = doc[i], doc[j]
-            # a longer common run is met once, where it begins
-            fits = (ids[a] != ids[b]) & ((before[i] != before[j]) | (before[i] == 64))
-            fits &= np.minimum(size[a], size[b]) * 100 >= min_score * np.maximum(size[a], size[b])
-            a, b = a[fits].astype(np.uint64), b[fits].astype(np.uint64)
-            pairs.add(np.minimum(a, b) << np.uint64(32) | np.maximum(a, b))
-        pairs.settle()
-        a, b = (pairs.codes >> np.uint64(32)).astype(np.int64), (pairs.codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        return pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b]), "bits": bits[a]})
+                yield flush(held)
 
     return run
 
 
 def _matches(reps: DataFrame, min_score: int) -> DataFrame:
     """(a, b, score) of different fingerprints, a < b."""
-    spark = reps.sparkSession
-    sigs = reps.select("id", F.explode(F.array(F.struct("bits", F.col("one").alias("sig")), F.struct((F.col("bits") + 1).alias("bits"), F.col("two").alias("sig")))).alias("s")).select("id", "s.*")
-    count = sigs.agg(F.sum(F.greatest(F.length("sig") - COMMON + 1, F.lit(0)))).first()[0] or 0
-    buckets = max(shuffle_partitions(spark) // 4, math.ceil(count / BUCKET_POSTINGS), 1)
-    posted = sigs.mapInPandas(_post(buckets), "bucket long, docs binary, meta binary, keys binary, owners binary, before binary")
-    # one exchange serves both the pairs' distinctness and the first join
-    found = posted.groupBy("bucket").applyInPandas(_pair(min_score), "a long, b long, bits long").repartition("a", "bits").distinct()
-    found = found.join(sigs.select(F.col("id").alias("a"), "bits", F.col("sig").alias("sa")), ["a", "bits"])
-    found = found.join(sigs.select(F.col("id").alias("b"), "bits", F.col("sig").alias("sb")), ["b", "bits"])
-    longer = F.greatest(F.length("sa"), F.length("sb"))
+    sigs = cut(reps.select("id", F.explode(F.array(F.struct("bits", F.col("one").alias("sig")), F.struct((F.col("bits") + 1).alias("bits"), F.col("two").alias("sig")))).alias("s")).select("id", "s.*"))
+    count = sigs.agg(F.sum(F.length("sig"))).first()[0] or 0
+    buckets = buckets_for(count, max(1, shuffle_partitions(reps.sparkSession) // 2), BUCKET_POSTINGS)
+    found = joined_lists(sigs.mapInArrow(_post(buckets, first_step(buckets), min_score), INDEX), buckets, min_score / 100)
+    found = found.join(sigs.select(F.col("id").alias("a"), F.col("bits").alias("tag"), F.col("sig").alias("sa")), ["a", "tag"])
+    found = found.join(sigs.select(F.col("id").alias("b"), F.col("bits").alias("tag"), F.col("sig").alias("sb")), ["b", "tag"])
     score = F.expr("100 * (greatest(length(sa), length(sb)) - levenshtein(sa, sb)) div greatest(length(sa), length(sb))")
-    return found.where(longer > 0).select("a", "b", score.cast("int").alias("score")).where(F.col("score") >= min_score).groupBy("a", "b").agg(F.max("score").alias("score"))
+    return found.select("a", "b", score.cast("int").alias("score")).where(F.col("score") >= min_score).groupBy("a", "b").agg(F.max("score").alias("score"))
+
+
+def _compared(docs: DataFrame, id_col: str, text_col: str, min_score: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """(id, bits, one, two) of documents; (id, same_as); (a, b, score) of different fingerprints; names."""
+    rows, _, names = one_row_per_id(docs, id_col, text_col)
+    prints = cut(rows.mapInArrow(_map, "id long, bits long, one string, two string"))
+    # equal fingerprints meet by 128 bits of hash: the signatures themselves aren't shuffled for it
+    keyed = prints.select("id", F.xxhash64("bits", "one", "two").alias("h1"), F.xxhash64(F.lit("second half"), "two", "one", "bits").alias("h2"))
+    groups = keyed.groupBy("h1", "h2").agg(F.min("id").alias("same_as"))
+    same = cut(keyed.join(groups, ["h1", "h2"]).select("id", "same_as"))
+    reps = prints.where("length(one) > 0").join(same.where("id = same_as"), "id", "left_semi")
+    return prints, same, cut(_matches(reps, min_score)), names
+
+
+def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: int = MIN_SCORE) -> DataFrame:
+    """(doc_a, doc_b, score): documents of different fingerprints that score at least ``min_score``, each fingerprint by its smallest identifier, doc_a < doc_b; edge cases as in ``similar_fingerprints``."""
+    _, _, pairs, names = _compared(docs, id_col, text_col, min_score)
+    return renamed(pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "score"), names, "doc_a", "doc_b")
 
 
 def similar_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: int = MIN_SCORE) -> DataFrame:
-    """(doc_id, block_size, signature, signature_double, same_as, matches), one row for each document.
+    """(doc_id, block_size, signature, signature_double, same_as, class_id, links, best_score), one row for each document.
 
-    ``same_as`` is the smallest identifier with the same fingerprint; the document that it names has
-    in ``matches`` the (doc_id, score) of every such document of another fingerprint that scores at
-    least ``min_score``, by identifier, and all others have none: together that is every pair, without
-    listing each group of copies against each other one. The score is the best over the block sizes
+    ``same_as`` is the smallest identifier with the same fingerprint. ``links`` counts the different
+    fingerprints that score at least ``min_score`` with it, ``best_score`` is the greatest of their
+    scores (null without any), ``class_id`` the smallest identifier linked with it over any number of
+    steps; ``fingerprint_pairs`` has the links themselves. The score is the best over the block sizes
     that two fingerprints have in common (equal, or one the double of the other).
 
     Rows without identifier or text are left out; the distinct texts of a repeated identifier count as
-    one text of several lines. Empty texts have empty signatures, the same as each other, and match
-    nothing else; texts too short for ``COMMON`` chunks only match their like. Other columns aren't
-    read; an empty table gives no rows.
+    one text of several lines. Identifiers may be of any type; those that aren't whole numbers come
+    back, and are ordered, as strings. Empty texts have empty signatures, the same as each other, and
+    match nothing else; texts too short for ``COMMON_SHORT`` chunks only match their like. Other columns
+    aren't read; an empty table gives no rows.
     """
-    rows = one_row_per_id(docs, id_col, text_col)
-    prints = cut(rows.mapInArrow(_map, "id long, bits long, one string, two string"))
-    # equal fingerprints meet by 128 bits of hash: the signatures themselves aren't shuffled for it
-    keyed = prints.select("id", F.xxhash64("bits", "one", "two").alias("h1"), F.xxhash64(F.lit("second half"), "two", "one", "bits").alias("h2"))
-    groups = keyed.groupBy("h1", "h2").agg(F.min("id").alias("same_as"))
-    same = cut(keyed.join(groups, ["h1", "h2"]).select("id", "same_as"))
-    reps = cut(prints.where("length(one) > 0").join(same.where("id = same_as"), "id", "left_semi"))
-    pairs = cut(_matches(reps, min_score))
-    both = pairs.union(pairs.select("b", "a", "score"))
-    lists = both.groupBy(F.col("a").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("b").alias("doc_id"), "score"))).alias("found"))
-    none = F.array().cast("array<struct<doc_id:bigint,score:int>>")
-    return prints.join(same, "id").join(lists, "id", "left").select(
-        F.col("id").alias("doc_id"), F.pow(F.lit(2), "bits").cast("long").alias("block_size"), F.col("one").alias("signature"), F.col("two").alias("signature_double"), "same_as", F.coalesce("found", none).alias("matches")
-    )
+    prints, same, pairs, names = _compared(docs, id_col, text_col, min_score)
+    both = pairs.union(pairs.select("b", "a", "score")).groupBy(F.col("a").alias("same_as")).agg(F.count(F.lit(1)).alias("links"), F.max("score").alias("best_score"))
+    both = both.join(connected_components(pairs.select("a", "b")).withColumnRenamed("node", "same_as"), "same_as")
+    out = prints.join(same.join(both, "same_as", "left"), "id").select(
+        F.col("id").alias("doc_id"), F.pow(F.lit(2), "bits").cast("long").alias("block_size"), F.col("one").alias("signature"), F.col("two").alias("signature_double"),
+        "same_as", F.coalesce("component", "same_as").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), "best_score",
+    )
+    return renamed(out, names, "doc_id", "same_as", "class_id")

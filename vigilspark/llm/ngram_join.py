@@ -1,25 +1,25 @@
 """Join of documents by the Jaccard similarity of their word n-gram sets, over token-combination prefixes.
 
-Tokens (n-grams) have a global order: rare ones first, by hash, then the frequent ones by document
-frequency. Two sets of Jaccard t or more share k tokens within prefixes of |x| - ceil(t |x|) + k
-tokens, for every k that their overlap allows. So:
-
-* rare tokens of an extended prefix (k grows with the set) are indexed one by one, and a pair is a
-  candidate only if it shares as many as the lemma asks for;
-* frequent tokens that reach into a prefix are indexed as combinations of k = 2 tokens (single
-  tokens for sets of more than ``COMBINED_SIZE`` tokens, whose combinations would be too many, and
-  for sets so small that they can share one token only);
-* candidates are verified on their whole sets.
-
-The class of a token only steers the cost: any class boundary gives the same result, so the boundary
-is doubled until the table of frequent tokens is small enough to broadcast. Documents with the same
-set are joined once, through the smallest identifier.
+1. Texts are read once. Every distinct n-gram (token) of a document is a posting; in its token's bucket
+   it learns in how many documents the token is. Tokens of one document alone join nothing and go no
+   further; the others go back to their document.
+2. A set's tokens are ordered by frequency. The rare ones (at most ``FREQUENT`` documents) of a prefix
+   are indexed one by one. The frequent ones fall into classes by hash, and the prefix is extended until
+   its tokens, less one for each class it meets, are one more than the set can do without: then a
+   partner has a rare token of it, or two tokens of one class. So frequent tokens are indexed as
+   combinations of k = 2 within their class, about as many as the set has tokens. The number of classes
+   follows the size, so a set is indexed for its own band of sizes and for that of its largest partner.
+   Sets of a few tokens, that may share one only, have single tokens.
+3. Candidates are verified on their whole sets; tokens of one document alone count by number.
+
+Tokens are 48-bit hashes. Documents with the same set are joined once, through the smallest identifier.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,362 +27,450 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import postings
 from .blobs import expand, squeeze
-from .common import connected_components, cut, maybe_broadcast, shuffle_partitions
-from .ngrams import mix, ngram_sets
-from .postings import PairCounts, bucket_of, key_pairs
+from .common import connected_components, cut, maybe_broadcast, numbered, renamed, shuffle_partitions
+from .ngrams import mix, ngram_blocks
 
-NGRAM, THRESHOLD = 3, 0.5
-#: Tokens in more documents are frequent; how many frequent tokens may be broadcast (12 bytes each).
-FREQUENT, FREQUENT_TOKENS = 64, 2_000_000
-#: Part of a set by which its prefix is extended; largest set whose frequent tokens are combined.
-EXTENSION, COMBINED_SIZE = 0.15, 64
-FLUSH_TOKENS, BUCKET_POSTINGS, TASK_PAIRS = 2_000_000, 1_500_000, 20_000
+NGRAM, THRESHOLD, FREQUENT = 3, 0.5, 64
+#: Bytes of text a token, at least about; only for the number of buckets.
+BYTES_A_TOKEN = 6
+TASK_PAIRS = 20_000
+_POSTING, _COUNT, _HOME, _INFO = range(4)
+_DENSE = np.uint32(0xFFFFFFFF)
+_SINGLE, _RARE, _LEFT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E6C63D0876A9A99), np.uint64(0x2545F4914F6CDD1D)
 
 
-def _keys(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket and low 32 bits: what token frequencies are counted by."""
-    return bucket_of(tokens, buckets) << np.uint64(32) | (tokens & np.uint64(0xFFFFFFFF))
+@dataclass(frozen=True)
+class Plan:
+    """How the work is cut; no value of it changes the result.
 
+    ``frequent``: documents from which on a token is frequent. ``flush``: tokens of a block. ``bucket``:
+    postings of a bucket. ``dense``: postings of a token from one task, after which further ones are
+    only counted. ``list_block``, ``part``, ``fan``: see ``postings``.
+    """
 
-def _need(size: np.ndarray, t: float) -> np.ndarray:
-    """Least overlap of a set with any partner: ceil(t * size), safe against rounding."""
-    return np.ceil(size * t - 1e-9).astype(np.int64)
+    frequent: int = FREQUENT
+    flush: int = 400_000
+    bucket: int = 1_000_000
+    dense: int = 64
+    counters: int = 200_000
+    list_block: int = postings.LIST_BLOCK
+    part: int = postings.PART_POSTINGS
+    fan: int = postings.FAN
 
 
-def _extra(size: np.ndarray, t: float) -> np.ndarray:
-    """k of the extended prefix."""
-    return np.minimum(np.maximum(1, _need(size, t)), np.maximum(2, 1 + (EXTENSION * size).astype(np.int64)))
+def _need(size, t: float):
+    """Least overlap of a set with any partner: ceil(t * size), safe against rounding."""
+    return np.ceil(np.asarray(size) * t - 1e-9).astype(np.int64)
+
 
+def one_row_per_id(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, DataFrame | None]:
+    """(id, body) rows, the bytes of all bodies, and names as in ``numbered``.
 
-def one_row_per_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, body): rows without identifier or text are left out; the distinct texts of a repeated identifier, in order, become one of several lines."""
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    again = cut(rows.groupBy("id").count().where("count > 1").select("id"))
+    Rows without identifier or text are left out; the distinct texts of a repeated identifier, in
+    order, become one of several lines.
+    """
+    rows, names = numbered(docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body")), "id")
+    each = cut(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("body").cast("long")).alias("bytes")))
+    total = each.agg(F.sum("bytes")).first()[0] or 0
+    again = cut(each.where("n > 1").select("id"))
     if again.isEmpty():
-        return rows
+        return rows, total, names
     again = maybe_broadcast(again)
-    joined = rows.join(again, "id", "left_semi").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("body")), "\n").alias("body"))
-    return rows.join(again, "id", "left_anti").union(joined)
+    joined = cut(rows.join(again, "id", "left_semi").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("body")), "\n").alias("body")))
+    return rows.join(again, "id", "left_anti").union(joined), total, names
 
 
-# -- sets and token frequencies
+# -- token frequencies
 
+_TOKENS = pa.schema([("bucket", pa.int64()), ("kind", pa.int64()), *((c, pa.binary()) for c in ("ids", "tokens", "owners", "weights"))])
+_TOKENS_SQL = "bucket long, kind long, ids binary, tokens binary, owners binary, weights binary"
+_NOTHING = squeeze(np.zeros(0, np.int64))
 
-def _count_map(n: int, buckets: int):
-    def flush(ids: list, sets: list) -> Iterator[dict]:
-        size = np.array([len(s) for s in sets], np.int64)
-        ids = np.array(ids, np.int64)[size > 0]
-        sets, size = [s for s in sets if len(s)], size[size > 0]
-        if not sets:
-            return
-        tokens = np.concatenate(sets)
-        start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        d1, d2 = np.add.reduceat(tokens, start), np.add.reduceat(mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start)
-        home = bucket_of(mix(d1.copy()), buckets)
-        keys, counts = np.unique(_keys(tokens, buckets), return_counts=True)
-        edge = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
-        low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        for b in range(buckets):
-            part, many = slice(edge[b], edge[b + 1]), counts[edge[b] : edge[b + 1]] > 1
-            own = np.flatnonzero(home == b)
-            yield {
-                "bucket": b, "once": squeeze(low[part][~many], True), "more": squeeze(low[part][many], True), "times": squeeze(counts[part][many].astype(np.uint32)),
-                "docs": np.stack([ids[own], d1[own].view(np.int64), d2[own].view(np.int64), size[own]]).tobytes(),
-            }
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            ids, sets, held = [], [], 0
-            for b in batches:
-                found = ngram_sets(b["body"], n)
-                ids += b["id"].to_pylist()
-                sets += found
-                held += sum(map(len, found))
-                if held >= FLUSH_TOKENS:
-                    yield from _rows(flush(ids, sets))
-                    ids, sets, held = [], [], 0
-            if ids:
-                yield from _rows(flush(ids, sets))
+def _home(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return postings.bucket_of(mix(ids.view(np.uint64).copy()) >> np.uint64(16), buckets)
 
-    schema = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("once", "more", "times", "docs"))])
 
-    def _rows(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
-        for r in rows:
-            yield pa.RecordBatch.from_pylist([r], schema)
+def _blob(bucket: int, kind: int, ids=None, tokens=None, owners=None, weights=None) -> dict:
+    """Postings in the order of tokens; ``owners`` are places in ``ids``."""
+    pack = lambda x, delta=False: _NOTHING if x is None else squeeze(x, delta)
+    return {"bucket": bucket, "kind": kind, "ids": pack(ids, True), "tokens": pack(tokens, True), "owners": pack(owners), "weights": pack(weights)}
 
-    return run
 
+def _sent(kind: int, target: np.ndarray, ids: np.ndarray, tokens: np.ndarray, weights: np.ndarray | None) -> Iterator[dict]:
+    """Blobs of postings (ids[i], tokens[i]) by target, in the order of tokens within each."""
+    order = np.lexsort((tokens, target))
+    target, ids, tokens = target[order], ids[order], tokens[order]
+    weights = None if weights is None else weights[order]
+    for b, i, j in postings.cuts(target):
+        own, local = np.unique(ids[i:j], return_inverse=True)
+        yield _blob(b, kind, own, tokens[i:j], local.astype(np.uint32), None if weights is None else weights[i:j])
 
-def _count_reduce(frequent: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        b = int(rows["bucket"].iloc[0])
-        once = np.concatenate([expand(x) for x in rows["once"]])
-        keys = np.concatenate([once, *(expand(x) for x in rows["more"])])
-        times = np.concatenate([np.ones(len(once), np.uint32), *(expand(x) for x in rows["times"])])
-        code = np.sort(keys.astype(np.uint64) << np.uint64(32) | times)
-        key, start = np.unique(code >> np.uint64(32), return_index=True)
-        df = np.add.reduceat(code & np.uint64(0xFFFFFFFF), start) if len(code) else np.zeros(0, np.uint64)
-        hot = df > frequent
-        out = [{"n": int(hot.sum()), "keys": (key[hot] | np.uint64(b << 32)).tobytes(), "dfs": df[hot].astype(np.uint32).tobytes()}] if hot.any() else []
-        ids, d1, d2, size = np.concatenate([np.frombuffer(x, np.int64).reshape(4, -1) for x in rows["docs"]], 1)
-        order = np.lexsort((ids, d2, d1))
-        ids, d1, d2, size = ids[order], d1[order], d2[order], size[order]
-        first = np.flatnonzero(np.r_[True, (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])][: len(ids)])
-        rep = np.repeat(ids[first], np.diff(np.append(first, len(ids))))
-        docs = pd.DataFrame({"id": ids, "rep": rep, "size": size})
-        return pd.concat([docs, pd.DataFrame(out, columns=["n", "keys", "dfs"])]).astype({"id": "Int64", "rep": "Int64", "size": "Int64", "n": "Int64"})
 
-    return run
+class _Heavy:
+    """Tokens that a task has met often: counts of those that repeat within a block, the least of them forgotten beyond a bound."""
 
+    def __init__(self, dense: int, counters: int):
+        self.dense, self.limit = dense, counters
+        self.tokens, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-def _only_above(frequent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for keys, dfs in zip(b["keys"], b["dfs"]):
-                hot = np.frombuffer(dfs, np.uint32) > frequent
-                out.append((int(hot.sum()), np.frombuffer(keys, np.uint64)[hot].tobytes(), np.frombuffer(dfs, np.uint32)[hot].tobytes()))
-            yield pd.DataFrame(out, columns=["n", "keys", "dfs"])
+    def add(self, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The dense ones, sorted, with these counted too."""
+        both, inverse = np.unique(np.concatenate([self.tokens, tokens]), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([self.counts, counts])).astype(np.int64)
+        if len(both) > self.limit:
+            keep = np.sort(np.argsort(-total, kind="stable")[: self.limit // 2])
+            both, total = both[keep], total[keep]
+        self.tokens, self.counts = both, total
+        return both[total > self.dense]
 
-    return run
 
+def _token_map(n: int, plan: Plan, buckets: int):
+    step = postings.first_step(buckets, plan.fan)
 
-# -- index
-
-
-def _prefixes(tokens: np.ndarray, size: np.ndarray, hot: tuple[np.ndarray, np.ndarray], count_buckets: int, t: float):
-    """Of concatenated sorted sets: (rare tokens of prefixes, their set), frequent tokens in each extended prefix, {set: its frequent tokens in order}, rare tokens of each set."""
-    owner = np.repeat(np.arange(len(size)), size)
-    keys = _keys(tokens, count_buckets)
-    at = np.searchsorted(hot[0], keys)
-    is_hot = (hot[0][np.minimum(at, len(hot[0]) - 1)] == keys) if len(hot[0]) else np.zeros(len(tokens), bool)
-    n_hot = np.bincount(owner[is_hot], minlength=len(size))
-    rare = size - n_hot
-    prefix = size - _need(size, t) + _extra(size, t)
-    rows = np.flatnonzero(~is_hot)
-    place = np.arange(len(rows)) - np.repeat(np.cumsum(rare) - rare, rare)
-    taken = rows[place < np.minimum(prefix, rare)[owner[rows]]]
-    reach = np.maximum(0, prefix - rare)
-    frequent = {}
-    short = np.flatnonzero((rare < size - _need(size, t) + 2) & (n_hot > 0))
-    start = np.cumsum(size) - size
-    for i in short:
-        own = np.arange(start[i], start[i] + size[i])[is_hot[start[i] : start[i] + size[i]]]
-        df = hot[1][at[own]]
-        frequent[int(i)] = tokens[own][np.lexsort((tokens[own], df))]
-    return tokens[taken], owner[taken], reach, frequent, rare
-
-
-def _combined(frequent: np.ndarray, rare: int, size: int, t: float) -> np.ndarray:
-    """Index keys of the frequent tokens that reach into a set's prefixes, for every scheme a partner may use."""
-    base, widest = size - math.ceil(size * t - 1e-9), int(size / t + 1e-9)
-    tiny = lambda s: math.ceil(s * t - 1e-9) < 2
-    out = []
-    if tiny(size) or widest > COMBINED_SIZE:
-        out.append(mix(frequent[: max(0, base + 1 - rare)] ^ np.uint64(0x5851F42D4C957F2D)))
-    if size <= COMBINED_SIZE and not tiny(widest):
-        own = np.sort(frequent[: max(0, base + 2 - rare)])
-        i, j = np.triu_indices(len(own), 1)
-        out.append(mix(own[i] * np.uint64(0x2545F4914F6CDD1D) + own[j]))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def _index_map(n: int, t: float, buckets: int, count_buckets: int, hot_value):
-    schema = pa.schema([("bucket", pa.int64()), ("kind", pa.int64()), *((c, pa.binary()) for c in ("docs", "sizes", "keys", "owners"))])
-
-    def post(kind: int, tokens: np.ndarray, owner: np.ndarray, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-        home = bucket_of(tokens, buckets)
-        order = np.argsort(home, kind="stable")
-        edge = np.searchsorted(home[order], np.arange(buckets + 1, dtype=np.uint64))
-        for b in range(buckets):
-            own = order[edge[b] : edge[b + 1]]
-            if len(own):
-                docs, local = np.unique(owner[own], return_inverse=True)
-                part = table[:, docs]
-                row = {"bucket": b, "kind": kind, "docs": squeeze(part[0], True), "sizes": squeeze(part[1:].astype(np.uint32)), "keys": squeeze((tokens[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), "owners": squeeze(local.astype(np.uint32), True)}
-                yield pa.RecordBatch.from_pylist([row], schema)
-
-    def flush(ids: list, sets: list) -> Iterator[pa.RecordBatch]:
+    def flush(ids: list, sets: list, heavy: _Heavy) -> Iterator[dict]:
         size = np.array([len(s) for s in sets], np.int64)
-        tokens = np.concatenate(sets)
-        if not len(tokens):
+        ids = np.array(ids, np.int64)[size > 0]
+        sets, size = [s for s in sets if len(s)], size[size > 0]
+        if not sets:
             return
-        taken, owner, reach, frequent, rare = _prefixes(tokens, size, hot_value.value, count_buckets, t)
-        table = np.stack([np.array(ids, np.int64), size, reach])
-        yield from post(0, taken, owner, table)
-        keys = {i: _combined(f, int(rare[i]), int(size[i]), t) for i, f in frequent.items()}
-        if keys:
-            yield from post(1, np.concatenate(list(keys.values())), np.repeat(list(keys), [len(k) for k in keys.values()]), table)
+        tokens = np.concatenate(sets)
+        start = np.cumsum(size) - size
+        d1, d2 = np.add.reduceat(tokens, start), np.add.reduceat(mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start)
+        home = _home(ids, buckets) // step
+        for b in np.unique(home).tolist():
+            own = home == b
+            yield _blob(b, _INFO, ids[own], None, None, np.stack([size[own], d1[own].view(np.int64), d2[own].view(np.int64)]))
+        tokens >>= np.uint64(16)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], np.repeat(ids, size)[order]
+        first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        count = np.diff(np.append(first, len(tokens)))
+        dense = heavy.add(tokens[first][count > 1], count[count > 1])
+        if len(dense):
+            at = np.minimum(np.searchsorted(dense, tokens), len(dense) - 1)
+            far = dense[at] == tokens
+            u, c = np.unique(tokens[far], return_counts=True)
+            for b, i, j in postings.cuts(postings.bucket_of(u, buckets) // step):
+                yield _blob(b, _COUNT, None, u[i:j], None, c[i:j].astype(np.uint32))
+            yield from _sent(_HOME, _home(owner[far], buckets) // step, owner[far], tokens[far], np.full(int(far.sum()), _DENSE))
+            tokens, owner = tokens[~far], owner[~far]
+        yield from _sent(_POSTING, postings.bucket_of(tokens, buckets) // step, owner, tokens, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            ids, sets, held = [], [], 0
+            ids, sets, held, heavy = [], [], 0, _Heavy(plan.dense, plan.counters)
             for b in batches:
-                found = ngram_sets(b["body"], n)
-                ids += b["id"].to_pylist()
-                sets += found
-                held += sum(map(len, found))
-                if held >= FLUSH_TOKENS:
-                    yield from flush(ids, sets)
-                    ids, sets, held = [], [], 0
+                names = b["id"].to_pylist()
+                for i, j, found in ngram_blocks(b["body"], n):
+                    ids += names[i:j]
+                    sets += found
+                    held += sum(map(len, found))
+                    if held >= plan.flush:
+                        yield from _batches(flush(ids, sets, heavy))
+                        ids, sets, held = [], [], 0
             if ids:
-                yield from flush(ids, sets)
+                yield from _batches(flush(ids, sets, heavy))
 
     return run
 
 
-def _posting_pairs(postings: np.ndarray, size: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (set << 32 | set) of pairs on one key that sizes allow, and how many keys each has in common."""
-    code = np.sort(postings[0].astype(np.uint64) << np.uint64(32) | postings[1])
-    doc, pairs = code & np.uint64(0xFFFFFFFF), PairCounts()
-    for i, j in key_pairs(code >> np.uint64(32)):
-        a, b = doc[i], doc[j]
-        sa, sb = size[a.astype(np.int64)], size[b.astype(np.int64)]
-        fits = (np.minimum(sa, sb) >= t * np.maximum(sa, sb) - 1e-9) & (a != b)
-        pairs.add(a[fits] << np.uint64(32) | b[fits])
-    pairs.settle()
-    return pairs.codes, pairs.counts
+def _batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    held = []
+    for r in rows:
+        held.append(r)
+        if len(held) == 64:
+            yield pa.RecordBatch.from_pylist(held, _TOKENS)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, _TOKENS)
+
+
+def _respread(buckets: int, homes_only: bool):
+    """Ranges of buckets taken apart into ranges of ``step``."""
+
+    def of(step: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            with np.errstate(over="ignore"):
+                for b in batches:
+                    for r in b.to_pylist():
+                        yield from _batches(one(r, step))
+
+        return run
+
+    def one(r: dict, step: int) -> Iterator[dict]:
+        kind, ids = r["kind"], expand(r["ids"])
+        if kind == _INFO:
+            info = expand(r["weights"]).reshape(3, -1)
+            home = _home(ids, buckets) // step
+            for b in np.unique(home).tolist():
+                yield _blob(b, _INFO, ids[home == b], None, None, info[:, home == b])
+            return
+        tokens, weights = expand(r["tokens"]), expand(r["weights"])
+        weights = weights if len(weights) else None
+        if kind == _COUNT:
+            for b, i, j in postings.cuts(postings.bucket_of(tokens, buckets) // step):
+                yield _blob(b, _COUNT, None, tokens[i:j], None, weights[i:j])
+            return
+        owner = ids[expand(r["owners"])]
+        target = _home(owner, buckets) if kind == _HOME else postings.bucket_of(tokens, buckets)
+        yield from _sent(kind, target // step, owner, tokens, weights)
+
+    return of
+
+
+def _opened(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, token, weight) of all postings."""
+    docs = [expand(i)[expand(o)] for i, o in zip(rows["ids"], rows["owners"])]
+    join = lambda x, kind: np.concatenate(x) if len(x) else np.zeros(0, kind)
+    return join(docs, np.int64), join([expand(x) for x in rows["tokens"]], np.uint64), join([expand(x) for x in rows["weights"]], np.uint32)
 
 
-def _index_reduce(t: float, homes: int):
-    """Pairs of a bucket, those of each home as one row: ends, keys in common, and how many the lemma asks for."""
+def _weigh(buckets: int, step: int):
+    """In a token's bucket: postings of tokens of several documents, with that number, sent on to the documents' homes."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = [expand(x) for x in rows["docs"]]
-        shift = np.cumsum([0, *map(len, ids)]).astype(np.uint32)
-        postings = np.stack([np.concatenate([expand(x) for x in rows["keys"]]), np.concatenate([expand(x) + d for x, d in zip(rows["owners"], shift)])])
-        size, reach = np.concatenate([expand(x).reshape(2, -1) for x in rows["sizes"]], 1).astype(np.int64)
-        ids = np.concatenate(ids)
-        codes, counts = _posting_pairs(postings, size, t)
-        a, b = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        del codes
-        k = _extra(size, t)
-        need = np.maximum(1, np.minimum(k[a], k[b]) - np.minimum(reach[a], reach[b]))
-        if rows["kind"].iloc[0] == 1:
-            counts = need  # a combination in common is enough
-        a, b = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+        docs, tokens, _ = _opened(rows[rows["kind"] == _POSTING])
+        counted = rows[rows["kind"] == _COUNT]
+        dense = np.unique(np.concatenate([expand(x) for x in counted["tokens"]])) if len(counted) else np.zeros(0, np.uint64)
+        order = np.argsort(tokens, kind="stable")
+        docs, tokens = docs[order], tokens[order]
+        first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]][: len(tokens)])
+        df = np.diff(np.append(first, len(tokens)))
+        weight = np.minimum(df, 0xFFFFFFFE).astype(np.uint32)
+        if len(dense):
+            weight[np.isin(tokens[first], dense, assume_unique=True)] = _DENSE
+        weight = np.repeat(weight, df)
+        keep = weight > 1
+        docs, tokens, weight = docs[keep], tokens[keep], weight[keep]
         with np.errstate(over="ignore"):
-            home = bucket_of(mix(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)), homes)
-        order = np.lexsort((b, a, home))
-        a, b, home = a[order], b[order], home[order]
-        counts, need = np.minimum(counts, need)[order].astype(np.uint32), need[order].astype(np.uint32)
-        edge = np.append(np.flatnonzero(np.r_[True, home[1:] != home[:-1]][: len(home)]), len(home))
-        out = [(int(home[i]), squeeze(a[i:j], True), squeeze(b[i:j]), squeeze(counts[i:j]), squeeze(need[i:j])) for i, j in zip(edge[:-1], edge[1:])]
-        return pd.DataFrame(out, columns=["home", "a", "b", "n", "need"])
+            out = pd.DataFrame(_sent(_HOME, _home(docs, buckets) // step, docs, tokens, weight), columns=_TOKENS.names)
+        return pd.concat([out, rows[rows["kind"] >= _HOME]])
 
     return run
 
 
-def _candidates(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one home whose keys in common, over all buckets, are as many as asked for."""
-    a, b, n, need = (np.concatenate([expand(x) for x in rows[c]]) for c in ("a", "b", "n", "need"))
-    order = np.lexsort((b, a))
-    a, b, n, need = a[order], b[order], n[order], need[order]
-    start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
-    enough = np.add.reduceat(n, start, dtype=np.int64) >= np.maximum.reduceat(need, start)
-    return pd.DataFrame({"a": a[start][enough], "b": b[start][enough]})
+def _gather(rows: pd.DataFrame) -> pd.DataFrame:
+    """(id, size, d1, d2, tokens, weights): of each document the tokens it has in common with others, sorted, and their frequencies."""
+    info = rows[rows["kind"] == _INFO]
+    ids = np.concatenate([expand(x) for x in info["ids"]])
+    size, d1, d2 = np.concatenate([expand(x).reshape(3, -1) for x in info["weights"]], 1)
+    docs, tokens, weights = _opened(rows[rows["kind"] == _HOME])
+    order = np.lexsort((tokens, docs))
+    docs, tokens, weights = docs[order], tokens[order], weights[order]
+    low, high = np.searchsorted(docs, ids, "left"), np.searchsorted(docs, ids, "right")
+    packed = [(squeeze(tokens[i:j], True), squeeze(weights[i:j])) if j > i else (None, None) for i, j in zip(low.tolist(), high.tolist())]
+    return pd.DataFrame({"id": ids, "size": size, "d1": d1, "d2": d2, "tokens": [p[0] for p in packed], "weights": [p[1] for p in packed]})
 
 
-# -- verification
+# -- signatures
+
 
+def classes(band: int, t: float) -> int:
+    """Classes of frequent tokens for pairs whose larger set has 2^band to 2^(band + 1) tokens; 0: single tokens.
 
-def _sets_map(n: int):
-    schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary())])
+    At most so many that a set of that band, or a partner of one, can always extend its prefix far enough.
+    """
+    return max(0, min((1 << band) // 4, math.ceil(t * t * (1 << band) - 1e-9) - 1))
+
+
+def signatures(tokens: np.ndarray, weights: np.ndarray, size: int, frequent: int, t: float) -> np.ndarray:
+    """Keys of a set; two sets of Jaccard ``t`` or more have one in common. ``tokens``: those that other sets have too."""
+    spare = size - int(_need(size, t))
+    alone = size - len(tokens)
+    order = np.lexsort((tokens, weights))
+    tokens, rare = tokens[order], int((weights <= frequent).sum())
+    single = tokens[: max(0, min(rare, spare + 1 - alone))]
+    out = [mix(single ^ _RARE)]
+    if alone + rare <= spare and rare < len(tokens):
+        more = tokens[rare:]
+        hashed = mix(more.copy())
+        for band in range(size.bit_length() - 1, int(size / t + 1e-9).bit_length()):
+            m = classes(band, t)
+            if not m:
+                out.append(mix(more[: spare + 1 - alone - rare] ^ (_SINGLE + np.uint64(band))))
+                continue
+            home = (hashed % np.uint64(m)).astype(np.int64)
+            fresh = np.zeros(len(more), bool)
+            fresh[np.unique(home, return_index=True)[1]] = True
+            reach = int(np.searchsorted(alone + rare + np.cumsum(~fresh), spare + 1)) + 1
+            own, home = more[:reach], home[:reach]
+            by = np.lexsort((own, home))
+            own, home = own[by], home[by]
+            left = np.searchsorted(home, home, "right") - np.arange(len(home)) - 1  # later ones of the class
+            i = np.repeat(np.arange(len(home)), left)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(left) - left, left)
+            out.append(mix(mix(own[i] * _LEFT + np.uint64(band)) + own[j]))
+    return np.concatenate(out)
+
+
+def _index_map(plan: Plan, t: float, buckets: int):
+    step = postings.first_step(buckets, plan.fan)
+
+    def flush(keys: list, ids: list, sizes: list) -> pa.RecordBatch:
+        owner = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
+        rows = postings.index_rows(np.concatenate(keys) >> np.uint64(16), owner, np.array(ids, np.int64), np.array(sizes, np.int64), np.zeros(len(ids), np.uint8), buckets, step)
+        return pa.RecordBatch.from_pylist(list(rows), postings.INDEX_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = ngram_sets(b["body"], n)
-            yield pa.RecordBatch.from_arrays([b["id"].cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+        with np.errstate(over="ignore"):
+            keys, ids, sizes, held = [], [], [], 0
+            for b in batches:
+                for i, size, tokens, weights in zip(*(b[c].to_pylist() for c in ("id", "size", "tokens", "weights"))):
+                    found = signatures(expand(tokens), expand(weights), size, plan.frequent, t)
+                    if len(found):
+                        keys.append(found)
+                        ids.append(i)
+                        sizes.append(size)
+                        held += len(found)
+                    if held >= plan.flush:
+                        yield flush(keys, ids, sizes)
+                        keys, ids, sizes, held = [], [], [], 0
+            if held:
+                yield flush(keys, ids, sizes)
 
     return run
 
 
+# -- verification
+
+
 def _verify(t: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = {i: np.frombuffer(x, np.uint64) for i, x in zip(rows["id"], rows["tokens"]) if x is not None}
-        pairs = rows[rows["a"].notna()]
+        own = rows[rows["tokens"].notna()]
+        sets = {i: (int(s), expand(x)) for i, s, x in zip(own["id"], own["size"], own["tokens"])}
         out = []
-        for a, group in pairs.groupby("a"):
-            x, bs = sets[a], group["b"].to_numpy()
+        for a, group in rows[rows["a"].notna()].groupby("a"):
+            (n, x), bs = sets[a], group["b"].to_numpy()
             for k in range(0, len(bs), 256):
                 part = bs[k : k + 256]
-                ys = [sets[b] for b in part]
-                size = np.array([len(y) for y in ys])
-                every = np.concatenate(ys)
+                size = np.array([sets[b][0] for b in part])
+                held = np.array([len(sets[b][1]) for b in part])
+                every = np.concatenate([sets[b][1] for b in part])
                 at = np.minimum(np.searchsorted(x, every), len(x) - 1)
-                both = np.add.reduceat((x[at] == every).astype(np.int64), np.cumsum(size) - size)
-                j = both / (len(x) + size - both)
+                both = np.add.reduceat((x[at] == every).astype(np.int64), np.cumsum(held) - held)
+                j = both / (n + size - both)
                 out += [(int(a), int(b), float(v)) for b, v in zip(part[j >= t], j[j >= t])]
         return pd.DataFrame(out, columns=["a", "b", "jaccard"])
 
     return run
 
 
-def _group_pairs(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, frequent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, rep, size) of every document with words, rep having the same set; and (a, b, jaccard) of different sets' reps."""
-    spark = docs.sparkSession
-    rows = one_row_per_id(docs, id_col, text_col)
-    count_buckets = shuffle_partitions(spark)
-    counted = rows.mapInArrow(_count_map(n, count_buckets), "bucket long, once binary, more binary, times binary, docs binary")
-    counted = cut(counted.groupBy("bucket").applyInPandas(_count_reduce(frequent), "id long, rep long, size long, n long, keys binary, dfs binary"))
-    groups = counted.where("id is not null").select("id", "rep", "size")
-    tables = counted.where("n is not null").select("n", "keys", "dfs")
-    while (tables.agg(F.sum("n")).first()[0] or 0) > FREQUENT_TOKENS:
-        frequent *= 2
-        tables = cut(tables.mapInPandas(_only_above(frequent), "n long, keys binary, dfs binary"))
-    hot = [(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["dfs"], np.uint32)) for r in tables.select("keys", "dfs").collect()]
-    keys, dfs = (np.concatenate(x) if hot else np.zeros(0, np.uint64) for x in (list(zip(*hot)) or [[], []]))
-    order = np.argsort(keys)
-    hot_value = spark.sparkContext.broadcast((keys[order], dfs[order]))
-
-    total = groups.where("id = rep").agg(F.sum("size")).first()[0] or 0
-    buckets = max(count_buckets // 4, math.ceil((1 - t + EXTENSION) * total / BUCKET_POSTINGS), 1)
-    copies = maybe_broadcast(groups.where("id != rep").select("id"))
-    distinct = rows.join(copies, "id", "left_anti")
-    index = distinct.mapInArrow(_index_map(n, t, buckets, count_buckets, hot_value), "bucket long, kind long, docs binary, sizes binary, keys binary, owners binary")
-    found = index.groupBy("bucket", "kind").applyInPandas(_index_reduce(t, count_buckets), "home long, a binary, b binary, n binary, need binary")
-    candidates = cut(found.groupBy("home").applyInPandas(_candidates, "a long, b long"))
-
-    # a pair is verified where the hub of its first end is, so that a set travels once or a few times, not once a pair
+def _verified(candidates: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """(a, b, jaccard) of the candidates that are similar, materialised.
+
+    A pair is verified where the hub of its first end is, so that a set travels once or a few times and
+    not once a pair. A hub's pairs are laid on a grid of tasks by their ends.
+    """
     ends = candidates.union(candidates.select("b", "a"))
     hubs = ends.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("hub"))
     placed = candidates.join(hubs, "a")
-    load = placed.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / TASK_PAIRS).alias("parts"))
-    placed = cut(placed.join(load, "hub").select("hub", F.pmod(F.xxhash64("a"), "parts").alias("part"), "a", "b"))
+    load = placed.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / TASK_PAIRS).cast("long").alias("parts"), F.approx_count_distinct("a").alias("na"), F.approx_count_distinct("b").alias("nb"))
+    # few first ends, or few second ones: the cuts fall on the others
+    side = F.ceil(F.sqrt("parts"))
+    load = load.withColumn("rows", F.when(F.col("na") < side, F.col("na")).when(F.col("nb") < side, F.ceil(F.col("parts") / F.col("nb"))).otherwise(side))
+    load = load.select("hub", F.greatest(F.col("rows"), F.lit(1)).cast("long").alias("rows"), "parts").withColumn("columns", F.expr("(parts + rows - 1) div rows"))
+    at = F.pmod(F.xxhash64("a"), "rows") * F.col("columns") + F.pmod(F.xxhash64("b"), "columns")
+    placed = cut(placed.join(load, "hub").select("hub", at.alias("part"), "a", "b"))
     members = placed.select("hub", "part", F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = maybe_broadcast(cut(members.select("id").distinct()))
-    sets = rows.join(needed, "id", "left_semi").mapInArrow(_sets_map(n), "id long, tokens binary")
     none = F.lit(None)
-    work = members.join(sets, "id").select("hub", "part", "id", "tokens", none.cast("long").alias("a"), none.cast("long").alias("b"))
-    work = work.union(placed.select("hub", "part", none.cast("long"), none.cast("binary"), "a", "b"))
-    pairs = work.groupBy("hub", "part").applyInPandas(_verify(t), "a long, b long, jaccard double")
-    return groups, pairs
+    work = members.join(sets.select("id", "size", "tokens"), "id").select("hub", "part", "id", "size", "tokens", none.cast("long").alias("a"), none.cast("long").alias("b"))
+    work = work.union(placed.select("hub", "part", none.cast("long"), none.cast("long"), none.cast("binary"), "a", "b"))
+    return cut(work.groupBy("hub", "part").applyInPandas(_verify(t), "a long, b long, jaccard double"))
+
+
+# -- the join
+
+
+def _group_pairs(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, plan: Plan) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(id, rep) of every document with words, rep being the least with the same set; (a, b, jaccard) of different sets' reps; names."""
+    rows, size, names = one_row_per_id(docs, id_col, text_col)
+    spark = docs.sparkSession
+    buckets = postings.buckets_for(size // BYTES_A_TOKEN, max(1, shuffle_partitions(spark) // 2), plan.bucket)
+    step = postings.first_step(buckets, plan.fan)
+    sent = rows.mapInArrow(_token_map(n, plan, buckets), _TOKENS_SQL)
+    sent = postings.fan_out(sent, buckets, _respread(buckets, False), plan.fan)
+    weighed = sent.groupBy("bucket").applyInPandas(_weigh(buckets, step), _TOKENS_SQL)
+    weighed = postings.fan_out(weighed, buckets, _respread(buckets, True), plan.fan)
+    sets = cut(weighed.where(F.col("kind") >= _HOME).groupBy("bucket").applyInPandas(_gather, "id long, size long, d1 long, d2 long, tokens binary, weights binary"))
 
+    keyed = sets.select("id", "size", "d1", "d2")
+    least = keyed.groupBy("d1", "d2", "size").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    copies = cut(keyed.join(least.where("n > 1"), ["d1", "d2", "size"]).where("id != rep").select("id", "rep"))
+    gone = maybe_broadcast(copies)
+    groups = keyed.select("id").join(gone, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    reps = sets.where("tokens is not null").select("id", "size", "tokens", "weights").join(gone.select("id"), "id", "left_anti")
 
-def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, frequent: int = FREQUENT) -> DataFrame:
+    total = sets.agg(F.sum("size")).first()[0] or 0
+    wide = postings.buckets_for(total // 4, max(1, shuffle_partitions(spark) // 2), plan.bucket)
+    index = reps.mapInArrow(_index_map(plan, t, wide), postings.INDEX)
+    candidates = cut(postings.joined_lists(index, wide, t, plan.list_block, plan.part, plan.fan).select("a", "b"))
+    return groups, _verified(candidates, reps, t), names
+
+
+def _plan(frequent: int, plan: Plan | None) -> Plan:
+    return plan or Plan(frequent=frequent)
+
+
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, frequent: int = FREQUENT, plan: Plan | None = None) -> DataFrame:
     """(doc_a, doc_b, jaccard): every pair of documents whose n-gram sets have at least that Jaccard similarity, doc_a < doc_b.
 
-    Exact, up to 64-bit hashes of n-grams. Rows without identifier or text, and texts without a
-    word, are in no pair. Distinct texts of a repeated identifier count as one text of several lines.
-    Texts are read whole whatever their length; ties can't occur; other columns aren't read; an empty
-    table gives no pairs.
+    Copies are listed against each other, so use ``near_groups`` where they may be many. Exact, up to
+    48-bit hashes of n-grams. Rows without identifier or text, and texts without a word, are in no
+    pair. Distinct texts of a repeated identifier count as one text of several lines. Identifiers may
+    be of any type; those that aren't whole numbers come back, and are ordered, as strings. Texts are
+    read whole whatever their length; ties can't occur; other columns aren't read; an empty table gives
+    no pairs.
     """
-    groups, pairs = _group_pairs(docs, id_col, text_col, n, threshold, frequent)
+    groups, pairs, names = _group_pairs(docs, id_col, text_col, n, threshold, _plan(frequent, plan))
     left = groups.select(F.col("id").alias("x"), F.col("rep").alias("a"))
     right = groups.select(F.col("id").alias("y"), F.col("rep").alias("b"))
     across = pairs.join(left, "a").join(right, "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
     within = left.join(right.withColumnRenamed("b", "a"), "a").where("x < y").select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return across.union(within)
+    return renamed(across.union(within), names, "doc_a", "doc_b")
+
 
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, frequent: int = FREQUENT, plan: Plan | None = None) -> DataFrame:
+    """(doc_id, class_id, copies, links, closest), one row for each identifier of a row that has a text.
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, frequent: int = FREQUENT) -> DataFrame:
+    ``class_id`` is the smallest identifier of all that are linked with the document, over any number of
+    steps, by ``similar_pairs``. ``copies`` counts the other documents with the same set, ``links`` the
+    different sets that are similar to it, each once however many documents have it; ``closest`` is the
+    greatest similarity to another document, 0 where there is none. No pair is lost: only copies aren't
+    expanded. Edge cases are those of ``similar_pairs``; a text without words is a class of its own.
+    """
+    groups, pairs, names = _group_pairs(docs, id_col, text_col, n, threshold, _plan(frequent, plan))
+    groups = cut(groups)
+    classes_ = connected_components(pairs.select("a", "b"))
+    both = pairs.union(pairs.select("b", "a", "jaccard")).groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("links"), F.max("jaccard").alias("closest"))
+    of_rep = groups.groupBy("rep").agg((F.count(F.lit(1)) - 1).alias("copies"))
+    of_rep = of_rep.join(both, "rep", "left").join(classes_.withColumnRenamed("node", "rep"), "rep", "left")
+    rows, renames = numbered_ids(docs, id_col, text_col, names)
+    out = rows.join(groups, "id", "left").join(of_rep, "rep", "left")
+    out = out.select(
+        F.col("id").alias("doc_id"), F.coalesce("component", "rep", "id").alias("class_id"), F.coalesce("copies", F.lit(0)).cast("long").alias("copies"), F.coalesce("links", F.lit(0)).cast("long").alias("links"),
+        F.when(F.col("copies") > 0, 1.0).otherwise(F.coalesce("closest", F.lit(0.0))).alias("closest"),
+    )
+    return renamed(out, renames, "doc_id", "class_id")
+
+
+def numbered_ids(docs: DataFrame, id_col: str, text_col: str, names: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """(id,) once for each identifier of a row that has a text, as numbers where they have ``names``."""
+    if names is not None:
+        return names.select(F.col("__number").alias("id")), names
+    return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct(), None
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, frequent: int = FREQUENT, plan: Plan | None = None) -> DataFrame:
     """``docs`` with one document, that of the smallest identifier, of each group linked by ``similar_pairs``; all columns.
 
-    Rows without identifier, text or words stay.
+    Rows without identifier, text or words stay, and so do all rows of an identifier that stays, equal
+    or not. Edge cases are those of ``similar_pairs``; an empty table gives an empty one.
     """
-    groups, pairs = _group_pairs(docs, id_col, text_col, n, threshold, frequent)
-    edges = pairs.select("a", "b").union(groups.where("id != rep").select("rep", "id"))
-    gone = cut(connected_components(edges).where("node != component").select(F.col("node").alias("__gone")))
-    gone = maybe_broadcast(gone)
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    groups, pairs, names = _group_pairs(docs, id_col, text_col, n, threshold, _plan(frequent, plan))
+    edges = cut(pairs.select("a", "b").union(groups.where("id != rep").select("rep", "id")))
+    gone = cut(renamed(connected_components(edges).where("node != component").select(F.col("node").alias("__gone")), names, "__gone"))
+    key = docs[id_col].cast("long" if names is None else "string")
+    return docs.join(maybe_broadcast(gone), (key == gone["__gone"]) & docs[text_col].isNotNull(), "left_anti")

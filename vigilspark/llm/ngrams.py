@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,11 +103,9 @@ def _sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
-def ngram_sets(column: pa.Array, n: int) -> list[np.ndarray]:
-    """Sorted distinct n-gram hashes of each text; none for a null."""
+def ngram_blocks(column: pa.Array, n: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(from, to, sets) of about ``BLOCK_BYTES`` of texts at a time: sorted distinct n-gram hashes of each text; none for a null."""
     data, offsets = utf8(column)
-    out: list[np.ndarray] = []
     with np.errstate(over="ignore"):
         for i, j in spans(offsets, BLOCK_BYTES):
-            out += _sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
-    return out
+            yield i, j, _sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)

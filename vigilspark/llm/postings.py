@@ -1,24 +1,65 @@
-"""Pairs of entries that share a key, in numpy: the inside of a bucketed self-join."""
+"""Postings in numpy: blobs that go to buckets, and the self-join of a bucket's lists.
+
+A posting says that a document has a key; keys have 48 bits, their upper bits are the bucket. What a
+task sends to a bucket is one blob. Beyond ``FAN`` buckets a blob first goes to a range of buckets and
+is taken apart there, so that blobs don't become tiny as the corpus grows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .blobs import expand, squeeze
+from .common import cut, maybe_broadcast
 
-PIECE = 400_000
+PIECE, FAN, BITS = 400_000, 1024, 48
+#: Postings of a bucket from which on it is cut into parts, and members of a list that are paired in one go.
+PART_POSTINGS, LIST_BLOCK = 3_000_000, 4096
+INDEX = "bucket long, n long, ids binary, sizes binary, tags binary, keys binary, owners binary, before binary"
+INDEX_ARROW = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in ("ids", "sizes", "tags", "keys", "owners", "before"))])
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Ranges of equal width of the upper 32 bits."""
-    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    """Ranges of equal width of 48-bit keys, by their upper 32 bits."""
+    return (((keys >> np.uint64(BITS - 32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def first_step(buckets: int, fan: int = FAN) -> int:
+    """Buckets in a range, such that there are at most ``fan`` ranges."""
+    step = 1
+    while -(-buckets // step) > fan:
+        step *= fan
+    return step
+
+
+def fan_out(rows: DataFrame, buckets: int, respread: Callable[[int], Callable], fan: int = FAN) -> DataFrame:
+    """``rows`` whose ``bucket`` is a range of ``first_step`` buckets, taken apart until each range is one bucket."""
+    step = first_step(buckets, fan)
+    while step > 1:
+        step //= fan
+        rows = rows.repartition("bucket").mapInArrow(respread(step), rows.schema)
+    return rows
+
+
+def cuts(sorted_targets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(target, from, to) of each run."""
+    edge = np.append(np.flatnonzero(np.r_[True, sorted_targets[1:] != sorted_targets[:-1]][: len(sorted_targets)]), len(sorted_targets))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        yield int(sorted_targets[a]), a, b
 
 
-def key_pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions i < j of equal values in sorted ``keys``, all of them, about ``PIECE`` at a time."""
+def key_pairs(keys: np.ndarray, longest: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions i < j of equal values in sorted ``keys``, all of them, about ``PIECE`` at a time; runs above ``longest`` are left out."""
     start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
     length = np.diff(np.append(start, len(keys)))
-    for c in np.unique(length[length > 1]).tolist():
+    for c in np.unique(length[(length > 1) & (length <= (longest or len(keys)))]).tolist():
         runs = start[length == c]
         if c <= 512:
             i, j = np.triu_indices(c, 1)
@@ -35,12 +76,11 @@ def key_pairs(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield s + i[above], s + j[above]
 
 
-class PairCounts:
-    """Counts of pair codes, settled now and then so that repeats take no room."""
+class PairSet:
+    """Distinct pair codes, settled now and then so that repeats take no room."""
 
-    def __init__(self, limit: int = 1_500_000):
-        self.limit, self.held, self.n = limit, [], 0
-        self.codes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def __init__(self, limit: int = 1_000_000):
+        self.limit, self.held, self.n, self.codes = limit, [], 0, np.zeros(0, np.uint64)
 
     def add(self, codes: np.ndarray) -> None:
         self.held.append(codes)
@@ -48,16 +88,143 @@ class PairCounts:
         if self.n >= self.limit:
             self.settle()
 
-    def settle(self) -> None:
-        if not self.held:
-            return
-        codes = np.sort(np.concatenate(self.held))
-        start = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]][: len(codes)])
-        codes, counts = codes[start], np.diff(np.append(start, len(codes)))
-        both = np.concatenate([self.codes, codes])
-        order = np.argsort(both, kind="stable")
-        both, counts = both[order], np.concatenate([self.counts, counts])[order]
-        start = np.flatnonzero(np.r_[True, both[1:] != both[:-1]][: len(both)])
-        self.codes, self.counts = both[start], np.add.reduceat(counts, start) if len(start) else counts
-        self.held, self.n = [], 0
-        self.limit = max(self.limit, len(self.codes))
+    def settle(self) -> np.ndarray:
+        if self.held:
+            self.codes = np.unique(np.concatenate([self.codes, *self.held]))
+            self.held, self.n = [], 0
+            self.limit = max(self.limit, len(self.codes))
+        return self.codes
+
+
+def index_rows(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, sizes: np.ndarray, tags: np.ndarray, buckets: int, step: int, before: np.ndarray | None = None) -> Iterator[dict]:
+    """Blobs of postings (keys[i] of document owner[i]), one for each range of ``step`` buckets."""
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    before = None if before is None else before[order]
+    for target, a, b in cuts(bucket_of(keys, buckets) // step):
+        docs, local = np.unique(owner[a:b], return_inverse=True)
+        yield {
+            "bucket": target, "n": b - a, "ids": squeeze(ids[docs], True), "sizes": squeeze(sizes[docs].astype(np.uint32)), "tags": squeeze(tags[docs].astype(np.uint8)),
+            "keys": squeeze(keys[a:b], True), "owners": squeeze(local.astype(np.uint32)), "before": squeeze(before[a:b]) if before is not None else b"",
+        }
+
+
+def opened(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """(key, document, what is before) of postings in the order of keys, and (id, size, tag, part) of documents."""
+    ids = [expand(x) for x in rows["ids"]]
+    shift = np.cumsum([0, *map(len, ids)])
+    size, tag = (np.concatenate([expand(x) for x in rows[c]]).astype(np.int64) for c in ("sizes", "tags"))
+    part = np.repeat(rows["part"].to_numpy(np.int64) if "part" in rows else np.zeros(len(rows), np.int64), [len(x) for x in ids])
+    key = np.concatenate([expand(x) for x in rows["keys"]])
+    doc = np.concatenate([expand(x).astype(np.int64) + d for x, d in zip(rows["owners"], shift)])
+    before = np.concatenate([expand(x) for x in rows["before"]]) if rows["before"].iloc[0] else None
+    order = np.argsort(key, kind="stable")
+    return key[order], doc[order], None if before is None else before[order], np.concatenate(ids), size, tag, part
+
+
+def _respread_index(buckets: int, step: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pandas().itertuples(index=False):
+                one = pd.DataFrame([row], columns=b.schema.names)
+                key, doc, before, ids, size, tag, _ = opened(one)
+                out = list(index_rows(key, doc, ids, size, tag, buckets, step, before))
+                yield pa.RecordBatch.from_pylist(out, INDEX_ARROW)
+
+    return run
+
+
+def _frame(a: np.ndarray, b: np.ndarray, tag: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+    x, y = ids[a], ids[b]
+    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "tag": tag[a]})
+
+
+def _pair(t: float, block: int):
+    """Pairs of one bucket, or between two parts of one; lists too long for that come out in blocks."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        key, doc, before, ids, size, tag, part = opened(rows)
+        across = rows["i"].iloc[0] != rows["j"].iloc[0]
+        pairs = PairSet()
+        for i, j in key_pairs(key, block):
+            a, b = doc[i], doc[j]
+            fits = (ids[a] != ids[b]) & (np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9)
+            if before is not None:  # a longer common run is met once, where it begins
+                fits &= (before[i] != before[j]) | (before[i] == 64)
+            if across:
+                fits &= part[a] != part[b]
+            a, b = a[fits].astype(np.uint64), b[fits].astype(np.uint64)
+            pairs.add(np.minimum(a, b) << np.uint64(32) | np.maximum(a, b))
+        codes = pairs.settle()
+        out = _frame((codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64), tag, ids)
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        length, blocks = np.diff(np.append(start, len(key))), []
+        for s, n in zip(start[length > block].tolist(), length[length > block].tolist()):
+            own = np.arange(s, s + n)
+            own = own[np.argsort(size[doc[own]], kind="stable")]
+            for side in np.unique(part[doc[own]]).tolist() if across else [-1]:
+                mine = own[part[doc[own]] == side] if across else own
+                for k in range(0, len(mine), block):
+                    d = doc[mine[k : k + block]]
+                    name = f"{rows['bucket'].iloc[0]} {rows['i'].iloc[0]} {rows['j'].iloc[0]} {key[s]}"
+                    blocks.append((name, side, k // block, int(size[d].min()), int(size[d].max()), squeeze(np.stack([ids[d], size[d], tag[d], before[mine[k : k + block]] if before is not None else np.full(len(d), -1)]))))
+        return pd.concat([out, pd.DataFrame(blocks, columns=["list", "side", "block", "low", "high", "members"])]).astype({k: "Int64" for k in ("a", "b", "tag", "side", "block", "low", "high")})
+
+    return run
+
+
+def _pair_blocks(t: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for same, left, right in zip(batch["same"], batch["x"], batch["y"]):
+                x, y = (expand(m).reshape(4, -1) for m in (left, right))
+                step = max(1, PIECE // y.shape[1])
+                for k in range(0, x.shape[1], step):
+                    i, j = np.meshgrid(np.arange(k, min(k + step, x.shape[1])), np.arange(y.shape[1]), indexing="ij")
+                    i, j = i.ravel(), j.ravel()
+                    a, b = x[:, i], y[:, j]
+                    fits = (a[0] != b[0]) & (np.minimum(a[1], b[1]) >= t * np.maximum(a[1], b[1]) - 1e-9)
+                    fits &= (a[3] != b[3]) | (a[3] == 64) | (a[3] == -1)
+                    if same:
+                        fits &= j > i
+                    a, b = a[:, fits], b[:, fits]
+                    yield pd.DataFrame({"a": np.minimum(a[0], b[0]), "b": np.maximum(a[0], b[0]), "tag": a[2]})
+
+    return run
+
+
+def joined_lists(index: DataFrame, buckets: int, t: float, block: int = LIST_BLOCK, part_postings: int = PART_POSTINGS, fan: int = FAN) -> DataFrame:
+    """(a, b, tag), a < b, once each: documents that have a key in common and whose sizes are within the factor ``t``.
+
+    A bucket above ``part_postings`` is cut into parts, and every two parts meet in a task of their
+    own; a list above ``block`` members is cut into blocks, and every two blocks meet in a row of their
+    own. So no task holds a hot list, whatever its share of the corpus.
+    """
+    index = cut(fan_out(index, buckets, lambda step: _respread_index(buckets, step), fan))
+    loads = index.groupBy("bucket").agg(F.ceil(F.sum("n") / part_postings).cast("long").alias("parts"))
+    heavy = cut(loads.where("parts > 1"))
+    none = [F.lit(0).cast("long").alias(c) for c in ("part", "i", "j")]
+    if heavy.isEmpty():
+        placed = index.select("*", *none)
+    else:
+        heavy = maybe_broadcast(heavy)
+        split = index.join(heavy, "bucket").withColumn("part", F.pmod(F.xxhash64("ids", "keys"), F.col("parts")))
+        split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        split = split.select(*index.columns, "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        placed = index.join(heavy, "bucket", "left_anti").select("*", *none).union(split)
+    schema = "a long, b long, tag long, list string, side long, block long, low long, high long, members binary"
+    found = cut(placed.groupBy("bucket", "i", "j").applyInPandas(_pair(t, block), schema))
+    pairs = found.where("a is not null").select("a", "b", "tag")
+    blocks = found.where("list is not null")
+    if not blocks.isEmpty():
+        x = blocks.select("list", F.col("side").alias("xs"), F.col("block").alias("xb"), F.col("low").alias("xl"), F.col("high").alias("xh"), F.col("members").alias("x"))
+        y = blocks.select("list", F.col("side").alias("ys"), F.col("block").alias("yb"), F.col("low").alias("yl"), F.col("high").alias("yh"), F.col("members").alias("y"))
+        near = f"xl <= yh / {t} + 1 and yl <= xh / {t} + 1"
+        meet = x.join(y, "list").where(f"((xs = -1 and xb <= yb) or xs < ys) and {near}")
+        meet = meet.select((F.expr("xs = -1 and xb = yb")).alias("same"), "x", "y").repartition(F.xxhash64("x", "y"))
+        pairs = pairs.union(meet.mapInPandas(_pair_blocks(t), "a long, b long, tag long"))
+    return pairs.distinct()
+
+
+def buckets_for(postings: int, least: int, each: int) -> int:
+    return max(least, math.ceil(postings / each), 1)

@@ -26,7 +26,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_pairs(_table(spark, sf_dir, "documents"))
+    return ngram_join.near_groups(_table(spark, sf_dir, "documents"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,15 +137,23 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, w AS bytes, max(cell) AS shard FROM t GROUP BY r, doc_id, w
     """,
     "op4_ngram_join": rf"""
-        WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS words FROM documents),
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS words FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
         g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
                 ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) END) AS gram
               FROM w WHERE len(words) > 0),
-        n AS (SELECT doc_id, count(*) AS size FROM g GROUP BY 1),
-        c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2)
-        SELECT doc_a, doc_b, shared / (x.size + y.size - shared) AS jaccard
-        FROM c JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b
-        WHERE shared >= {ngram_join.THRESHOLD} * (x.size + y.size - shared)
+        n AS (SELECT doc_id, size, min(doc_id) OVER (PARTITION BY whole) AS rep, count(*) OVER (PARTITION BY whole) - 1 AS copies
+              FROM (SELECT doc_id, count(*) AS size, string_agg(gram, '|' ORDER BY gram) AS whole FROM g GROUP BY 1)),
+        r AS (SELECT g.doc_id, gram, size FROM g JOIN n USING (doc_id) WHERE n.doc_id = rep),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / (any_value(a.size) + any_value(b.size) - count(*)) AS jaccard
+              FROM r a JOIN r b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        p AS (SELECT a, b, jaccard FROM c WHERE jaccard >= {ngram_join.THRESHOLD}),
+        l AS (SELECT a, count(*) AS links, max(jaccard) AS closest FROM p GROUP BY a),
+        reach(node, other) AS (SELECT a, a FROM l UNION SELECT reach.node, p.b FROM reach JOIN p ON reach.other = p.a),
+        k AS (SELECT node, min(other) AS class_id FROM reach GROUP BY node)
+        SELECT d.doc_id, coalesce(k.class_id, n.rep, d.doc_id) AS class_id, coalesce(n.copies, 0) AS copies, coalesce(l.links, 0) AS links,
+            CASE WHEN n.copies > 0 THEN 1.0 ELSE coalesce(l.closest, 0.0) END AS closest
+        FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) d
+        LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN l ON l.a = n.rep LEFT JOIN k ON k.node = n.rep
     """,
     "op6_chat_format": """
         WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
