@@ -62,23 +62,58 @@ def test_texts_of_one_digest_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(lsm_dedup, "with_digests", same)
     d = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "b"), (5, "c")], "doc_id long, text string")
     assert sorted((r["id"], r["keep"]) for r in lsm_dedup.find_copies(d).collect()) == [(3, 1), (4, 2)]
+    assert rows_of(lsm_dedup.exact_groups(d)) == [(1, 1, False), (2, 2, False), (3, 1, True), (4, 2, True), (5, 5, False)]
 
 
 def test_index_keeps_the_smallest_identifier():
     rng = np.random.default_rng(1)
-    index, least, n = lsm_dedup.Index(fanout=3), {}, 0
+    index, least, count = lsm_dedup.Index(fanout=3), {}, {}
     for _ in range(20):
-        d1, ids = rng.integers(-5, 5, 40), rng.integers(0, 1000, 40)
-        d2 = d1 * 7
+        d1, ids = rng.integers(-50, 50, 40), rng.integers(0, 1000, 40)
         for a, i in zip(d1.tolist(), ids.tolist()):
-            least[a] = min(least.get(a, i), i)
-        run, lost = lsm_dedup.settle(d1, d2, ids)
-        index.losers.append(lost)
-        n += 40
-        index.add(run)
-    final, lost = index.compact()
-    assert dict(zip(final.d1.tolist(), final.ids.tolist())) == least
-    assert len(final) + len(lost[0]) == n
+            least[a], count[a] = min(least.get(a, i), i), count.get(a, 0) + 1
+        index.insert(d1, d1 * 7, ids, np.ones(40, np.int64))
+    tables = index.tables()
+    got = [(a, i, n) for t in tables for a, i, n in zip(t.d1.tolist(), t.ids.tolist(), t.n.tolist())]
+    assert sorted(got) == sorted((a, least[a], count[a]) for a in least)
+    assert all((np.diff(t.d1) > 0).all() for t in tables) and len(index.tiers) > 1
+
+
+def test_filters_spare_searches():
+    rng = np.random.default_rng(4)
+    index = lsm_dedup.Index()
+    for _ in range(10):
+        index.insert(*rng.integers(-(2**62), 2**62, (2, 1000)), rng.integers(0, 1000, 1000), np.ones(1000, np.int64))
+    assert index.asked > 10_000 and index.searched < 0.02 * index.asked
+    before = index.searched
+    old = index.tables()[0]
+    index.insert(old.d1[:10].copy(), old.d2[:10].copy(), np.full(10, -1), np.ones(10, np.int64))
+    assert index.searched - before >= 10 and (old.ids[:10] == -1).all() and (old.n[:10] == 2).all()
+
+
+def test_a_later_batch_probes_the_stored_index(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    one, two, three = make([(5, "a"), (6, "b"), (7, "a")]), make([(8, "b"), (9, "c"), (3, "a")]), make([(10, "d"), (11, "c")])
+    path = str(tmp_path / "index")
+    found = lambda d, known: sorted((r["id"], r["keep"]) for r in lsm_dedup.find_copies(d, index=path, known=known, memtable_rows=2).collect())
+    assert found(one, None) == [(7, 5)]
+    assert found(two, one) == [(8, 6)]
+    assert found(three, one.union(two)) == [(11, 9)]
+    tables = spark.read.parquet(f"{path}/version-3").collect()
+    rows = sorted((i, n) for t in tables for i, n in zip(*np.frombuffer(t["rows"], np.int64).reshape(4, -1)[2:].tolist()))
+    assert rows == [(3, 3), (6, 2), (9, 2), (10, 1)]
+
+
+def test_dedup_takes_strings_as_identifiers(spark):
+    d = spark.createDataFrame([("b", "x"), ("a", "x"), ("c", "y"), ("d", None), (None, "x"), ("c", "y")], "doc_id string, text string")
+    assert rows_of(lsm_dedup.exact_groups(d)) == [("a", "a", False), ("b", "a", True), ("c", "c", False), ("c", "c", False), ("d", "d", False)]
+    assert rows_of(lsm_dedup.drop_copies(d).select("doc_id")) == [("a",), ("c",), ("d",), (None,)]
+
+
+def test_repeated_rows_are_settled_by_their_hash(spark):
+    rows = [(5, "a", c) for c in "pqrstuvw"]
+    kept = {tuple(map(tuple, lsm_dedup.drop_copies(spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string, extra string").repartition(k + 1)).collect())) for k in range(3)}
+    assert len(kept) == 1
 
 
 def test_filter_has_no_false_negative():
@@ -118,7 +153,7 @@ def _score(a: dict, b: dict, gate: bool = True) -> int:
     best = 0
     for k1, s1 in a.items():
         s2 = b.get(k1, "")
-        run = fingerprints.COMMON_SHORT if min(len(s1), len(s2)) <= fingerprints.SHORT else fingerprints.COMMON
+        run = fingerprints.COMMON_SHORT if k1 == fingerprints.LEAST_BITS and min(len(s1), len(s2)) <= fingerprints.SHORT else fingerprints.COMMON
         if s1 and s2 and (not gate or any(s1[i : i + run] in s2 for i in range(len(s1) - run + 1))):
             longer = max(len(s1), len(s2))
             best = max(best, 100 * (longer - _levenshtein(s1, s2)) // longer)

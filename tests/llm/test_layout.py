@@ -4,6 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from vigilspark.llm import mixing, packing, shards, url_filter
 
@@ -45,6 +46,46 @@ def test_forms_of_one_url_are_one_resource(spark):
     assert len({r["resource"] for r in url_filter.filter_urls(d).collect()}) == 1
 
 
+def test_links_resolve_in_every_form(spark):
+    page = "http://h.com/a/b/page.html?q=1"
+    links = {
+        "../x/c.html": "http://h.com/a/x/c", "page2.html": "http://h.com/a/b/page2", "./y": "http://h.com/a/b/y", "../../../up": "http://h.com/up", "/root": "http://h.com/root", "?p=1": "http://h.com/a/b/page.html?p=1",
+        "//other.com/z": "http://other.com/z", "https://o.org/k?a=1&amp;b=2": "http://o.org/k?a=1&b=2", "/s?u=1&#38;v=2": "http://h.com/s?u=1&v=2",
+    }
+    tags = ('<link rel="canonical" href="{}">', "<LINK HREF='{}' REL=CANONical>", '<link rel="alternate canonical" type=x href={} />', '<meta content="0; url={}" http-equiv="Refresh">', "<META HTTP-EQUIV='REFRESH' CONTENT='5;URL={}'>")
+    for tag in tags:
+        for k, (link, target) in enumerate(links.items()):
+            d = spark.createDataFrame([(page, "<html><head>" + tag.format(link))], "url string, html string")
+            want = spark.createDataFrame([(target,)], "u string").select(url_filter.normal_form(F.col("u"))).first()[0]
+            if tag is tags[k % len(tags)]:
+                assert [r["b"] for r in url_filter.page_edges(d).collect()] == [want], (tag, link)
+    no = "".join(f'<link rel="canonical" href="{x}">' for x in ("#top", "mailto:a@b.c", "javascript:x()", "")) + '<link rel="stylesheet" href="/s.css"><link rel="canonical" data-href="/no">'
+    assert url_filter.page_edges(spark.createDataFrame([(page, no), (page, None), (None, CANON.format("/x"))], "url string, html string")).count() == 0
+
+
+def test_all_links_of_a_long_page_count(spark):
+    pad = "<p>words and words</p>" * 20_000
+    rows = [("http://far.com/d/p", pad + CANON.format("http://one.com/") + pad + '<Link Rel="CANONical" href="../x/c.html">'), ("http://far.com/x/c.html", '<meta http-equiv=refresh content="0;url=http://free-bets.org">'), ("http://one.com", "")]
+    assert set(_decide(spark, rows).values()) == {"block"}
+
+
+def test_rules_are_tables(spark):
+    d = spark.createDataFrame([(1, "http://a.b.bad.com/x"), (2, "http://notbad.com/"), (3, "http://good.bad.com/"), (4, "http://q.com/one"), (5, "http://q.com/two"), (6, "http://xwordy.net")], "page_id long, url string").withColumn("html", F.lit(None).cast("string"))
+    block = spark.createDataFrame([("host", "bad.com"), ("url", "q.com/one"), ("word", "word"), ("host", None), ("host", "bad.com")], "kind string, value string")
+    allow = spark.createDataFrame([("host", "good.bad.com")], "kind string, value string")
+    got = {r["page_id"]: r["decision"] for r in url_filter.filter_urls(d, None, block, allow).collect()}
+    assert got == {1: "block", 2: "pass", 3: "allow", 4: "block", 5: "pass", 6: "block"}
+    assert set(r["decision"] for r in url_filter.filter_urls(d, None, (), ()).collect()) == {"pass"}
+
+
+def test_urls_of_messy_rows(messy, none):
+    d = messy.withColumnRenamed("text", "html").withColumnRenamed("source", "url").withColumnRenamed("doc_id", "page_id")
+    got = url_filter.filter_urls(d)
+    assert got.count() == messy.count() and {r["decision"] for r in got.collect()} == {"pass"}
+    e = none.withColumnRenamed("text", "html").withColumnRenamed("source", "url").withColumnRenamed("doc_id", "page_id")
+    assert url_filter.filter_urls(e).count() == 0
+
+
 def test_redirect_table_repeated_rows_and_empty_tables(spark):
     d = spark.createDataFrame([(1, "http://q.com", None, "x"), (1, "http://q.com", None, "y")], "page_id long, url string, html string, node string")
     more = spark.createDataFrame([("http://q.com/", "http://spam.com/"), (None, "http://q.com"), ("http://q.com", "http://q.com")], "source string, target string")
@@ -83,19 +124,22 @@ def _tree(rows, target):
     return sorted(out)
 
 
-@pytest.mark.parametrize("bins", [3, 4096])
-def test_shards_against_the_recursion(docs, bins):
+@pytest.mark.parametrize(("bins", "local"), [(3, 0), (4096, 0), (4096, 40), (4096, 10**6)])
+def test_shards_against_the_recursion(docs, bins, local):
     import hashlib
 
     code = lambda s: -1 if s is None else int(hashlib.md5(s.encode()).hexdigest()[:8], 16)
     rows = [(r["doc_id"], len(r["text"].encode()), (r["n_chars"], r["doc_id"], code(r["source"]), code(r["lang"]))) for r in docs.collect()]
-    got = shards.kd_shards(docs, target_bytes=30_000, bins=bins)
+    got = shards.kd_shards(docs, target_bytes=30_000, bins=bins, local_rows=local)
     assert sorted(map(tuple, got.collect())) == _tree(rows, 30_000)
 
 
 def test_shards_on_messy_rows(messy, none):
     got = shards.kd_shards(messy, target_bytes=100).collect()
     assert len(got) == messy.count()
+    assert rows_of(shards.kd_shards(messy, target_bytes=100, local_rows=1)) == sorted(map(tuple, got), key=repr)
+    named = messy.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert shards.kd_shards(named, target_bytes=100).count() == messy.count()
     size, members = Counter(), defaultdict(list)
     for r in got:
         size[r["shard"]] += r["bytes"]
@@ -107,15 +151,33 @@ def test_shards_on_messy_rows(messy, none):
 # -- mixing
 
 
-def test_schedule_follows_the_weights(docs):
-    plan = mixing.schedule(docs, {"web": 3.0, "books": 1.0, "nowhere": 2.0} if docs.where("source = 'books'").count() else None, block=200).collect()
+@pytest.mark.parametrize("target", [{"a": 0.9, "b": 0.05, "c": 0.05}, {"a": 0.6, "b": 0.3, "c": 0.1}])
+def test_tokens_meet_the_targets(spark, target):
+    d = spark.createDataFrame([(i, "w " * 50, "abc"[i % 3]) for i in range(600)], "doc_id long, text string, source string")
+    plan = mixing.schedule(d, target, block=50).collect()
+    tokens = Counter()
+    for r in plan:
+        tokens[r["source"]] += r["tokens"]
+    total = sum(tokens.values())
+    assert all(abs(tokens[k] / total - t) < 0.01 for k, t in target.items())
     slots = {}
     for r in plan:
         assert slots.setdefault(r["slot"], r["source"]) == r["source"]
+    assert set(slots) == set(range(len(slots)))
+    # the end of the stream has the weights too
+    late = Counter(slots[s] for s in range(len(slots) // 2, len(slots)))
+    assert all(abs(late[k] / late.total() - t) < 0.02 for k, t in target.items())
+
+
+def test_mixing_may_end_with_the_first_source(spark):
+    d = spark.createDataFrame([(i, "w " * 50, "ab"[i % 3 == 0]) for i in range(300)], "doc_id long, text string, source string")
+    plan = mixing.schedule(d, {"a": 0.5, "b": 0.5}, block=50, until="first").collect()
+    used = Counter(r["source"] for r in plan)
+    assert {r["epoch"] for r in plan} == {0} and used["b"] == 100 and 95 <= used["a"] <= 105
 
 
 def test_every_source_is_used_whole_once(docs):
-    plan = mixing.schedule(docs, block=500, max_epochs=100).collect()
+    plan = mixing.schedule(docs, block=500).collect()
     first = Counter(r["id"] for r in plan if r["epoch"] == 0)
     want = {r["doc_id"] for r in docs.collect()}
     assert set(first) == want and set(first.values()) == {1}
@@ -145,7 +207,7 @@ def test_schedule_ends_where_the_last_source_is_whole(spark, small):
         at = Fraction(u) * sources[0]["all"]
         left[next(r["source"] for r in sources if r["low"] <= at < r["high"])] -= 1
         slot += 1
-    plan = mixing.schedule(d, max_epochs=10**6).collect()
+    plan = mixing.schedule(d).collect()
     assert max(r["slot"] for r in plan) == slot - 1
     assert {r["id"] for r in plan} == {r[0] for r in rows}
 
@@ -154,7 +216,7 @@ def test_prefixes_are_close_to_the_weights(spark):
     rows = [(i, "w " * 50, "abc"[i % 3]) for i in range(600)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
     target = {"a": 0.5, "b": 0.3, "c": 0.2}
-    plan = mixing.schedule(d, target, block=50, max_epochs=1000).collect()
+    plan = mixing.schedule(d, target, block=50).collect()
     by = {r["slot"]: r["source"] for r in plan}
     for n in (50, 200, len(by)):
         share = Counter(by[s] for s in range(n))

@@ -1,6 +1,7 @@
 """The pipeline and the registered queries."""
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -8,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from tests.conftest import SMALL, table
-from vigilspark.llm import language_id, mixing
+from vigilspark.llm import language_id, mixing, ngram_join
 from vigilspark.llm.queries import ORACLES, QUERIES
 
 
@@ -69,9 +70,53 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert packed == sum(len(r["text"].split()) for r in mixed)
 
 
+def test_each_stage_runs_once(spark, monkeypatch):
+    """A counter in front of the network, and one in the check of candidate pairs."""
+    seen = spark.sparkContext.accumulator(0)
+    pairs = spark.sparkContext.accumulator(0)
+    real = ngram_join._verify
+
+    def counted(t):
+        verify = real(t)
+
+        def run(rows):
+            pairs.add(int(rows["a"].notna().sum()))
+            return verify(rows)
+
+        return run
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    (name, first), *rest = corpus_pipeline.STAGES
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, lambda s, d, x: first(s, d, x).mapInPandas(count, d.schema)), *rest])
+    candidates = []
+    plain = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda c, s, t: candidates.append(c.count()) or plain(c, s, t))
+    monkeypatch.setattr(ngram_join, "_verify", counted)
+    corpus_pipeline.run(spark, SMALL).collect()
+    kept = language_id.keep_identified(spark.read.parquet(f"{SMALL}/documents.parquet")).count()
+    assert seen.value == kept and pairs.value == sum(candidates) > 0
+
+
 def test_stages_take_messy_and_empty_tables(spark, messy, none):
     for d in (messy, none):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, d, SMALL)
+            rows = out.collect()
+            ids = Counter(r["doc_id"] for r in rows)
             assert name == "packing" or out.columns == d.columns
-            out.count()
+            if d is none:
+                assert not rows
+            elif name == "language_id":
+                assert not {3, 4, 5} & set(ids) and {1, 2, 6, 7} <= set(ids) and ids[2] == 2
+            elif name == "exact_dedup":
+                assert ids == Counter([1, 3, 4, 6, 7, 8, 9, 10, None, None])
+            elif name == "ngram_jaccard_join":
+                assert ids == Counter([1, 3, 4, 5, 6, 8, 9, 10, None, None])
+            elif name == "mixing":
+                assert {1, 2, 4, 5, 6, 7, 8, 9, 10, None} <= set(ids)
+            else:
+                assert set(ids) == {1, 2, 6, 7, 8, 10, None}

@@ -6,7 +6,7 @@ bits, hence the boundaries of 2^(k+1) are among those of 2^k. A document's block
 for which the whole text has at most ``LENGTH`` chunks; a chunk gives one character, and the
 fingerprint has the signatures for 2^k and 2^(k+1). Runs of a character are cut to ``RUN``, as
 repeated content says little. Signatures of one block size are compared by edit distance if they
-have ``COMMON`` characters in a row in common, ``COMMON_SHORT`` if one of them is short.
+have ``COMMON`` characters in a row in common, ``COMMON_SHORT`` for short texts.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .ngrams import mix
 from .postings import INDEX, INDEX_ARROW, buckets_for, first_step, index_rows, joined_lists
 
 WINDOW, LEAST_BITS, LENGTH, RUN = 7, 3, 64, 3
-#: Characters in a row that two signatures have in common to be compared; fewer where the shorter one has at most ``SHORT``.
+#: Characters in a row that two signatures have in common to be compared; fewer for the least block size where the shorter one has at most ``SHORT``.
 COMMON, COMMON_SHORT, SHORT = 7, 5, 16
 #: Least score of a match: 100 times 1 - distance / longer signature.
 MIN_SCORE = 60
@@ -138,7 +138,7 @@ def _post(buckets: int, step: int, min_score: int):
         ids, bits = table["id"].to_numpy(), table["bits"].to_numpy()
         data, offsets = utf8(table["sig"])
         code, size = _CODE[data], np.diff(offsets)
-        few = size <= SHORT * 100 / min_score
+        few = (size <= SHORT * 100 / min_score) & (bits == LEAST_BITS)
         short, whose, ahead = _grams(code[np.repeat(few, size)], size[few], COMMON_SHORT)
         parts = [_grams(code, size, COMMON), (short, np.flatnonzero(few)[whose], ahead)]
         keys = np.concatenate([mix((g * np.uint64(64) + bits[o].astype(np.uint64)) ^ np.uint64(k << 56)) for (g, o, _), k in zip(parts, (COMMON, COMMON_SHORT))])

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .arrow_text import utf8
 
 WINDOW, EMBED, WIDTHS, FILTERS = 192, 8, (2, 3, 4), 12
-#: The sample's bound: documents of each language, and windows of each of those.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 4
+#: The sample's bound: documents of each language, which are read whole.
+SAMPLE_DOCS = 250
 #: A document is rejected as noise from this mean probability on, or if no class reaches the second one.
 NOISE, NOISE_CONFIDENCE, MIN_CONFIDENCE = "und", 0.6, 0.35
 _REACH = max(WIDTHS)
@@ -151,18 +151,17 @@ def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for i, lang, text in zip(b["id"], b["lang"], b["text"]):
             raw = text.encode()
-            every = -(-len(raw) // WINDOW)
-            for k in sorted({j * every // SAMPLE_WINDOWS for j in range(SAMPLE_WINDOWS)}):
-                rows.append((i, lang, k, raw[k * WINDOW : (k + 1) * WINDOW].ljust(WINDOW, b"\0")))
+            rows += [(i, lang, k, raw[k : k + WINDOW].ljust(WINDOW, b"\0")) for k in range(0, len(raw), WINDOW)]
         yield pd.DataFrame(rows, columns=["id", "lang", "k", "window"])
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Network | None:
-    """Train on about ``sample_docs`` documents of each label, those of least hash; None without labelled text.
+    """Train on about ``sample_docs`` whole documents of each label, those of least hash; None without labelled text.
 
-    The share to take follows from the number of rows of each label, so nothing is shuffled or sorted.
+    The share to take follows from the number of rows of each label, so nothing is sorted; of rows that
+    repeat an identifier and a label one is taken.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where("id is not null and lang is not null and length(text) > 0")
     counts = {r["lang"]: r["n"] for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -170,10 +169,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     take = F.lit(False)
     for lang, n in counts.items():
         take = take | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample_docs / n)) + 1))
-    found = rows.where(take).mapInPandas(_sampled, "id long, lang string, k long, window binary").toPandas()
-    found = found.sort_values(["lang", "id", "k", "window"]).groupby("lang").head(2 * sample_docs * SAMPLE_WINDOWS)
+    found = rows.where(take).groupBy("id", "lang").agg(F.min("text").alias("text")).mapInPandas(_sampled, "id string, lang string, k long, window binary").toPandas()
     if found.empty:
         return None
+    found = found.sort_values(["lang", "id", "k"])
     return train(np.frombuffer(b"".join(found["window"]), np.uint8).reshape(-1, WINDOW), list(found["lang"]))
 
 
@@ -210,18 +209,20 @@ def accepted(found: Column, noise: float = NOISE_CONFIDENCE, least: float = MIN_
     return F.coalesce((found["confidence"] >= least) & ~((found["lang"] == NOISE) & (found["confidence"] >= noise)), F.lit(False)) & (found["windows"] > 0)
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(doc_id, lang_found, confidence, windows, accepted), a row for each row of ``docs``.
 
-    Training reads ``lang_col``; predictions read the text alone. Null or empty text: no language,
-    confidence 0, not accepted. Without any labelled row nothing is identified. Null identifiers and
-    labels are allowed; repeated rows give repeated results; other columns are not read.
+    Training reads ``lang_col``; predictions read the text alone, whole, however long. Null or empty
+    text: no language, confidence 0, not accepted. Of equal probabilities the class first by name counts.
+    Without any labelled row nothing is identified. Identifiers may be of any type or null, labels null;
+    repeated rows give repeated results; other columns are not read, whatever their names; an empty table
+    gives no rows.
     """
-    found = predictor(fit(docs, id_col, text_col, lang_col))(F.col(text_col))
+    found = predictor(fit(docs, id_col, text_col, lang_col, sample_docs))(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), found.alias("found"))
     return rows.select("doc_id", F.col("found.lang").alias("lang_found"), F.round("found.confidence", 4).alias("confidence"), F.col("found.windows").alias("windows"), accepted(F.col("found")).alias("accepted"))
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows that ``identify_languages`` doesn't accept; columns as they are."""
-    return docs.where(accepted(predictor(fit(docs, id_col, text_col, lang_col))(docs[text_col])))
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """``docs`` with the rows that ``identify_languages`` accepts, all columns as they are: rows of null, empty or noise text go, repeated rows stay or go together, an empty table stays empty."""
+    return docs.where(accepted(predictor(fit(docs, id_col, text_col, lang_col, sample_docs))(docs[text_col])))

@@ -32,10 +32,10 @@ from .blobs import expand, squeeze
 from .common import connected_components, cut, maybe_broadcast, numbered, renamed, shuffle_partitions
 from .ngrams import mix, ngram_blocks
 
-NGRAM, THRESHOLD, FREQUENT = 3, 0.5, 64
+NGRAM, THRESHOLD, FREQUENT = 3, 0.5, 256
 #: Bytes of text a token, at least about; only for the number of buckets.
 BYTES_A_TOKEN = 6
-TASK_PAIRS = 20_000
+TASK_PAIRS = 5_000
 _POSTING, _COUNT, _HOME, _INFO = range(4)
 _DENSE = np.uint32(0xFFFFFFFF)
 _SINGLE, _RARE, _LEFT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E6C63D0876A9A99), np.uint64(0x2545F4914F6CDD1D)
@@ -340,20 +340,28 @@ def _index_map(plan: Plan, t: float, buckets: int):
 def _verify(t: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows[rows["tokens"].notna()]
-        sets = {i: (int(s), expand(x)) for i, s, x in zip(own["id"], own["size"], own["tokens"])}
-        out = []
-        for a, group in rows[rows["a"].notna()].groupby("a"):
-            (n, x), bs = sets[a], group["b"].to_numpy()
-            for k in range(0, len(bs), 256):
-                part = bs[k : k + 256]
-                size = np.array([sets[b][0] for b in part])
-                held = np.array([len(sets[b][1]) for b in part])
-                every = np.concatenate([sets[b][1] for b in part])
-                at = np.minimum(np.searchsorted(x, every), len(x) - 1)
-                both = np.add.reduceat((x[at] == every).astype(np.int64), np.cumsum(held) - held)
-                j = both / (n + size - both)
-                out += [(int(a), int(b), float(v)) for b, v in zip(part[j >= t], j[j >= t])]
-        return pd.DataFrame(out, columns=["a", "b", "jaccard"])
+        sets = [expand(x) for x in own["tokens"]]
+        held = np.array([len(x) for x in sets])
+        size = own["size"].to_numpy(np.int64)
+        # tokens as places among those of the task, so that an overlap is looked up and not searched for
+        known, code = np.unique(np.concatenate(sets), return_inverse=True)
+        code, start = code.astype(np.int32), np.append(0, np.cumsum(held))
+        del sets
+        pairs = rows.loc[rows["a"].notna(), ["a", "b"]].astype(np.int64).sort_values("a", kind="stable")
+        ids = own["id"].to_numpy(np.int64)
+        order = np.argsort(ids)
+        x, y = (order[np.searchsorted(ids[order], pairs[c].to_numpy())] for c in ("a", "b"))
+        mark, out = np.zeros(len(known), np.int64), np.zeros(len(x), np.float64)
+        edge = np.append(np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)]), len(x))
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            mine = code[start[x[i]] : start[x[i] + 1]]
+            mark[mine] = 1
+            for k in range(i, j, 256):
+                bs = y[k : min(k + 256, j)]
+                both = np.add.reduceat(mark[np.concatenate([code[start[b] : start[b + 1]] for b in bs])], np.cumsum(held[bs]) - held[bs])
+                out[k : k + len(bs)] = both / (size[x[i]] + size[bs] - both)
+            mark[mine] = 0
+        return pairs.assign(jaccard=out)[out >= t]
 
     return run
 
@@ -362,7 +370,8 @@ def _verified(candidates: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """(a, b, jaccard) of the candidates that are similar, materialised.
 
     A pair is verified where the hub of its first end is, so that a set travels once or a few times and
-    not once a pair. A hub's pairs are laid on a grid of tasks by their ends.
+    not once a pair. A hub's pairs are laid on a grid of parts by their ends; a task has parts of about
+    ``TASK_PAIRS`` pairs together.
     """
     ends = candidates.union(candidates.select("b", "a"))
     hubs = ends.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("hub"))
@@ -373,12 +382,13 @@ def _verified(candidates: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     load = load.withColumn("rows", F.when(F.col("na") < side, F.col("na")).when(F.col("nb") < side, F.ceil(F.col("parts") / F.col("nb"))).otherwise(side))
     load = load.select("hub", F.greatest(F.col("rows"), F.lit(1)).cast("long").alias("rows"), "parts").withColumn("columns", F.expr("(parts + rows - 1) div rows"))
     at = F.pmod(F.xxhash64("a"), "rows") * F.col("columns") + F.pmod(F.xxhash64("b"), "columns")
-    placed = cut(placed.join(load, "hub").select("hub", at.alias("part"), "a", "b"))
-    members = placed.select("hub", "part", F.explode(F.array("a", "b")).alias("id")).distinct()
+    tasks = max(1, -(-candidates.count() // TASK_PAIRS))
+    placed = cut(placed.join(load, "hub").select(F.pmod(F.xxhash64("hub", at), F.lit(tasks)).alias("task"), "a", "b"))
+    members = placed.select("task", F.explode(F.array("a", "b")).alias("id")).distinct()
     none = F.lit(None)
-    work = members.join(sets.select("id", "size", "tokens"), "id").select("hub", "part", "id", "size", "tokens", none.cast("long").alias("a"), none.cast("long").alias("b"))
-    work = work.union(placed.select("hub", "part", none.cast("long"), none.cast("long"), none.cast("binary"), "a", "b"))
-    return cut(work.groupBy("hub", "part").applyInPandas(_verify(t), "a long, b long, jaccard double"))
+    work = members.join(sets.select("id", "size", "tokens"), "id").select("task", "id", "size", "tokens", none.cast("long").alias("a"), none.cast("long").alias("b"))
+    work = work.union(placed.select("task", none.cast("long"), none.cast("long"), none.cast("binary"), "a", "b"))
+    return cut(work.groupBy("task").applyInPandas(_verify(t), "a long, b long, jaccard double"))
 
 
 # -- the join

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import cut, ranked, running_total, word_tokens
 
 PACK_TOKENS = 2048
-_CHUNKS = 64
+#: Rows of a chunk, within which one task ranks documents of one length.
+CHUNK_ROWS = 200_000
 
 
 def patterns(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -70,12 +71,13 @@ def pack_documents(docs: DataFrame, size: int = PACK_TOKENS, id_col: str = "doc_
     A document of more than ``size`` tokens is cut into full packs of its own and a rest; rests and
     shorter documents are packed together and never cut. Documents without tokens (null, empty or
     blank text) are in no pack. A null identifier is kept as null. Repeated rows are packed as often
-    as they occur. Ties of length go by identifier. Other columns aren't read. An empty table gives no packs.
+    as they occur. Identifiers may be of any type. Ties of length go by chunk, identifier and text. Other columns aren't read. An empty table gives no packs.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), word_tokens(F.col(text_col)).alias("total"), F.xxhash64(text_col).alias("h")).where("total > 0")
     rows = rows.select("doc_id", "h", "total", F.expr(f"total div {size}").alias("full"), F.expr(f"total % {size}").alias("rest"))
-    rows = cut(rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(_CHUNKS))))
+    rows = cut(rows)
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "h"), F.lit(max(1, -(-rows.count() // CHUNK_ROWS)))))
     histogram = {r["rest"]: r["n"] for r in rows.where("rest > 0").groupBy("rest").agg(F.count(F.lit(1)).alias("n")).collect()}
     found = patterns(histogram, size)
     table = entries(found) or [(0, 0, 0, 0, 1, 0)]

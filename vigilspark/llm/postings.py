@@ -134,9 +134,19 @@ def _respread_index(buckets: int, step: int):
     return run
 
 
-def _frame(a: np.ndarray, b: np.ndarray, tag: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
-    x, y = ids[a], ids[b]
-    return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "tag": tag[a]})
+_FOUND = "a binary, b binary, tags binary, list string, side long, block long, low long, high long, members binary"
+
+
+def _packed(a: np.ndarray, b: np.ndarray, tag: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    return squeeze(low[order], True), squeeze(high[order]), squeeze(tag[order].astype(np.uint8))
+
+
+def _pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for a, b, tags in zip(batch["a"], batch["b"], batch["tags"]):
+            yield pd.DataFrame({"a": expand(a), "b": expand(b), "tag": expand(tags).astype(np.int64)})
 
 
 def _pair(t: float, block: int):
@@ -156,9 +166,10 @@ def _pair(t: float, block: int):
             a, b = a[fits].astype(np.uint64), b[fits].astype(np.uint64)
             pairs.add(np.minimum(a, b) << np.uint64(32) | np.maximum(a, b))
         codes = pairs.settle()
-        out = _frame((codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64), tag, ids)
+        a, b = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        out = [(*_packed(ids[a], ids[b], tag[a]), None, -1, -1, -1, -1, None)] if len(codes) else []
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-        length, blocks = np.diff(np.append(start, len(key))), []
+        length = np.diff(np.append(start, len(key)))
         for s, n in zip(start[length > block].tolist(), length[length > block].tolist()):
             own = np.arange(s, s + n)
             own = own[np.argsort(size[doc[own]], kind="stable")]
@@ -167,8 +178,8 @@ def _pair(t: float, block: int):
                 for k in range(0, len(mine), block):
                     d = doc[mine[k : k + block]]
                     name = f"{rows['bucket'].iloc[0]} {rows['i'].iloc[0]} {rows['j'].iloc[0]} {key[s]}"
-                    blocks.append((name, side, k // block, int(size[d].min()), int(size[d].max()), squeeze(np.stack([ids[d], size[d], tag[d], before[mine[k : k + block]] if before is not None else np.full(len(d), -1)]))))
-        return pd.concat([out, pd.DataFrame(blocks, columns=["list", "side", "block", "low", "high", "members"])]).astype({k: "Int64" for k in ("a", "b", "tag", "side", "block", "low", "high")})
+                    out.append((None, None, None, name, side, k // block, int(size[d].min()), int(size[d].max()), squeeze(np.stack([ids[d], size[d], tag[d], before[mine[k : k + block]] if before is not None else np.full(len(d), -1)]))))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _FOUND.split(", ")])
 
     return run
 
@@ -212,9 +223,10 @@ def joined_lists(index: DataFrame, buckets: int, t: float, block: int = LIST_BLO
         split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         split = split.select(*index.columns, "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
         placed = index.join(heavy, "bucket", "left_anti").select("*", *none).union(split)
-    schema = "a long, b long, tag long, list string, side long, block long, low long, high long, members binary"
-    found = cut(placed.groupBy("bucket", "i", "j").applyInPandas(_pair(t, block), schema))
-    pairs = found.where("a is not null").select("a", "b", "tag")
+    # by number, as a bucket is small in bytes and large in pairs
+    tasks = min(100_000, 2 * (loads.agg(F.sum(F.expr("parts * (parts + 1) div 2"))).first()[0] or 1))
+    found = cut(placed.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(_pair(t, block), _FOUND))
+    pairs = found.where("a is not null").select("a", "b", "tags").mapInPandas(_pairs_of, "a long, b long, tag long")
     blocks = found.where("list is not null")
     if not blocks.isEmpty():
         x = blocks.select("list", F.col("side").alias("xs"), F.col("block").alias("xb"), F.col("low").alias("xl"), F.col("high").alias("xh"), F.col("members").alias("x"))

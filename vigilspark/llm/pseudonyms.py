@@ -5,8 +5,9 @@ Feistel network keyed by a secret permutes the values of the kind, and check dig
 The permutation doesn't hang on the document, so equal values stay equal and linked across the
 corpus, and whoever has the key can invert it.
 
-Kinds: payment card (Luhn), phone, social security number, IPv4 address, calendar date, IBAN
-(mod 97), and e-mail address, whose local part is permuted as a number over its own letters and digits.
+Kinds: payment card (Luhn), phone, social security number, IPv4 address, calendar date in figures or
+with the English name of its month, IBAN (mod 97), and e-mail address, whose local part is permuted as a
+number over its own letters and digits. Every kind has a digit or an '@', so other texts stay in the JVM.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "set a secret of your own"
 ROUNDS = 8
 #: Characters of a local part that are permuted as one number.
 LOCAL_PIECE = 64
@@ -88,12 +88,21 @@ def _refill(shape: str, digits: str) -> str:
 
 
 _DAY0, _DAYS = dt.date(1900, 1, 1).toordinal(), 73_049  # to 2099-12-31
-_DATE = re.compile(r"(?P<y>\d{4})(?P<s>[-/.])(?P<m>\d{2})(?P=s)(?P<d>\d{2})|(?P<d2>\d{2})(?P<s2>[-/.])(?P<m2>\d{2})(?P=s2)(?P<y2>\d{4})")
+_DATE = re.compile(r"(?P<y>\d{4})(?P<s>[-/.])(?P<m>\d{1,2})(?P=s)(?P<d>\d{1,2})|(?P<d2>\d{1,2})(?P<s2>[-/.])(?P<m2>\d{1,2})(?P=s2)(?P<y2>\d{4})", re.ASCII)
+_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_MONTH_OF = {n.lower(): i for i, n in enumerate(_MONTHS, 1)} | {n[:3].lower(): i for i, n in enumerate(_MONTHS, 1)}
+_NAME = "|".join(sorted(_MONTH_OF, key=len, reverse=True))
+_NAMED = rf"(?:(?P<m>{_NAME})\.? (?P<d>\d{{1,2}})(?P<o>st|nd|rd|th)?|(?P<d2>\d{{1,2}})(?P<o2>st|nd|rd|th)? (?:of )?(?P<m2>{_NAME})\.?),? "
+_NAMED_DATE = re.compile(_NAMED + r"(?P<y>\d{4})", re.I | re.ASCII)
+_BEFORE_YEAR = re.compile(rf"(?<![^\W_]){_NAMED}$", re.I | re.ASCII)
+_YEAR = re.compile(r"(?:19|20)\d{2}(?![^\W_])", re.ASCII)
 _MIXED = {"0123456789": 10, "abcdefghijklmnopqrstuvwxyz": 26, "ABCDEFGHIJKLMNOPQRSTUVWXYZ": 26}
 
 
 class Pseudonymizer:
-    def __init__(self, key: str = KEY, inverse: bool = False):
+    def __init__(self, key: str, inverse: bool = False):
+        if not key:
+            raise ValueError("a secret key is required")
         self.key, self.inverse = key, inverse
         self.network = functools.lru_cache(4096)(lambda kind, n: Feistel(key, kind, n))
         self.replaced = functools.lru_cache(1 << 16)(self._replaced)
@@ -148,24 +157,60 @@ class Pseudonymizer:
     def date(self, s: str) -> str | None:
         m = _DATE.fullmatch(s)
         if m is None:
-            return None
-        y, mo, d = (int(m[k] or m[k + "2"]) for k in ("y", "m", "d"))
-        american = bool(m["y2"]) and mo > 12 and m["s2"] == "/"
+            return self._named_date(s)
+        y, mo, d = (m[k] or m[k + "2"] for k in ("y", "m", "d"))
+        american = bool(m["y2"]) and int(mo) > 12 and m["s2"] == "/"
         if american:
             mo, d = d, mo
+        # what was written decides how it is read back: in two figures, in as few as it takes, or one so and one so
+        zeros, short = [x[0] == "0" for x in (mo, d)], [len(x) == 1 for x in (mo, d)]
+        mixed = any(zeros) and any(short)
+
+        def valid(new: dt.date) -> bool:
+            if american and new.day < 13:  # month first is only told by a day above 12
+                return False
+            if mixed:
+                return (new.month < 10) == (int(mo) < 10) and (new.day < 10) == (int(d) < 10)
+            return not any(short) or new.month < 10 or new.day < 10
+
+        new = self._day("date us" if american else "date", int(y), int(mo), int(d), valid)
+        if new is None:
+            return None
+        wide = zeros if mixed else [not any(short)] * 2
+        month, day = (f"{v:02}" if w else str(v) for v, w in zip((new.month, new.day), wide))
+        if m["y"]:
+            return f"{new.year:04}{m['s']}{month}{m['s']}{day}"
+        return m["s2"].join((month, day) if american else (day, month)) + f"{m['s2']}{new.year:04}"
+
+    def _day(self, kind: str, year: int, month: int, day: int, valid) -> dt.date | None:
+        """Another day for which ``valid`` holds, as it has to for this one."""
         try:
-            day = dt.date(y, mo, d).toordinal() - _DAY0
+            x = dt.date(year, month, day)
         except ValueError:
             return None
-        if not 0 <= day < _DAYS:
+        of = lambda v: dt.date.fromordinal(v + _DAY0)
+        if not 0 <= x.toordinal() - _DAY0 < _DAYS or not valid(x):
             return None
-        # month first is only told by a day above 12, so such a date stays among its like
-        day_of = lambda v: dt.date.fromordinal(v + _DAY0)
-        kind = "date us" if american else "date"
-        new = day_of(self._until(kind, _DAYS, day, lambda v: not american or day_of(v).day > 12))
-        if american:
-            return f"{new.month:02}/{new.day:02}/{new.year}"
-        return f"{new.year:04}{m['s']}{new.month:02}{m['s']}{new.day:02}" if m["y"] else f"{new.day:02}{m['s2']}{new.month:02}{m['s2']}{new.year:04}"
+        return of(self._until(kind, _DAYS, x.toordinal() - _DAY0, lambda v: valid(of(v))))
+
+    def _named_date(self, s: str) -> str | None:
+        m = _NAMED_DATE.fullmatch(s)
+        if m is None:
+            return None
+        name, day, ending = (k if m[k] is not None else k + "2" for k in ("m", "d", "o"))
+        full = m[name].lower() in map(str.lower, _MONTHS)  # May counts as full, so a short name is never May
+        zero = m[day][0] == "0"
+        new = self._day("date", int(m["y"]), _MONTH_OF[m[name].lower()], int(m[day]), lambda v: (full or v.month != 5) and (not zero or v.day < 10))
+        if new is None:
+            return None
+        word = _MONTHS[new.month - 1] if full else _MONTHS[new.month - 1][:3]
+        word = word.upper() if m[name].isupper() else word.lower() if m[name].islower() else word
+        parts = [(m.span(name), word), (m.span(day), f"{new.day:02}" if zero else str(new.day)), (m.span("y"), str(new.year))]
+        if m[ending] is not None:
+            parts.append((m.span(ending), "th" if 10 < new.day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th")))
+        for (i, j), text in sorted(parts, reverse=True):
+            s = s[:i] + text + s[j:]
+        return s
 
     def iban(self, s: str) -> str | None:
         plain = s.replace(" ", "")
@@ -216,6 +261,10 @@ class Pseudonymizer:
                     if self.replaced("iban", end) is not None:
                         spans.append((m.start(), m.start() + len(end), "iban"))
                         break
+            for m in _YEAR.finditer(text):
+                left = _BEFORE_YEAR.search(text, max(0, m.start() - 32), m.start())
+                if left and self.replaced("date", text[left.start() : m.end()]) is not None:
+                    spans.append((left.start(), m.end(), "date"))
             for chunk in _CHUNK.finditer(text):
                 at = chunk.start()
                 while m := _VALUE.search(text, at, chunk.end()):
@@ -247,10 +296,10 @@ _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _CHUNK = re.compile(r"[+(0-9][0-9()+./ -]*[0-9]")
 _VALUE = re.compile(
-    r"(?P<date>\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{4}\.\d{2}\.\d{2}|\d{2}-\d{2}-\d{4}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})"
+    r"(?P<date>\d{4}-\d{1,2}-\d{1,2}(?!\d)|\d{4}/\d{1,2}/\d{1,2}(?!\d)|\d{4}\.\d{2}\.\d{2}(?!\d)|\d{1,2}-\d{1,2}-\d{4}(?!\d)|\d{1,2}/\d{1,2}/\d{4}(?!\d)|\d{1,2}\.\d{1,2}\.\d{4}(?!\d))"
     r"|(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
-    r"|(?P<ssn>\d{3}-\d{2}-\d{4})"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})"
+    r"|(?P<ssn>\d{3}-\d{2}-\d{4}|(?i:(?<=ssn )|(?<=ssn: )|(?<=ssn:)|(?<=ssn #)|(?<=ssn#))(?:\d{9}(?!\d)|\d{3} \d{2} \d{4}(?!\d)))"
+    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}[ .-]\d{1,2}(?:[ .-]\d{2}){3,5}(?!\d)|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|\d{3} \d{3} \d{4}(?!\d)|[2-9]\d{2}[2-9]\d{6}(?!\d))"
     r"|(?P<card>\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})",
     re.ASCII,
 )
@@ -285,7 +334,7 @@ def _struct() -> pa.DataType:
     return pa.struct([("text", pa.string()), *((k, pa.int32()) for k in KINDS)])
 
 
-def replacer(key: str = KEY):
+def replacer(key: str):
     """Column function: text -> struct(text, number of each kind)."""
 
     @F.arrow_udf("text string, " + ", ".join(f"{k} int" for k in KINDS))
@@ -306,15 +355,19 @@ def _worker(key: str) -> Pseudonymizer:
     return Pseudonymizer(key)
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, card, phone, ssn, ip, date, iban, email): each row's text with its values replaced, and how many.
 
-    Null texts stay null, empty ones empty, both with counts 0. Texts are searched whole. Numbers that
-    fail their check, and digits inside longer words or numbers, stay as they are. Of values that
-    overlap, the one that begins first counts, the longer of two. Repeated rows give equal results; other columns
-    aren't read; an empty table gives no rows.
+    ``key`` is the secret: whoever has it can invert the result. Null texts stay null, empty ones empty,
+    both with counts 0. Texts are searched whole, however long. Numbers that fail their check, and
+    digits inside longer words or numbers, stay as they are. Of values that overlap, the one that begins
+    first counts, the longer of two. Nine bare digits are a social security number only after 'SSN', ten
+    are a phone if area and exchange begin with 2 to 9. Identifiers may be of any type or null. Repeated
+    rows give equal results; other columns aren't read, whatever their names; an empty table gives no rows.
     """
-    found = replacer(key)(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), found.alias("found"))
-    parts: list[Column] = [F.col(f"found.{k}").alias(k) for k in ("text", *KINDS)]
+    text = F.col(text_col).cast("string")
+    # every kind has a digit or an '@': other texts aren't sent to Python
+    found = replacer(key)(F.when(text.rlike("[0-9@]"), text))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("whole"), found.alias("found"))
+    parts: list[Column] = [F.coalesce("found.text", "whole").alias("text"), *[F.coalesce(f"found.{k}", F.lit(0)).alias(k) for k in KINDS]]
     return rows.select("doc_id", *parts)

@@ -13,6 +13,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Small, so that the tree has many levels on tables of any size, and so that levels are split by distributed medians too.
+SHARD_BYTES, LOCAL_ROWS = 64 << 10, 500
+
+
+#: Of the registered query alone; whoever has real data sets ``vigilspark.pseudonym.key``.
+SAMPLE_KEY = "no secret: for the given tables only"
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -22,7 +30,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.kd_shards(_table(spark, sf_dir, "documents"))
+    return shards.kd_shards(_table(spark, sf_dir, "documents"), target_bytes=SHARD_BYTES, local_rows=LOCAL_ROWS)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +54,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymize(_table(spark, sf_dir, "documents"))
+    return pseudonyms.pseudonymize(_table(spark, sf_dir, "documents"), spark.conf.get("vigilspark.pseudonym.key", SAMPLE_KEY))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +85,10 @@ def _met(rules: tuple[tuple[str, str], ...]) -> str:
 _BLOCKED, _ALLOWED = _met(url_filter.BLOCK), _met(url_filter.ALLOW)
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _form(url: str) -> str:
     """The normal form of a URL in SQL."""
     u = f"regexp_replace(trim({url}), '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
@@ -92,16 +104,20 @@ def _form(url: str) -> str:
 
 ORACLES: dict[str, str] = {
     "op1_url_filter": rf"""
-        WITH RECURSIVE links AS (
-            SELECT url, unnest([
-                regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical["'']?[^>]*>', 0), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-                regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh["'']?[^>]*>', 0), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target
-            FROM pages),
-        whole AS (
+        WITH RECURSIVE tags AS (SELECT url, unnest(regexp_extract_all(html, '{url_filter._TAG}')) AS tag FROM pages WHERE url IS NOT NULL),
+        links AS (SELECT url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS root, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
+                regexp_replace(CASE WHEN regexp_matches(tag, {_quoted(url_filter._CANONICAL)}) THEN regexp_extract(tag, {_quoted(url_filter._HREF)}, 1)
+                    WHEN regexp_matches(tag, {_quoted(url_filter._REFRESH)}) THEN regexp_extract(tag, {_quoted(url_filter._TO)}, 1) END, '{url_filter._AND}', '&', 'g') AS target FROM tags),
+        based AS (
             SELECT url, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
+                WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') OR starts_with(target, '#') OR root = '' THEN NULL
                 WHEN starts_with(target, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || target
-                WHEN starts_with(target, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || target END AS target
+                WHEN starts_with(target, '/') THEN root || target WHEN starts_with(target, '?') THEN root || path || target
+                ELSE root || '/' || regexp_extract(path, '^/?(.*/)?[^/]*$', 1) || target END AS target
             FROM links WHERE target <> ''),
+        split AS (SELECT url, target, regexp_extract(target, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS root, regexp_extract(target, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
+                regexp_extract(target, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[^?#]*(.*)$', 1) AS tail FROM based WHERE target IS NOT NULL),
+        whole AS (SELECT url, CASE WHEN contains(path, '/.') THEN root || list_reduce(string_split(path, '/'), lambda a, x: CASE WHEN x = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN x = '.' THEN a ELSE a || '/' || x END) || tail ELSE target END AS target FROM split),
         one AS (SELECT {_form("url")} AS a, {_form("target")} AS b FROM whole WHERE target IS NOT NULL AND url IS NOT NULL),
         edges AS (SELECT a, b FROM one WHERE a <> b UNION SELECT b, a FROM one WHERE a <> b),
         nodes AS (SELECT DISTINCT {_form("url")} AS node FROM pages WHERE url IS NOT NULL AND url <> '' UNION SELECT a FROM edges),
@@ -132,7 +148,7 @@ ORACLES: dict[str, str] = {
                                     coalesce((max(d0) OVER c - min(d0) OVER c) / nullif(CAST(s0 AS DOUBLE), 0), 0) AS r0, coalesce((max(d1) OVER c - min(d1) OVER c) / nullif(CAST(s1 AS DOUBLE), 0), 0) AS r1,
                                     coalesce((max(d2) OVER c - min(d2) OVER c) / nullif(CAST(s2 AS DOUBLE), 0), 0) AS r2, coalesce((max(d3) OVER c - min(d3) OVER c) / nullif(CAST(s3 AS DOUBLE), 0), 0) AS r3
                                 FROM t, span WINDOW c AS (PARTITION BY cell))
-                            WHERE total > {shards.SHARD_BYTES} AND greatest(r0, r1, r2, r3) > 0))))
+                            WHERE total > {SHARD_BYTES} AND greatest(r0, r1, r2, r3) > 0))))
         )
         SELECT doc_id, w AS bytes, max(cell) AS shard FROM t GROUP BY r, doc_id, w
     """,
@@ -173,18 +189,18 @@ ORACLES: dict[str, str] = {
         WITH t AS (SELECT DISTINCT doc_id, hash(text) AS h, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^ \t\n\r\f]+')), 0) AS tokens,
                 md5('{mixing.SEED}-' || coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffle FROM documents),
         s AS (SELECT source, sum(tokens) AS total FROM t GROUP BY 1 HAVING sum(tokens) > 0),
-        w AS (SELECT source, CAST((total + {_BLOCK - 1}) // {_BLOCK} AS BIGINT) AS blocks,
-                greatest(1, CAST(floor(pow(total, {mixing.POWER}) / sum(pow(total, {mixing.POWER})) OVER () * {mixing.UNIT}) AS BIGINT)) AS weight FROM s),
+        z AS (SELECT source, CAST((total + {_BLOCK - 1}) // {_BLOCK} AS BIGINT) AS blocks FROM s),
+        w AS (SELECT source, blocks, greatest(1, CAST(floor(pow(blocks, {mixing.POWER}) / sum(pow(blocks, {mixing.POWER})) OVER () * {mixing.UNIT}) AS BIGINT)) AS weight FROM z),
         c AS (SELECT *, sum(weight) OVER (ORDER BY source) AS high, sum(weight) OVER () AS every FROM w),
-        i AS (SELECT unnest(range(CAST((SELECT max((blocks * every + weight - 1) // weight) FROM c) AS BIGINT))) AS slot),
+        i AS (SELECT unnest(range(CAST((SELECT max(((blocks + 16) * every + weight - 1) // weight) FROM c) AS BIGINT))) AS slot),
         p AS (SELECT slot, (slot + 1) * CAST({mixing.GOLDEN} AS DOUBLE) - floor((slot + 1) * CAST({mixing.GOLDEN} AS DOUBLE)) AS u FROM i),
-        k AS (SELECT source, blocks, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+        more AS (SELECT source, blocks, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
               FROM p JOIN c ON p.u * CAST(c.every AS DOUBLE) >= c.high - c.weight AND p.u * CAST(c.every AS DOUBLE) < c.high),
+        k AS (SELECT * FROM more WHERE slot < greatest((SELECT max((blocks * every + weight - 1) // weight) FROM c), (SELECT max(slot) + 1 FROM more WHERE rank = blocks - 1))),
         b AS (SELECT doc_id, source, tokens,
                 coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY shuffle, doc_id, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM t)
         SELECT b.doc_id, b.source, CAST(b.tokens AS BIGINT) AS tokens, k.slot, CAST(k.rank // k.blocks AS BIGINT) AS epoch, CAST(b.start AS BIGINT) AS start
         FROM b JOIN k ON b.source = k.source AND least(b.start // {_BLOCK}, k.blocks - 1) = k.rank % k.blocks
-        WHERE k.rank // k.blocks < {mixing.MAX_EPOCHS}
     """,
     "op10_exact_dedup": """
         SELECT doc_id, keep_id, keep_id <> doc_id AS is_copy
