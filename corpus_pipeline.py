@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from vigilspark.llm import language_id, lsm_dedup, mixing, ngram_join, packing
+from vigilspark.llm.common import ensure_checkpoint_dir
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +43,18 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """``docs`` written to the shared folder and read again, so that what comes after never computes them anew."""
+    path = f"{ensure_checkpoint_dir(docs.sparkSession)}/stage-{uuid.uuid4().hex}"
+    docs.write.parquet(path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over ``documents``."""
+    """The stages one after the other over ``documents``, each stored but for the last."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs)
     return docs
