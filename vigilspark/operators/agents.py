@@ -17,7 +17,7 @@ from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -219,11 +219,12 @@ def run_reviewers(
     """``sessions`` with ``labels_agentic`` and ``review_detail``.
 
     Only outliers are sent, all of them if ``skip_normal`` is off; the others pass by with their own
-    labels. The rate limit is shared out over ``partitions``. ``keep`` makes the answers durable
+    labels. The rate limit is shared out over ``partitions``, no more than it has requests. ``keep`` makes the answers durable
     (checkpoint by default), so calls aren't repeated.
     """
     analyst = analyst or hunter
-    share = lambda c: replace(c, requests_per_minute=max(1, c.requests_per_minute // partitions))
+    partitions = max(1, min(partitions, hunter.requests_per_minute, analyst.requests_per_minute))
+    share = lambda c: replace(c, requests_per_minute=c.requests_per_minute // partitions)
     hc, ac = share(hunter), share(analyst)
     out = F.coalesce("statistical_anomaly.is_anomaly", F.lit(False))
     gate = out if skip_normal else F.lit(True)
@@ -244,19 +245,31 @@ def run_reviewers(
     return rows.drop("labels_agentic", "review_detail").join(answers, "__row", "left").withColumns({"labels_agentic": F.coalesce("labels_agentic", none), "review_detail": F.coalesce("review_detail", skipped)}).drop("__row")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpointed into the session's shared folder; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share; only where none is set, and under a local master, one of our own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if shared is None:
+            import tempfile
+
+            shared = tempfile.mkdtemp(prefix="vigilspark-")
+        sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vigilspark-"))
+def durable(df: DataFrame) -> DataFrame:
+    """Checkpointed into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def reanalyze(sessions: DataFrame, factory: Callable[[], Client], config: AgentConfig = PRESETS["fast"], partitions: int = 8) -> DataFrame:
     """The thorough look again for sessions whose ``labels_agentic`` is there: a new verdict (null where it failed), time and cost added."""
-    shared = replace(config, requests_per_minute=max(1, config.requests_per_minute // partitions))
+    partitions = max(1, min(partitions, config.requests_per_minute))
+    shared = replace(config, requests_per_minute=config.requests_per_minute // partitions)
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = Reviewer(factory(), shared, ANALYST_SYSTEM, analyst_prompt, parse_analyst)
@@ -273,6 +286,20 @@ def reanalyze(sessions: DataFrame, factory: Callable[[], Client], config: AgentC
     return rows.join(answers, "__row").withColumn("labels_agentic", new).withColumn("review_error", F.col("__error")).drop("__row", "__verdict", "__error", "__ms", "__usd")
 
 
+def unreviewed(sessions: DataFrame) -> DataFrame:
+    """``sessions`` with the labels of a dry run: whether each is an outlier, and nothing sent to anyone."""
+    out = F.coalesce("statistical_anomaly.is_anomaly", F.lit(False))
+    metrics = F.struct(F.lit(False).alias("sent_to_hunter"), F.lit(False).alias("sent_to_analyst"), F.lit(0).alias("total_latency_ms"), F.lit(0.0).alias("total_cost_usd"))
+    labels = F.struct(out.alias("was_anomaly"), F.lit(None).alias("hunter_verdict"), F.lit(None).alias("analyst_verdict"), metrics.alias("pipeline_metrics"))
+    return sessions.withColumn("labels_agentic", labels.cast(LABELS))
+
+
+def retry(labeled: DataFrame, factory: Callable[[], Client], hunter: AgentConfig = PRESETS["fast"], analyst: AgentConfig | None = None, partitions: int = 8) -> DataFrame:
+    """The sessions that the first reviewer never answered for, asked again, outliers or not."""
+    failed = F.coalesce("labels_agentic.pipeline_metrics.sent_to_hunter", F.lit(False)) & F.col("labels_agentic.hunter_verdict").isNull()
+    return run_reviewers(labeled.where(failed), factory, hunter, analyst, skip_normal=False, partitions=partitions)
+
+
 def run_stats(reviewed: DataFrame) -> DataFrame:
     """One row of counts, rates and averages of a run."""
     m, d = "labels_agentic.pipeline_metrics", F.col("review_detail")

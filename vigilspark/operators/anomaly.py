@@ -6,7 +6,7 @@ import json
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilspark.functions.columns import fixed, rounded
@@ -32,17 +32,33 @@ class Detector:
         n, _, m2 = self.stats[name]
         return math.sqrt(m2 / (n - 1)) if n > 1 else 0.0
 
-    def save(self, path: str) -> None:
+    def to_json(self) -> str:
         data = {"z_threshold": self.z_threshold, "min_samples": self.min_samples, "trained": self.trained}
         data["features"] = {k: {"count": n, "mean": mean, "m2": m2, "std_dev": self.std(k)} for k, (n, mean, m2) in self.stats.items()}
-        with open(path, "w") as f:
-            json.dump(data, f, indent=2)
+        return json.dumps(data, indent=2)
+
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        """To a file that every node can reach: through Spark's file systems where a session is given."""
+        if spark is None:
+            with open(path, "w") as f:
+                f.write(self.to_json())
+            return
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray(self.to_json().encode()))
+        out.close()
 
     @classmethod
-    def load(cls, path: str) -> Detector:
+    def load(cls, path: str, spark: SparkSession | None = None) -> Detector:
         """Names that aren't watched are left out."""
-        with open(path) as f:
-            data = json.load(f)
+        if spark is None:
+            with open(path) as f:
+                return cls.from_json(f.read())
+        return cls.from_json(spark.read.text(path, wholetext=True).first()[0])
+
+    @classmethod
+    def from_json(cls, text: str) -> Detector:
+        data = json.loads(text)
         out = cls(data["z_threshold"], data["min_samples"], trained=data["trained"])
         out.stats |= {k: (v["count"], v["mean"], v["m2"]) for k, v in data["features"].items() if k in out.stats}
         return out
@@ -57,6 +73,13 @@ def _numeric(name: str, src: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def _said(x: Column, kind: str) -> Column:
+    """A value as text; real ones, which have at most four digits after the point, without an exponent."""
+    if kind not in ("double", "float"):
+        return x.cast("string")
+    return F.regexp_replace(F.regexp_replace(fixed(x, 4), "0+$", ""), r"\.$", ".0")
+
+
 def feature_stats(rows: DataFrame, src: str = "features", names: tuple[str, ...] = WATCHED) -> DataFrame:
     """(name, count, mean, m2): one partial aggregate over all rows; missing values and NaN don't count."""
     aggs = [f(_numeric(k, src)).alias(f"{p}_{k}") for k in names for p, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))]
@@ -89,7 +112,7 @@ def score(rows: DataFrame, detector: Detector | None, src: str = "features") ->
             continue
         x, std = _numeric(name, src), detector.std(name)
         z[name] = F.when(x.isNotNull(), F.lit(0.0) if std < FLAT_STD else (x - F.lit(mean)) / F.lit(std))
-        said = F.col(f"{src}.{name}" if src else name).cast("string")
+        said = _said(F.col(f"{src}.{name}" if src else name), kinds[name])
         why = F.concat(F.lit(f"{name}="), said, F.lit(" ("), F.when(z[name] > 0, "high").otherwise("low"), F.lit(", z="), fixed(z[name], 1), F.lit(")"))
         reasons.append(F.when(F.abs(z[name]) > detector.z_threshold, why))
     most = F.greatest(F.lit(0.0), F.lit(0.0), *[F.coalesce(F.abs(x), F.lit(0.0)) for x in z.values()])

@@ -42,8 +42,8 @@ def nested(rows: DataFrame) -> DataFrame:
     )
 
 
-def flat(rows: DataFrame, with_geo: bool = False, stamp: bool = True) -> DataFrame:
-    """The record of the analytics table; ``geo`` only where ranges were given, and never among the features."""
+def flat(rows: DataFrame, with_geo: bool = False, stamp: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The record of the analytics table; ``geo`` only where ranges were given, and never among the features. ``keep`` passes columns on."""
     at = lambda ts: F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS'+00:00'")
     whole = lambda ts: F.date_format(ts, "yyyy-MM-dd HH:mm:ss'+00:00'")
     text = lambda ts: F.when(F.unix_micros(ts) % 1_000_000 == 0, whole(ts)).otherwise(at(ts))
@@ -54,7 +54,7 @@ def flat(rows: DataFrame, with_geo: bool = False, stamp: bool = True) -> DataFra
         F.transform("commands", lambda c: F.struct(text(c["timestamp"]).alias("timestamp"), c["input"].alias("input"), c["success"].alias("success"))).alias("commands"),
         "downloads", "uploads", "ssh_version", "hassh", F.col("features").dropFields(*GEO_FIELDS).alias("features"), label_struct().alias("labels_rule_based"),
         (geo if with_geo else F.lit(None).cast(_geo_type())).alias("geo"), "session_type", "event_count",
-        *([iso(F.current_timestamp()).alias("ingested_at")] if stamp else []),
+        *([iso(F.current_timestamp()).alias("ingested_at")] if stamp else []), *keep,
     )
 
 

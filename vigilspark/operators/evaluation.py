@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilspark.functions.columns import tactic_plain
+from vigilspark.functions.columns import fixed, tactic_plain
 
 MARGIN, RESAMPLES, SEED = 0.05, 10_000, 42
 
@@ -23,8 +23,8 @@ def majority(votes: DataFrame, value: Column, name: str) -> DataFrame:
     """(annotation_id, name, n, agreement): most votes, then mean confidence (null is 0), then first seen."""
     rows = votes.select("annotation_id", value.alias("v"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("c"), "seq")
     each = rows.groupBy("annotation_id", "v").agg(F.count(F.lit(1)).alias("votes"), F.avg("c").alias("c"), F.min("seq").alias("first"))
-    order = F.struct("votes", "c", -F.col("first"))
-    best = each.groupBy("annotation_id").agg(F.max_by(F.struct("v", "votes"), order).alias("b"), F.sum("votes").alias("n"))
+    order = F.struct(-F.col("votes"), -F.col("c"), "first")  # first may be a place in a file
+    best = each.groupBy("annotation_id").agg(F.min_by(F.struct("v", "votes"), order).alias("b"), F.sum("votes").alias("n"))
     return best.select("annotation_id", F.col("b.v").alias(name), "n", (F.col("b.votes") / F.col("n")).alias(f"{name}_agreement_rate"))
 
 
@@ -88,14 +88,17 @@ def fn_rate(tactic: Column, level: Column, risk: Column) -> Column:
 
 
 def mcnemar_p(b: int, c: int) -> float:
-    """Exact two-sided binomial p-value by logarithms, so that it works for any number of pairs."""
-    n = b + c
-    if n == 0:
+    """Exact two-sided binomial p-value: twice the lower tail, summed outwards from min(b, c) until terms no longer count, so its cost doesn't grow with the pairs."""
+    n, k = b + c, min(b, c)
+    if n == 0 or b == c:
         return 1.0
-    k = np.arange(n + 1)
-    steps = np.concatenate([[0.0], np.cumsum(np.log(np.arange(n, 0, -1)) - np.log(np.arange(1, n + 1)))])
-    p = np.exp(steps - n * math.log(2))
-    return float(min(1.0, p[p <= p[k == b][0] + 1e-12].sum()))
+    log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
+    total, ratio, i = 1.0, 1.0, k
+    while i > 0 and ratio > 1e-18:
+        ratio *= i / (n - i + 1)
+        total += ratio
+        i -= 1
+    return float(min(1.0, 2 * math.exp(log) * total))
 
 
 def mcnemar(rows: DataFrame, a_right: Column, b_right: Column) -> DataFrame:
@@ -150,18 +153,18 @@ def bootstrap(rows: DataFrame, a: Column, b: Column, truth: Column, n_boot: int
     out = []
     for metric in found.columns:
         d = np.sort(found[metric].to_numpy())
-        low, high = float(d[int(0.025 * n_boot)]), float(d[int(0.975 * n_boot)])
-        out.append((metric, float(d.mean()), low, high, n_boot, verdict(low, high, margin)))
-    return spark.createDataFrame(out, schema)
+        out.append((metric, float(d.mean()), float(d[int(0.025 * n_boot)]), float(d[int(0.975 * n_boot)]), n_boot))
+    made = spark.createDataFrame(out, schema.rpartition(",")[0])
+    return made.withColumn("verdict", verdict(F.col("ci95_low"), F.col("ci95_high"), margin))
 
 
-def verdict(low: float, high: float, margin: float = MARGIN) -> str:
+def verdict(low: Column, high: Column, margin: float = MARGIN) -> Column:
     """What a 95% interval of the difference b - a says about b."""
-    if low > 0:
-        return f"B superior (95% CI [{low:.3f}, {high:.3f}] above 0)"
-    if high < 0:
-        return f"A superior (95% CI [{low:.3f}, {high:.3f}] below 0)"
-    return f"B non-inferior within {margin} (CI low {low:.3f})" if low > -margin else f"inconclusive within {margin} (CI low {low:.3f})"
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else fixed(p, 3) for p in parts])
+    return (
+        F.when(low > 0, said("B superior (95% CI [", low, ", ", high, "] above 0)")).when(high < 0, said("A superior (95% CI [", low, ", ", high, "] below 0)"))
+        .when(low > -margin, said(f"B non-inferior within {margin} (CI low ", low, ")")).otherwise(said(f"inconclusive within {margin} (CI low ", low, ")"))
+    )
 
 
 # -- agreement of annotators

@@ -33,6 +33,9 @@ class Quotas:
     def total(self) -> int:
         return sum(self.agreement.values()) + sum(self.disagreement.values()) + self.novel + self.level_only
 
+    def as_dict(self) -> dict[str, dict[str, int] | int]:
+        return {"agreement": self.agreement, "disagreement": self.disagreement, "novel": self.novel, "level_only": self.level_only}
+
     def scaled(self, total: int) -> Quotas:
         """All quotas in proportion, rounded half to even, at least 1."""
         by = lambda v: max(1, round(v * total / self.total()))
@@ -79,7 +82,7 @@ def stratified(rows: DataFrame, quotas: Quotas | None = None, seed: int = 42) ->
     limit = F.lit(0)
     for (b, k), n in limits.items():
         limit = F.when((F.col("bucket") == b) & (F.col("pool") == k), n).otherwise(limit)
-    w = Window.partitionBy("bucket", "pool").orderBy(F.xxhash64(F.lit(seed), "seq"), "seq")
+    w = Window.partitionBy("bucket", "pool").orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("seq").cast("string"))), "seq")
     # the plain bound lets Spark cut each partition before the shuffle
     drawn = each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(limits.values())).where(F.col("rank") <= limit)
     rank = F.array_position(F.array(*[F.lit(p) for p in PRIORITY]), F.col("bucket"))
@@ -88,6 +91,20 @@ def stratified(rows: DataFrame, quotas: Quotas | None = None, seed: int = 42) ->
     return one.withColumn("annotation_id", F.row_number().over(Window.orderBy("seq")).cast("long")).select("annotation_id", "seq", "session_id", "bucket", "bucket_key")
 
 
+def metadata(rows: DataFrame, selection: DataFrame, quotas: Quotas | None = None, seed: int = 42, source: str = "", blind: str = "", full: str = "") -> dict:
+    """What goes with a sample: how it was drawn, from how many, and what is in it. Counts alone come to the driver."""
+    q = quotas or Quotas()
+    seen = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if("has_verdict").alias("dual")).first()
+    there: dict[str, dict[str, int]] = {}
+    for r in populations(rows, q).orderBy("bucket", "bucket_key").collect():
+        there.setdefault(r["bucket"], {})[r["bucket_key"]] = r["n"]
+    drawn = {r["bucket"]: r["n"] for r in selection.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).orderBy("bucket").collect()}
+    return {
+        "seed": seed, "input": source, "total_sessions_scanned": seen["total"], "dual_labeled_sessions": seen["dual"], "quotas": q.as_dict(), "populations": there,
+        "final_sample": {"total": sum(drawn.values()), "by_bucket": drawn, "blind_path": blind, "full_path": full},
+    }
+
+
 def sample_records(labeled: DataFrame, selection: DataFrame, blind: bool = True, show_key: bool = True, client: bool = False) -> DataFrame:
     """The annotators' records of the selected sessions; ``blind`` leaves the labels out.
 

@@ -16,7 +16,9 @@ DEFAULT_PORT, DEFAULT_PROTOCOL = 22, "1"
 
 
 def segments(events: DataFrame) -> DataFrame:
-    """``seg``: how often the session's key was closed before the row; an event after a close begins a new session."""
+    """``seg``: how often the session's key was closed before the row; an event after a close begins a new session. Events that have it keep it."""
+    if "seg" in events.columns:
+        return events
     before = Window.partitionBy("location", "session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     return events.withColumn("seg", F.coalesce(F.sum(F.when(F.col("kind") == "session.closed", 1).otherwise(0)).over(before), F.lit(0)).cast("long"))
 

@@ -237,6 +237,4 @@ ORACLES: dict[str, str] = {
         SELECT (SELECT count(*) FROM pr) AS n_overlap, round((tpo - tpe) / (1 - tpe), 6) AS tactic_kappa, round((lpo - lpe) / (1 - lpe), 6) AS level_weighted_kappa, (SELECT round(avg(CASE WHEN ta IS NOT DISTINCT FROM tb THEN 1 ELSE 0 END), 6) FROM pr) AS tactic_agreement, (SELECT round(avg(CASE WHEN la IS NOT DISTINCT FROM lb THEN 1 ELSE 0 END), 6) FROM pr) AS level_agreement FROM o""",
     "o085_novel_validation": f"""WITH {SCORED} SELECT count(*) AS n_novel_in_sample, count(*) FILTER (WHERE bt = ht) AS agent_tactic_matches_human, round(avg(CAST(bt = ht AS INT)), 6) AS agent_precision, count(*) FILTER (WHERE lower(ht) NOT IN ('', 'no action', 'unknown')) AS human_saw_real_threat,
         round(avg(CASE WHEN lower(ht) NOT IN ('', 'no action', 'unknown') THEN 1 ELSE 0 END), 6) AS human_real_threat_rate FROM sc WHERE bucket = 'novel'""",
-    "o155_stream_sessions": f"""WITH {SES}, li AS (SELECT session AS session_id, seg, string_agg(cmd, chr(10) ORDER BY seq) FILTER (WHERE cmd IS NOT NULL) AS commands FROM sg GROUP BY ALL)
-        SELECT session_id, seg, event_count, is_closed, n_logins, n_failed_logins, n_commands, coalesce(commands, '') AS commands, session_type FROM ss JOIN li USING (session_id, seg) WHERE is_closed""",
 }

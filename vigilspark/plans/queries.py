@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,9 +9,8 @@ from pyspark.sql import functions as F
 
 from vigilspark.catalog import DECODE_BARE, DECODE_PIPE, ESCAPE, ESCAPE_PIPE, KEYWORDS, RULES, TOTALS
 from vigilspark.functions.columns import decoded_payloads, hits, is_private, is_suspicious, looks_like_typo, occurrences, tactic_plain
-from vigilspark.operators import agents, anomaly, documents, evaluation, features, joins, labeler, reports, sampling, schema_check, sessionize
+from vigilspark.operators import anomaly, documents, evaluation, features, joins, labeler, reports, sampling, sessionize
 from vigilspark.sources import adapter, logs, records
-from vigilspark.streaming.sessions import stream_sessions
 
 from . import cases
 
@@ -236,13 +234,6 @@ def o058_detector_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.select("name", "count", F.round("mean", 9).alias("mean"), F.round("m2", 9).alias("m2"))
 
 
-@query
-def o141_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _watched(spark, sf_dir)
-    found = anomaly.score(rows, anomaly.train(rows, src=""), src="")
-    return found.select(*KEY, F.col("statistical_anomaly.is_anomaly").alias("is_anomaly"), F.size("statistical_anomaly.reasons").cast("long").alias("reasons"))
-
-
 # -- joins
 
 
@@ -349,11 +340,6 @@ def o101_populations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.populations(cases.dual_rows(spark, sf_dir))
 
 
-@query
-def o098_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.stratified(cases.dual_rows(spark, sf_dir))
-
-
 # -- evaluation
 
 
@@ -416,29 +402,3 @@ def o085_novel_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.withColumn("agent_precision", F.round("agent_precision", 6)).withColumn("human_real_threat_rate", F.round("human_real_threat_rate", 6))
 
 
-# -- records, reviewers, streams
-
-
-@query
-def o038_schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = schema_check.checked(cases.raw_lines(spark, sf_dir))
-    return c.select("seq", "ok_json", F.size("errors").cast("long").alias("errors"))
-
-
-@query
-def o149_reviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents.flat(documents.labelled(adapter.log_events(spark, sf_dir)), stamp=False)
-    scored = anomaly.score(rows, anomaly.train(rows))
-    done = agents.run_reviewers(scored, agents.ScriptedClient, partitions=max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return done.select("session_id", "start_ts", F.col("labels_agentic.was_anomaly").alias("was_anomaly"), F.col("labels_agentic.hunter_verdict").alias("hunter_verdict"), F.col("labels_agentic.analyst_verdict.level").alias("level"), F.col("review_detail.skipped").alias("skipped"))
-
-
-@query
-def o155_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = adapter.events_stream(spark, sf_dir)
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or agents.durable(spark.range(1)).sparkSession.sparkContext.getCheckpointDir()
-    out = f"{base}/stream-{uuid.uuid4().hex}"
-    q = stream_sessions(events).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    s = spark.read.parquet(f"{out}/rows")
-    return s.select(*KEY, "event_count", "is_closed", "n_logins", "n_failed_logins", "n_commands", F.array_join("commands", "\n").alias("commands"), "session_type")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .oracles import ORACLES
-from .queries import QUERIES
+from . import oracles, queries, stored, stored_oracles
 
+QUERIES = {**queries.QUERIES, **stored.QUERIES}
+ORACLES = {**oracles.ORACLES, **stored_oracles.ORACLES}
 FLAGSHIP = "o126_threat_levels"
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

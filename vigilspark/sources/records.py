@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import threading
+from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +31,8 @@ def session_schema(features: T.StructType | None = None) -> T.StructType:
 
 
 def labeled_schema(features: T.StructType | None = None) -> T.StructType:
-    return session_schema(features).add("statistical_anomaly", RESULT).add("labels_agentic", LABELS)
+    more = [T.StructField(name, T._parse_datatype_string(kind)) for name, kind in (("statistical_anomaly", RESULT), ("labels_agentic", LABELS))]
+    return T.StructType([*session_schema(features).fields, *more])
 
 
 def read_records(spark: SparkSession, paths: str | list[str], schema: T.StructType | str, bad_lines: str = "skip") -> DataFrame:
@@ -58,9 +62,80 @@ def upsert(new: DataFrame, old: DataFrame | None, key: Column, order: str) -> Da
     return last if old is None else last.unionByName(old.join(last.select("_id"), "_id", "left_anti"), allowMissingColumns=True)
 
 
-def write_json(df: DataFrame, path: str, codec: str = "none") -> None:
-    """To a new folder: input is never overwritten. Nulls are written."""
-    df.write.option("ignoreNullFields", "false").option("compression", codec).mode("errorifexists").json(path)
+@contextlib.contextmanager
+def progress(spark: SparkSession, tell: Callable[[int, int], None] | None, every_s: float = 1.0) -> Iterator[None]:
+    """Meanwhile call ``tell(tasks done, tasks known)`` now and then, and once at the end."""
+    if tell is None:
+        yield
+        return
+    over, status, last = threading.Event(), spark.sparkContext.statusTracker(), [0, 0]
+
+    def look() -> None:
+        stages = [x for i in status.getActiveStageIds() if (x := status.getStageInfo(i))]
+        if stages:
+            last[:] = [sum(x.numCompletedTasks for x in stages), sum(x.numTasks for x in stages)]
+            tell(*last)
+
+    def run() -> None:
+        while not over.wait(every_s):
+            look()
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        over.set()
+        thread.join()
+        tell(last[1], last[1])
+
+
+def write_json(df: DataFrame, path: str, codec: str = "none", tell: Callable[[int, int], None] | None = None) -> int:
+    """To a new folder: input is never overwritten. Nulls are written. Returns the rows, counted on the way."""
+    seen = Observation()
+    with progress(df.sparkSession, tell):
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("ignoreNullFields", "false").option("compression", codec).mode("errorifexists").json(path)
+    return seen.get["n"]
+
+
+def create_table(spark: SparkSession, path: str, schema: T.StructType, replace: bool = False) -> None:
+    """An empty table of documents with its mapping, ``schema``, by location; ``replace`` removes one that is there."""
+    spark.createDataFrame([], schema).write.mode("overwrite" if replace else "errorifexists").parquet(f"{path}/mapping")
+    if replace:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rows")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def mapping_of(spark: SparkSession, path: str) -> T.StructType:
+    return spark.read.parquet(f"{path}/mapping").schema
+
+
+def fields_of(schema: T.StructType, prefix: str = "") -> list[tuple[str, str]]:
+    """(path, type) of all fields of a mapping, nested ones by points."""
+    out: list[tuple[str, str]] = []
+    for f in schema.fields:
+        kind = f.dataType
+        out += fields_of(kind, f"{prefix}{f.name}.") if isinstance(kind, T.StructType) else [(prefix + f.name, kind.simpleString())]
+    return out
+
+
+def insert(df: DataFrame, path: str) -> dict[str, int]:
+    """Append documents to a table that has a mapping, cast to it; unknown fields raise. Returns the sink's counts: written, without identifier, locations."""
+    schema = mapping_of(df.sparkSession, path)
+    unknown = set(df.columns) - set(schema.names)
+    if unknown:
+        raise ValueError(f"not in the mapping: {sorted(unknown)}")
+    rows = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+    seen = Observation()
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("written"), F.count_if(F.col("session_id").isNull()).alias("unnamed"), F.size(F.collect_set("location")).alias("locations"))
+    rows.write.mode("append").partitionBy("location").parquet(f"{path}/rows")
+    return dict(seen.get)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """What ``insert`` wrote, by the mapping; a later reader sees all of it at once, so there is nothing to refresh."""
+    schema = mapping_of(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/rows").select(*schema.names)
 
 
 def write_table(df: DataFrame, path: str, replace: bool = False) -> None:
@@ -68,6 +143,11 @@ def write_table(df: DataFrame, path: str, replace: bool = False) -> None:
     df.write.mode("overwrite" if replace else "errorifexists").partitionBy("location").parquet(path)
 
 
+def first_rows(df: DataFrame, n: int | None, order: str = "seq") -> DataFrame:
+    """The first ``n`` in input order; all for None or 0."""
+    return df.orderBy(order).limit(n) if n else df
+
+
 def dry_run(df: DataFrame, show: int = 0) -> int:
     """Rows that would be written; prints the first ``show``."""
     for row in df.limit(show).toJSON().collect() if show else ():

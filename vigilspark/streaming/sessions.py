@@ -1,69 +1,90 @@
-"""Sessions from a stream of events: they end with a close event or, if a timeout is given, when nothing came for so long."""
+"""Sessions from a stream of events, with the batch engine's own sessions, features and labels.
+
+Each micro-batch takes the events of the sessions that are still open from the state, adds its own, and
+splits them at close events. Closed sessions go through ``finish`` and are written; events of open ones
+are the next state, with the number of sessions that each key has had, so ``seg`` goes on. State and
+output are versions named by the micro-batch, written whole before the next one begins: a batch that is
+run again replaces its own. Nothing is kept but open sessions and, until ``forget``, one row a key.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-OUTPUT = "location string, session_id string, seg long, start_ts timestamp, end_ts timestamp, event_count long, is_closed boolean, n_logins long, n_failed_logins long, auth_success boolean, n_commands long, commands array<string>, duration_s double, session_type string"
-STATE = "seg long, start_us long, end_us long, events long, logins long, failed long, auth boolean, commands array<string>"
-_EMPTY = (None, None, 0, 0, 0, False, [])
-
-
-def _row(key: tuple, seg: int, s: list, closed: bool, duration: float | None) -> dict[str, Any]:
-    start, end, events, logins, failed, auth, commands = s
-    computed = duration if duration is not None else (end - start) / 1e6 if start is not None else 0.0
-    kind = "failed_auth_only" if not auth else "success_with_commands" if commands else "success_no_commands"
-    stamp = lambda us: pd.NaT if us is None else pd.Timestamp(us, unit="us")
-    return {
-        "location": key[0], "session_id": key[1], "seg": seg, "start_ts": stamp(start), "end_ts": stamp(end), "event_count": events, "is_closed": closed, "n_logins": logins, "n_failed_logins": failed,
-        "auth_success": auth, "n_commands": len(commands), "commands": commands, "duration_s": computed, "session_type": kind,
-    }
-
-
-def _step(timeout_ms: int | None):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else (0, *_EMPTY)
-        seg, s = held[0], [*held[1:]]
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([_row(key, seg, s, False, None)])
-            return
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for kind, us, text, duration in zip(rows["kind"], rows["us"], rows["input"], rows["duration"]):
-            if not pd.isna(us):
-                s[0], s[1] = (int(us) if s[0] is None else min(s[0], int(us))), (int(us) if s[1] is None else max(s[1], int(us)))
-            s[2] += 1
-            if kind in ("login.success", "login.failed"):
-                s[3], s[4], s[5] = s[3] + 1, s[4] + (kind == "login.failed"), s[5] or kind == "login.success"
-            elif kind in ("command.input", "command.failed") and text:
-                s[6] = [*s[6], text]
-            elif kind == "session.closed":
-                out.append(_row(key, seg, s, True, None if pd.isna(duration) else float(duration)))
-                seg, s = seg + 1, [*_EMPTY[:-1], []]
-        state.update((seg, *s))
-        if s[2] and timeout_ms is not None:
-            state.setTimeoutDuration(timeout_ms)
-        if out:
-            yield pd.DataFrame(out)
-
-    return step
-
-
-def stream_sessions(events: DataFrame, timeout_ms: int | None = None) -> DataFrame:
-    """Sessions of a streaming ``events`` as they end. With ``timeout_ms``, a session without events for so long comes out unclosed.
-
-    A timeout keeps a query running: use it with a trigger by processing time, as a run over what is
-    available now would never end.
-
-    Events of a key are ordered by ``seq`` within a micro-batch; across batches arrival counts, as it
-    does for a reader of growing files. The number of closed sessions of a key is kept, so ``seg`` goes on.
+from pyspark.sql.streaming import StreamingQuery
+
+from vigilspark.operators.agents import durable
+from vigilspark.operators.documents import labelled
+from vigilspark.operators.sessionize import segments
+
+KEY = ["location", "session"]
+_KEPT_VERSIONS = 2
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the whole versions under ``path``, in order."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(n for n in names if n.startswith("v-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/keys/_SUCCESS")))
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _advance(rows: DataFrame, keys: DataFrame | None, out: str, state: str, name: str, finish: Callable[[DataFrame], DataFrame], expire: str | None, forget: str | None, flush: bool = False) -> None:
+    """Split ``rows``, of open sessions, at close events: write the sessions that have ended to ``out`` and what is left as version ``name`` of ``state``."""
+    tagged = durable(segments(rows))
+    now = tagged.groupBy(*KEY).agg(F.count_if(F.col("kind") == "session.closed").alias("n"), F.max("ts").alias("last"), F.max("seg").alias("top"))
+    old = (keys if keys is not None else now.limit(0).select(*KEY, F.lit(0).cast("long").alias("had"), "last")).withColumnRenamed("last", "before")
+    both = now.join(old, KEY, "full").select(*KEY, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("had", F.lit(0)).alias("had"), F.greatest("last", "before").alias("last"), "top")
+    newest = tagged.agg(F.max("ts")).first()[0]
+    late = F.lit(flush)
+    if expire and newest is not None:
+        late = late | (F.col("last") < F.lit(newest) - F.expr(f"interval {expire}"))
+    # an open session is the one of the greatest number, unless that one is closed
+    both = durable(both.withColumn("over", F.coalesce(late & (F.col("top") == F.col("n")), F.lit(False))))
+    with_keys = tagged.join(both.select(*KEY, "n", "had", "over"), KEY)
+    ended = with_keys.where("seg < n or over").withColumn("seg", F.col("seg") + F.col("had")).drop("n", "had", "over")
+    finish(ended).write.mode("overwrite").parquet(f"{out}/batch={name}")
+    with_keys.where("seg = n and not over").select(*rows.columns).write.mode("overwrite").parquet(f"{state}/{name}/open")
+    kept = both.select(*KEY, (F.col("had") + F.col("n") + F.col("over").cast("long")).alias("had"), "last", (F.coalesce(F.col("top") == F.col("n"), F.lit(False)) & ~F.col("over")).alias("is_open"))
+    if forget and newest is not None:
+        kept = kept.where(F.col("is_open") | F.col("last").isNull() | (F.col("last") >= F.lit(newest) - F.expr(f"interval {forget}")))
+    kept.drop("is_open").write.mode("overwrite").parquet(f"{state}/{name}/keys")
+
+
+def stream_sessions(events: DataFrame, out: str, state: str, finish: Callable[[DataFrame], DataFrame] = labelled, expire: str | None = None, forget: str | None = None, **trigger: object) -> StreamingQuery:
+    """Start a query that writes the sessions of a streaming ``events`` to ``out`` (Parquet, by micro-batch) as they end.
+
+    ``finish`` makes session rows of events with ``seg``; by default features and labels, as in batch.
+    With ``expire``, an interval such as '1 hour', a session whose last event is so much older than the
+    newest one comes out unclosed; with ``forget``, so do the numbers of keys, whose ``seg`` then begins
+    anew. ``trigger`` is that of the writer, by default what is available now. Events of a key are ordered
+    by ``seq`` within what is open; one that arrives after its session has ended begins another.
     """
-    slim = events.select("location", "session", "seq", "kind", F.unix_micros("ts").alias("us"), "input", "duration")
-    return slim.groupBy("location", "session").applyInPandasWithState(_step(timeout_ms), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark, name = batch.sparkSession, f"v-{number:09d}"
+        earlier = [v for v in _versions(spark, state) if v < name]
+        rows, keys = batch, None
+        if earlier:
+            rows = spark.read.schema(batch.schema).parquet(f"{state}/{earlier[-1]}/open").unionByName(batch)
+            keys = spark.read.parquet(f"{state}/{earlier[-1]}/keys")
+        _advance(rows, keys, out, state, name, finish, expire, forget)
+        for v in earlier[:-_KEPT_VERSIONS]:
+            _drop(spark, f"{state}/{v}")
+
+    return events.writeStream.foreachBatch(each).option("checkpointLocation", f"{state}/progress").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def flush_sessions(spark: SparkSession, out: str, state: str, finish: Callable[[DataFrame], DataFrame] = labelled) -> None:
+    """Once the query has ended: write the sessions that are still open, unclosed. A query begun later goes on after them."""
+    found = _versions(spark, state)
+    if found and not found[-1].endswith("-flush"):
+        rows, keys = spark.read.parquet(f"{state}/{found[-1]}/open"), spark.read.parquet(f"{state}/{found[-1]}/keys")
+        _advance(rows, keys, out, state, f"{found[-1]}-flush", finish, None, None, flush=True)
