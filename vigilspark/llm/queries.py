@@ -13,8 +13,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Small, so that the tree has many levels on tables of any size, and so that levels are split by distributed medians too.
-SHARD_BYTES, LOCAL_ROWS = 64 << 10, 500
+#: Small, so that the tree has many levels on tables of any size.
+SHARD_BYTES = 64 << 10
 
 
 #: Of the registered query alone; whoever has real data sets ``vigilspark.pseudonym.key``.
@@ -30,7 +30,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.kd_shards(_table(spark, sf_dir, "documents"), target_bytes=SHARD_BYTES, local_rows=LOCAL_ROWS)
+    return shards.kd_shards(_table(spark, sf_dir, "documents"), target_bytes=SHARD_BYTES)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

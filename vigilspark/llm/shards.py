@@ -4,8 +4,8 @@ The cell of most bytes is not sought: every cell above the target is split in th
 weighted median of its relatively widest dimension, until all cells are small enough. Medians come
 from histograms: a pass counts bytes in ``BINS`` bins a cell, the next one looks into the bin that
 holds the middle, until that bin is one value. No large cell's rows are ever brought together; a cell
-of at most ``LOCAL_ROWS`` rows is split to its leaves by one task, in the same way, which spares the
-deep levels a round each.
+of at most ``LOCAL_ROWS`` rows, and an eighth of all, is split to its leaves by one task, in the same
+way, which spares the deep levels a round each.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, maybe_broadcast
 
-SHARD_BYTES, BINS, LOCAL_ROWS = 256 << 20, 4096, 20_000
+SHARD_BYTES, BINS = 256 << 20, 4096
+#: Rows, and share of all rows, of a cell that one task splits to its leaves.
+LOCAL_ROWS, LOCAL_SHARE = 20_000, 8
 #: Levels whose paths fit a long.
 DEEPEST = 62
 
@@ -81,7 +83,7 @@ def _leaves(names: list[str], spans: list[float], target: int):
     return run
 
 
-def kd_shards(docs: DataFrame, numbers: tuple[str, ...] = ("n_chars", "doc_id"), strings: tuple[str, ...] = ("source", "lang"), target_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def kd_shards(docs: DataFrame, numbers: tuple[str, ...] = ("n_chars", "doc_id"), strings: tuple[str, ...] = ("source", "lang"), target_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, local_rows: int | None = None) -> DataFrame:
     """(doc_id, bytes, shard), a row for each row of ``docs``.
 
     ``shard`` is the path from the root (1): 2 s below or at the median of cell s, 2 s + 1 above it. A
@@ -101,7 +103,8 @@ def kd_shards(docs: DataFrame, numbers: tuple[str, ...] = ("n_chars", "doc_id"),
     weight = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
     level = cut(docs.select(F.col(id_col).alias("id"), weight.alias("w"), F.lit(1).cast("long").alias("cell"), *[d.alias(n) for d, n in zip(dims, names)]))
     ends = [f(n).alias(f"{k}_{n}") for n in names for k, f in (("low", F.min), ("high", F.max))]
-    whole = level.agg(*ends).first()
+    whole = level.agg(F.count(F.lit(1)).alias("n"), *ends).first()
+    local_rows = min(LOCAL_ROWS, whole["n"] // LOCAL_SHARE) if local_rows is None else local_rows
     spans = [float(whole[f"high_{n}"] or 0) - float(whole[f"low_{n}"] or 0) for n in names]
     share = [(F.col(f"high_{n}").cast("double") - F.col(f"low_{n}").cast("double")) / F.lit(s) if s else F.lit(0.0) for n, s in zip(names, spans)]
     widest = F.greatest(*share) if len(share) > 1 else share[0]
