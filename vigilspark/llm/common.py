@@ -114,13 +114,26 @@ def word_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\r\f]+")), F.lit(0)).cast("long")
 
 
+def _star_round(e: DataFrame) -> DataFrame:
+    # large star: every larger neighbour of u goes to the smallest of u and its neighbours
+    both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    e1 = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    # small star: the smaller neighbours of u, and u, go to the smallest of them
+    low = e1.groupBy("a").agg(F.min("b").alias("m"))
+    e2 = e1.join(low, "a")
+    e2 = e2.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+    return e2.where("a != b").distinct()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph ``edges(a, b)``; the component is its smallest node.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each is one shuffle of at
     most the edges left, rounds grow with the logarithm of the diameter. A hot node's neighbours are
     not gathered into one row: its minimum comes from an aggregate with map-side combining and is
-    joined back. Loops only keep single nodes. Null ends are dropped. Raises if rounds run out.
+    joined back. Two rounds go between lineage cuts. Loops only keep single nodes. Null ends are dropped.
+    Raises if rounds run out.
     """
     e = edges.where("a is not null and b is not null").select("a", "b")
     nodes = cut(e.select(F.explode(F.array("a", "b")).alias("node")).distinct())
@@ -128,16 +141,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if e.isEmpty():
         return nodes.select("node", F.col("node").alias("component"))
     seen = None
-    for _ in range(max_rounds):
-        # large star: every larger neighbour of u goes to the smallest of u and its neighbours
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        e1 = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        # small star: the smaller neighbours of u, and u, go to the smallest of them
-        low = e1.groupBy("a").agg(F.min("b").alias("m"))
-        e2 = e1.join(low, "a")
-        e2 = e2.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        e = cut(e2.where("a != b").distinct())
+    for _ in range(max_rounds // 2):
+        e = cut(_star_round(_star_round(e)))
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break

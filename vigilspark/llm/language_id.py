@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .arrow_text import utf8
 
 WINDOW, EMBED, WIDTHS, FILTERS = 192, 8, (2, 3, 4), 12
-#: The sample's bound: documents of each language, which are read whole.
-SAMPLE_DOCS = 250
+#: The sample's bound: documents of each language, which are read whole; windows that a document counts as at most, however long.
+SAMPLE_DOCS, DOCUMENT_WEIGHT = 250, 4.0
 #: A document is rejected as noise from this mean probability on, or if no class reaches the second one.
 NOISE, NOISE_CONFIDENCE, MIN_CONFIDENCE = "und", 0.6, 0.35
 _REACH = max(WIDTHS)
@@ -87,11 +87,13 @@ def noise_windows(n: int, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
-def train(windows: np.ndarray, labels: list[str], epochs: int = 6, rate: float = 4e-3, batch: int = 64, seed: int = 7) -> Network:
-    """Adam on cross-entropy. A quarter of the windows of a batch are cut short, as short texts are."""
+def train(windows: np.ndarray, labels: list[str], weights: np.ndarray | None = None, epochs: int = 6, rate: float = 4e-3, batch: int = 64, seed: int = 7) -> Network:
+    """Adam on cross-entropy, windows by their ``weights``. A quarter of the windows of a batch are cut short, as short texts are."""
     rng = np.random.default_rng(seed)
     classes = sorted(set(labels)) + [NOISE]
-    extra = noise_windows(max(64, len(windows) // max(1, len(classes) - 1)), rng)
+    weights = np.ones(len(labels)) if weights is None else weights
+    extra = noise_windows(max(64, int(weights.sum()) // max(1, len(classes) - 1)), rng)
+    weights = np.concatenate([weights, np.ones(len(extra))]).astype(np.float32)
     x = np.concatenate([windows.reshape(-1, WINDOW), extra])
     y = np.array([classes.index(c) for c in labels] + [len(classes) - 1] * len(extra))
     f, c = FILTERS * len(WIDTHS), len(classes)
@@ -103,8 +105,8 @@ def train(windows: np.ndarray, labels: list[str], epochs: int = 6, rate: float =
     names, mask, step = ("embed", "kernel", "bias", "dense", "dense_bias"), _mask(), 0
     first = {k: np.zeros_like(getattr(net, k)) for k in names}
     second = {k: np.zeros_like(getattr(net, k)) for k in names}
-    share = np.bincount(y, minlength=c)
-    weight = (len(y) / np.maximum(1, share) / c).astype(np.float32)
+    share = np.bincount(y, weights, minlength=c)
+    weights *= (weights.sum() / np.maximum(1, share) / c).astype(np.float32)[y] * len(y) / weights.sum()
     for _ in range(epochs):
         for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
             xb, yb = x[at].copy(), y[at]
@@ -115,7 +117,7 @@ def train(windows: np.ndarray, labels: list[str], epochs: int = 6, rate: float =
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(yb)), yb] -= 1
-            p *= weight[yb][:, None] / len(yb)
+            p *= weights[at][:, None] / len(yb)
             dh = (p @ net.dense.T) * (h > 0)
             pad = np.concatenate([xb, np.zeros((len(xb), _REACH - 1), np.uint8)], 1)
             seen = np.take_along_axis(pad, (where[:, :, None] + np.arange(_REACH)).reshape(len(xb), -1), 1).reshape(len(xb), f, _REACH)
@@ -173,7 +175,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if found.empty:
         return None
     found = found.sort_values(["lang", "id", "k"])
-    return train(np.frombuffer(b"".join(found["window"]), np.uint8).reshape(-1, WINDOW), list(found["lang"]))
+    size = found.groupby(["lang", "id"])["k"].transform("size").to_numpy()
+    return train(np.frombuffer(b"".join(found["window"]), np.uint8).reshape(-1, WINDOW), list(found["lang"]), np.minimum(1.0, DOCUMENT_WEIGHT / size))
 
 
 def identify(net: Network | None, column: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
