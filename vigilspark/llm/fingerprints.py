@@ -6,7 +6,7 @@ bits, hence the boundaries of 2^(k+1) are among those of 2^k. A document's block
 for which the whole text has at most ``LENGTH`` chunks; a chunk gives one character, and the
 fingerprint has the signatures for 2^k and 2^(k+1). Runs of a character are cut to ``RUN``, as
 repeated content says little. Signatures of one block size are compared by edit distance if they
-have ``COMMON`` characters in a row in common, ``COMMON_SHORT`` for short texts.
+have ``COMMON`` characters in a row in common.
 """
 
 from __future__ import annotations
@@ -19,17 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import spans, utf8
-from .common import connected_components, cut, renamed, shuffle_partitions
+from .common import cut, renamed, shuffle_partitions
 from .ngram_join import one_row_per_id
 from .ngrams import mix
 from .postings import INDEX, INDEX_ARROW, buckets_for, first_step, index_rows, joined_lists
 
 WINDOW, LEAST_BITS, LENGTH, RUN = 7, 3, 64, 3
-#: Characters in a row that two signatures have in common to be compared; fewer for the least block size where the shorter one has at most ``SHORT``.
-COMMON, COMMON_SHORT, SHORT = 7, 5, 16
+#: Characters in a row that two signatures have in common to be compared.
+COMMON = 7
 #: Least score of a match: 100 times 1 - distance / longer signature.
 MIN_SCORE = 60
-BLOCK_BYTES, BUCKET_POSTINGS = 1 << 20, 1_000_000
+BLOCK_BYTES, BUCKET_POSTINGS = 1 << 20, 1_500_000
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _CODE = np.zeros(256, np.uint64)
 _CODE[ALPHABET] = np.arange(64)
@@ -118,32 +118,30 @@ def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["id"].cast(pa.int64()), pa.array(bits), _strings(*one), _strings(*two)], names=["id", "bits", "one", "two"])
 
 
-def _grams(code: np.ndarray, size: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of signatures one after the other: every run of ``run`` characters as a number, its signature, and the character before it, 64 at the beginning."""
-    grams = np.zeros(max(0, len(code) - run + 1), np.uint64)
-    for k in range(run):
+def _grams(code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of signatures one after the other: every run of ``COMMON`` characters as a number, its signature, and the character before it, 64 at the beginning."""
+    grams = np.zeros(max(0, len(code) - COMMON + 1), np.uint64)
+    for k in range(COMMON):
         grams = grams * np.uint64(64) + code[k : k + len(grams)]
     owner = np.repeat(np.arange(len(size)), size)[: len(grams)]
     place = np.arange(len(grams)) - (np.cumsum(size) - size)[owner]
     before = np.concatenate([[64], code[:-1].astype(np.int64)])[: len(grams)] if len(grams) else np.zeros(0, np.int64)
-    whole = place + run <= size[owner]
+    whole = place + COMMON <= size[owner]
     return grams[whole], owner[whole], np.where(place == 0, 64, before)[whole].astype(np.uint8)
 
 
-def _post(buckets: int, step: int, min_score: int):
-    """Postings of runs of characters: long ones of every signature, short ones of the signatures that a short one may match."""
+def _post(buckets: int, step: int):
+    """Postings of the runs of every signature."""
 
     def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows)
         ids, bits = table["id"].to_numpy(), table["bits"].to_numpy()
         data, offsets = utf8(table["sig"])
-        code, size = _CODE[data], np.diff(offsets)
-        few = (size <= SHORT * 100 / min_score) & (bits == LEAST_BITS)
-        short, whose, ahead = _grams(code[np.repeat(few, size)], size[few], COMMON_SHORT)
-        parts = [_grams(code, size, COMMON), (short, np.flatnonzero(few)[whose], ahead)]
-        keys = np.concatenate([mix((g * np.uint64(64) + bits[o].astype(np.uint64)) ^ np.uint64(k << 56)) for (g, o, _), k in zip(parts, (COMMON, COMMON_SHORT))])
-        owner, before = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
-        return pa.RecordBatch.from_pylist(list(index_rows(keys >> np.uint64(16), owner, ids, size, bits, buckets, step, before)), INDEX_ARROW)
+        size = np.diff(offsets)
+        grams, owner, before = _grams(_CODE[data], size)
+        # 40 bits of the hash: what a chance meeting costs is one more comparison
+        keys = mix(grams * np.uint64(64) + bits[owner].astype(np.uint64)) >> np.uint64(24) << np.uint64(8)
+        return pa.RecordBatch.from_pylist(list(index_rows(keys, owner, ids, size, bits, buckets, step, before)), INDEX_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -164,10 +162,13 @@ def _matches(reps: DataFrame, min_score: int) -> DataFrame:
     """(a, b, score) of different fingerprints, a < b."""
     sigs = cut(reps.select("id", F.explode(F.array(F.struct("bits", F.col("one").alias("sig")), F.struct((F.col("bits") + 1).alias("bits"), F.col("two").alias("sig")))).alias("s")).select("id", "s.*"))
     count = sigs.agg(F.sum(F.length("sig"))).first()[0] or 0
-    buckets = buckets_for(count, max(1, shuffle_partitions(reps.sparkSession) // 2), BUCKET_POSTINGS)
-    found = joined_lists(sigs.mapInArrow(_post(buckets, first_step(buckets), min_score), INDEX), buckets, min_score / 100)
-    found = found.join(sigs.select(F.col("id").alias("a"), F.col("bits").alias("tag"), F.col("sig").alias("sa")), ["a", "tag"])
-    found = found.join(sigs.select(F.col("id").alias("b"), F.col("bits").alias("tag"), F.col("sig").alias("sb")), ["b", "tag"])
+    buckets = buckets_for(count, max(1, shuffle_partitions(reps.sparkSession) // 4), BUCKET_POSTINGS)
+    # one exchange serves both the pairs' distinctness and the first join; signatures travel as six bits a character
+    found = joined_lists(sigs.mapInArrow(_post(buckets, first_step(buckets)), INDEX), buckets, min_score / 100, by=("a", "tag"))
+    packed = F.unbase64(F.expr("rpad(sig, (length(sig) + 3) div 4 * 4, 'A')"))
+    side = lambda k: sigs.select(F.col("id").alias(k), F.col("bits").alias("tag"), packed.alias(f"p{k}"), F.length("sig").cast("tinyint").alias(f"n{k}"))
+    found = found.join(side("a"), ["a", "tag"]).join(side("b"), ["b", "tag"])
+    found = found.select("a", "b", *[F.expr(f"substring(base64(p{k}), 1, n{k})").alias(f"s{k}") for k in "ab"])
     score = F.expr("100 * (greatest(length(sa), length(sb)) - levenshtein(sa, sb)) div greatest(length(sa), length(sb))")
     return found.select("a", "b", score.cast("int").alias("score")).where(F.col("score") >= min_score).groupBy("a", "b").agg(F.max("score").alias("score"))
 
@@ -191,25 +192,24 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def similar_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: int = MIN_SCORE) -> DataFrame:
-    """(doc_id, block_size, signature, signature_double, same_as, class_id, links, best_score), one row for each document.
+    """(doc_id, block_size, signature, signature_double, same_as, links, best_score), one row for each document.
 
-    ``same_as`` is the smallest identifier with the same fingerprint. ``links`` counts the different
-    fingerprints that score at least ``min_score`` with it, ``best_score`` is the greatest of their
-    scores (null without any), ``class_id`` the smallest identifier linked with it over any number of
-    steps; ``fingerprint_pairs`` has the links themselves. The score is the best over the block sizes
-    that two fingerprints have in common (equal, or one the double of the other).
+    ``same_as``, the document's class, is the smallest identifier with the same fingerprint. ``links``
+    counts the different fingerprints that score at least ``min_score`` with it, ``best_score`` is the
+    greatest of their scores (null without any); ``fingerprint_pairs`` has the links themselves. The
+    score is the best over the block sizes that two fingerprints have in common (equal, or one the
+    double of the other).
 
     Rows without identifier or text are left out; the distinct texts of a repeated identifier count as
     one text of several lines. Identifiers may be of any type; those that aren't whole numbers come
     back, and are ordered, as strings. Empty texts have empty signatures, the same as each other, and
-    match nothing else; texts too short for ``COMMON_SHORT`` chunks only match their like. Other columns
+    match nothing else; texts too short for ``COMMON`` chunks only match their like. Other columns
     aren't read; an empty table gives no rows.
     """
     prints, same, pairs, names = _compared(docs, id_col, text_col, min_score)
     both = pairs.union(pairs.select("b", "a", "score")).groupBy(F.col("a").alias("same_as")).agg(F.count(F.lit(1)).alias("links"), F.max("score").alias("best_score"))
-    both = both.join(connected_components(pairs.select("a", "b")).withColumnRenamed("node", "same_as"), "same_as")
     out = prints.join(same.join(both, "same_as", "left"), "id").select(
         F.col("id").alias("doc_id"), F.pow(F.lit(2), "bits").cast("long").alias("block_size"), F.col("one").alias("signature"), F.col("two").alias("signature_double"),
-        "same_as", F.coalesce("component", "same_as").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), "best_score",
+        "same_as", F.coalesce("links", F.lit(0)).cast("long").alias("links"), "best_score",
     )
-    return renamed(out, names, "doc_id", "same_as", "class_id")
+    return renamed(out, names, "doc_id", "same_as")

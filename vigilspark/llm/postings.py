@@ -204,8 +204,8 @@ def _pair_blocks(t: float):
     return run
 
 
-def joined_lists(index: DataFrame, buckets: int, t: float, block: int = LIST_BLOCK, part_postings: int = PART_POSTINGS, fan: int = FAN) -> DataFrame:
-    """(a, b, tag), a < b, once each: documents that have a key in common and whose sizes are within the factor ``t``.
+def joined_lists(index: DataFrame, buckets: int, t: float, block: int = LIST_BLOCK, part_postings: int = PART_POSTINGS, fan: int = FAN, by: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """(a, b, tag), a < b, once each and partitioned ``by`` columns that a join may go on with: documents that have a key in common and whose sizes are within the factor ``t``.
 
     A bucket above ``part_postings`` is cut into parts, and every two parts meet in a task of their
     own; a list above ``block`` members is cut into blocks, and every two blocks meet in a row of their
@@ -235,7 +235,7 @@ def joined_lists(index: DataFrame, buckets: int, t: float, block: int = LIST_BLO
         meet = x.join(y, "list").where(f"((xs = -1 and xb <= yb) or xs < ys) and {near}")
         meet = meet.select((F.expr("xs = -1 and xb = yb")).alias("same"), "x", "y").repartition(F.xxhash64("x", "y"))
         pairs = pairs.union(meet.mapInPandas(_pair_blocks(t), "a long, b long, tag long"))
-    return pairs.distinct()
+    return pairs.repartition(*by).distinct()
 
 
 def buckets_for(postings: int, least: int, each: int) -> int:
