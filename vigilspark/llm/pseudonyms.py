@@ -336,6 +336,7 @@ def _struct() -> pa.DataType:
 
 def replacer(key: str):
     """Column function: text -> struct(text, number of each kind)."""
+    Pseudonymizer(key)  # a missing key is told here and not by a worker
 
     @F.arrow_udf("text string, " + ", ".join(f"{k} int" for k in KINDS))
     def replace(column: pa.Array) -> pa.Array:
