@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vigilspark.llm import fingerprints, lsm_dedup, ngram_join
+from vigilspark.llm import fingerprints, lsm_dedup, ngram_join, postings
 from vigilspark.llm.blobs import expand, squeeze
 
 from .conftest import FOX, rows_of
@@ -267,6 +267,69 @@ def test_near_groups_are_components_of_the_pairs(spark, docs):
         assert (r["class_id"], r["copies"], r["links"]) == (group[i], sum(rep[j] == rep[i] for j in rep) - 1, len(linked)), i
 
 
+def _edited(rng, words: list, edits: int) -> str:
+    own = list(words)
+    for _ in range(edits):
+        own[rng.randrange(len(own))] = f"e{rng.randrange(10_000)}"
+    return " ".join(own)
+
+
+def _copies(seed: int, texts: int, each: int) -> dict:
+    """Near copies of some texts, each with up to ten words of a hundred changed."""
+    rng = random.Random(seed)
+    out = [_edited(rng, [f"w{k}x{i}" for i in range(100)], rng.randint(0, 10)) for k in range(texts) for _ in range(each)]
+    rng.shuffle(out)
+    return dict(enumerate(out))
+
+
+def _linked(texts: dict, t: float = 0.5) -> tuple[dict, dict]:
+    """For each text, the different sets similar to its own, and the greatest similarity to another text."""
+    sets = {i: frozenset(_grams(x)) for i, x in texts.items()}
+    links, closest = {}, {}
+    for i, a in sets.items():
+        near = {b: len(a & b) / len(a | b) for b in set(sets.values()) - {a}}
+        links[i] = sum(x >= t for x in near.values())
+        closest[i] = 1.0 if sum(b == a for b in sets.values()) > 1 else max((x for x in near.values() if x >= t), default=0.0)
+    return links, closest
+
+
+@pytest.mark.parametrize("blocks", [{}, {"members": 7, "list_block": 4, "part": 60, "fan": 3, "bucket": 150, "flush": 200}, {"member_tokens": 700}])
+def test_families_lose_no_link(spark, monkeypatch, blocks):
+    texts = {**_copies(1, 3, 20), **{100 + i: t for i, t in _copies(2, 4, 3).items()}, 200: "w0x1 w0x2 w0x3 w0x4", 201: "alone"}
+    want = _pairs(texts, 0.5)
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    plan, joined, found = ngram_join.Plan(frequent=4, hot=2, family=5, **blocks), ngram_join._group_pairs, []
+    monkeypatch.setattr(ngram_join, "_group_pairs", lambda *x: found.append(joined(*x)) or found[-1])
+    got = [(r["doc_a"], r["doc_b"]) for r in ngram_join.similar_pairs(d, frequent=4, plan=plan).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert found[0].families.count() >= 40 and found[0].families.select("family").distinct().count() >= 3
+    assert found[0].pairs.count() < len(want) / 2
+    links, closest = _linked(texts)
+    assert {r["doc_id"]: (r["links"], round(r["closest"], 9)) for r in ngram_join.near_groups(d, frequent=4, plan=plan).collect()} == {i: (links[i], round(closest[i], 9)) for i in texts}
+
+
+def test_a_family_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """op4_ngram_join and the pipeline's stage 3 compared each near copy with each, so their time grew as the square."""
+    texts = _copies(3, 1, 120)
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    candidates, plain = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda c, s, t: candidates.append(c.count()) or plain(c, s, t))
+    rows = {r["doc_id"]: r for r in ngram_join.near_groups(d).collect()}
+    links, closest = _linked(texts)
+    assert {r["class_id"] for r in rows.values()} == {0} and sum(links.values()) > 20 * len(texts)
+    assert {i: (r["links"], round(r["closest"], 9)) for i, r in rows.items()} == {i: (links[i], round(closest[i], 9)) for i in texts}
+    assert sum(candidates) < 10 * len(texts)
+
+
+def test_pairs_between_families_are_met_once():
+    rng = np.random.default_rng(1)
+    key, family = rng.integers(0, 6, 60), rng.integers(0, 5, 60)
+    order = np.lexsort((family, key))
+    key, family = key[order], family[order]
+    met = [(a, b) for i, j in postings.cross_pairs(*postings.cross_left(key, family)) for a, b in zip(i.tolist(), j.tolist())]
+    assert sorted(met) == [(a, b) for a in range(60) for b in range(a + 1, 60) if key[a] == key[b] and family[a] != family[b]]
+
+
 def test_identifiers_may_be_strings(spark, docs):
     named = docs.withColumn("doc_id", F.concat(F.lit("d-"), F.lpad(F.col("doc_id").cast("string"), 6, "0")))
     back = lambda x: int(x[2:]) if x else x

@@ -11,6 +11,11 @@
    follows the size, so a set is indexed for its own band of sizes and for that of its largest partner.
    Sets of a few tokens, that may share one only, have single tokens.
 3. Candidates are verified on their whole sets; tokens of one document alone count by number.
+4. Many near copies of one text would meet in the index once for each of their combinations. So a set
+   first votes, by a few of its tokens that many sets have, for one set, the family's hub; it joins the
+   family if it is similar to the hub indeed. Sets of one family don't meet in the index: their overlaps
+   are counted by products of matrices, and where only the components are asked for, not at all. What a
+   family is changes the cost and never the result.
 
 Tokens are 48-bit hashes. Documents with the same set are joined once, through the smallest identifier.
 """
@@ -36,6 +41,8 @@ NGRAM, THRESHOLD, FREQUENT = 3, 0.5, 256
 #: Bytes of text a token, at least about; only for the number of buckets.
 BYTES_A_TOKEN = 6
 TASK_PAIRS = 5_000
+#: Tokens of a set that vote, and votes for a hub from which on the set is compared with it.
+VOTERS, VOTES = 8, 2
 _POSTING, _COUNT, _HOME, _INFO = range(4)
 _DENSE = np.uint32(0xFFFFFFFF)
 _SINGLE, _RARE, _LEFT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E6C63D0876A9A99), np.uint64(0x2545F4914F6CDD1D)
@@ -47,7 +54,9 @@ class Plan:
 
     ``frequent``: documents from which on a token is frequent. ``flush``: tokens of a block. ``bucket``:
     postings of a bucket. ``dense``: postings of a token from one task, after which further ones are
-    only counted. ``list_block``, ``part``, ``fan``: see ``postings``.
+    only counted. ``list_block``, ``part``, ``fan``: see ``postings``. ``hot``: documents beyond which a
+    token votes for families. ``family``: least members of one. ``members``, ``member_tokens``: what a
+    family's matrix has at most on a side, about.
     """
 
     frequent: int = FREQUENT
@@ -58,6 +67,10 @@ class Plan:
     list_block: int = postings.LIST_BLOCK
     part: int = postings.PART_POSTINGS
     fan: int = postings.FAN
+    hot: int = 64
+    family: int = 32
+    members: int = 2048
+    member_tokens: int = 1_000_000
 
 
 def _need(size, t: float):
@@ -252,17 +265,29 @@ def _weigh(buckets: int, step: int):
     return run
 
 
-def _gather(rows: pd.DataFrame) -> pd.DataFrame:
-    """(id, size, d1, d2, tokens, weights): of each document the tokens it has in common with others, sorted, and their frequencies."""
-    info = rows[rows["kind"] == _INFO]
-    ids = np.concatenate([expand(x) for x in info["ids"]])
-    size, d1, d2 = np.concatenate([expand(x).reshape(3, -1) for x in info["weights"]], 1)
-    docs, tokens, weights = _opened(rows[rows["kind"] == _HOME])
-    order = np.lexsort((tokens, docs))
-    docs, tokens, weights = docs[order], tokens[order], weights[order]
-    low, high = np.searchsorted(docs, ids, "left"), np.searchsorted(docs, ids, "right")
-    packed = [(squeeze(tokens[i:j], True), squeeze(weights[i:j])) if j > i else (None, None) for i, j in zip(low.tolist(), high.tolist())]
-    return pd.DataFrame({"id": ids, "size": size, "d1": d1, "d2": d2, "tokens": [p[0] for p in packed], "weights": [p[1] for p in packed]})
+def _gather(hot: int):
+    """(id, size, d1, d2, tokens, weights, voters): of each document the tokens it has in common with others, sorted, and their frequencies; hashes of the few tokens that vote."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        info = rows[rows["kind"] == _INFO]
+        ids = np.concatenate([expand(x) for x in info["ids"]])
+        size, d1, d2 = np.concatenate([expand(x).reshape(3, -1) for x in info["weights"]], 1)
+        docs, tokens, weights = _opened(rows[rows["kind"] == _HOME])
+        order = np.lexsort((tokens, docs))
+        docs, tokens, weights = docs[order], tokens[order], weights[order]
+        low, high = np.searchsorted(docs, ids, "left"), np.searchsorted(docs, ids, "right")
+        voter = np.flatnonzero(weights > hot)
+        with np.errstate(over="ignore"):
+            hashed = (mix(tokens[voter]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        order = np.lexsort((hashed, docs[voter]))
+        voter, hashed = docs[voter[order]], hashed[order]
+        first = np.searchsorted(voter, ids, "left")
+        last = np.minimum(np.searchsorted(voter, ids, "right"), first + VOTERS)
+        voters = [hashed[i:j] for i, j in zip(first.tolist(), last.tolist())]
+        packed = [(squeeze(tokens[i:j], True), squeeze(weights[i:j])) if j > i else (None, None) for i, j in zip(low.tolist(), high.tolist())]
+        return pd.DataFrame({"id": ids, "size": size, "d1": d1, "d2": d2, "tokens": [p[0] for p in packed], "weights": [p[1] for p in packed], "voters": voters})
+
+    return run
 
 
 # -- signatures
@@ -309,27 +334,28 @@ def signatures(tokens: np.ndarray, weights: np.ndarray, size: int, frequent: int
 def _index_map(plan: Plan, t: float, buckets: int):
     step = postings.first_step(buckets, plan.fan)
 
-    def flush(keys: list, ids: list, sizes: list) -> pa.RecordBatch:
+    def flush(keys: list, ids: list, sizes: list, families: list) -> pa.RecordBatch:
         owner = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
-        rows = postings.index_rows(np.concatenate(keys) >> np.uint64(16), owner, np.array(ids, np.int64), np.array(sizes, np.int64), np.zeros(len(ids), np.uint8), buckets, step)
+        rows = postings.index_rows(np.concatenate(keys) >> np.uint64(16), owner, np.array(ids, np.int64), np.array(sizes, np.int64), np.zeros(len(ids), np.uint8), buckets, step, families=np.array(families, np.int64))
         return pa.RecordBatch.from_pylist(list(rows), postings.INDEX_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            keys, ids, sizes, held = [], [], [], 0
+            keys, ids, sizes, families, held = [], [], [], [], 0
             for b in batches:
-                for i, size, tokens, weights in zip(*(b[c].to_pylist() for c in ("id", "size", "tokens", "weights"))):
+                for i, size, tokens, weights, family in zip(*(b[c].to_pylist() for c in ("id", "size", "tokens", "weights", "family"))):
                     found = signatures(expand(tokens), expand(weights), size, plan.frequent, t)
                     if len(found):
                         keys.append(found)
                         ids.append(i)
                         sizes.append(size)
+                        families.append(i if family is None else family)
                         held += len(found)
                     if held >= plan.flush:
-                        yield flush(keys, ids, sizes)
-                        keys, ids, sizes, held = [], [], [], 0
+                        yield flush(keys, ids, sizes, families)
+                        keys, ids, sizes, families, held = [], [], [], [], 0
             if held:
-                yield flush(keys, ids, sizes)
+                yield flush(keys, ids, sizes, families)
 
     return run
 
@@ -391,11 +417,134 @@ def _verified(candidates: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     return cut(work.groupBy("task").applyInPandas(_verify(t), "a long, b long, jaccard double"))
 
 
+# -- families
+
+
+def _families(reps: DataFrame, t: float, plan: Plan) -> DataFrame | None:
+    """(id, family), materialised: the sets that are similar to the hub of a family of at least ``plan.family``, and the hub; None if there are none."""
+    votes = cut(reps.select("id", "size", F.explode("voters").alias("voter")))
+    heard = cut(votes.groupBy("voter").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= plan.family).select("voter", "hub"))
+    if heard.isEmpty():
+        return None
+    cast = votes.join(maybe_broadcast(heard), "voter").where("id != hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= VOTES)
+    choice = cast.groupBy("id").agg(F.min(F.struct(-F.col("n"), "hub")).alias("best")).select("id", F.col("best.hub").alias("hub"))
+    choice = cut(choice)
+    hubs = cut(choice.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= plan.family - 1).select("hub"))
+    if hubs.isEmpty():
+        return None
+    hubs = maybe_broadcast(hubs)
+    asked = choice.join(hubs, "hub").join(hubs.select(F.col("hub").alias("id")), "id", "left_anti")
+    # a pair has its smaller end first; a hub is the least of those that have the token
+    found = _verified(cut(asked.select(F.col("hub").alias("a"), F.col("id").alias("b"))), reps, t)
+    kept = cut(found.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= plan.family - 1).select("a"))
+    if kept.isEmpty():
+        return None
+    members = found.join(maybe_broadcast(kept), "a").select(F.col("b").alias("id"), F.col("a").alias("family"))
+    return cut(members.union(kept.select(F.col("a").alias("id"), F.col("a").alias("family"))))
+
+
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of ``x`` has in common with each of ``y``."""
+    code = np.unique(np.concatenate([*x, *y]), return_inverse=True)[1]
+    code, known = code.astype(np.int64), int(code.max()) + 1
+    row, column = (np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (x, y))
+    cx, cy = code[: len(row)], code[len(row) :]
+    nx, ny = np.bincount(cx, minlength=known), np.bincount(cy, minlength=known)
+    out = np.zeros((len(x), len(y)), np.int32)
+    # tokens of many: products of 0 and 1, exact in floats as a block has few tokens
+    wide = np.flatnonzero(nx * ny * 16 > len(x) * len(y))
+    for k in range(0, len(wide), 1024):
+        place = np.full(known, -1)
+        place[wide[k : k + 1024]] = np.arange(len(wide[k : k + 1024]))
+        side = []
+        for n, at, c in ((len(x), row, cx), (len(y), column, cy)):
+            m = np.zeros((n, len(wide[k : k + 1024])), np.float32)
+            held = place[c] >= 0
+            m[at[held], place[c[held]]] = 1
+            side.append(m)
+        out += (side[0] @ side[1].T).astype(np.int32)
+    # tokens of few: one by one
+    thin = (nx > 0) & (ny > 0)
+    thin[wide] = False
+    row, cx = row[thin[cx]], cx[thin[cx]]
+    order = np.argsort(cy, kind="stable")
+    column, first = column[order], np.cumsum(ny) - ny
+    total = np.cumsum(ny[cx])
+    for i, j in _pieces(total, postings.PIECE):
+        n = ny[cx[i:j]]
+        of = np.repeat(first[cx[i:j]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        np.add.at(out, (np.repeat(row[i:j], n), column[of]), 1)
+    return out
+
+
+def _pieces(total: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of what ``total`` sums up, of about ``most`` together."""
+    i = 0
+    while i < len(total):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + most, "right")))
+        yield i, j
+        i = j
+
+
+def _relatives(t: float, listed: bool):
+    """Of two parts of a family, or of one: the similar pairs, or for each set their number and the greatest similarity."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        same = rows["i"].iloc[0] == rows["j"].iloc[0]
+        left, right = (rows[rows["part"] == rows[c].iloc[0]] for c in ("i", "j"))
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), ("b" if listed else "links"): np.zeros(0, np.int64), ("jaccard" if listed else "closest"): np.zeros(0)})
+        sets = [[expand(v) for v in side["tokens"]] for side in (left, right)]
+        (a, sa), (b, sb) = ((side["id"].to_numpy(np.int64), side["size"].to_numpy(np.int64)) for side in (left, right))
+        both = _overlaps(*sets)
+        out, links, best = [], np.zeros(len(b), np.int64), np.zeros(len(b))
+        for k in range(0, len(a), 256):
+            o = both[k : k + 256].astype(np.int64)
+            near = o / (sa[k : k + 256, None] + sb - o)
+            near[near < t] = 0
+            if same:
+                near[np.arange(len(o)), k + np.arange(len(o))] = 0
+            if listed:
+                i, j = np.nonzero(near)
+                x, y = a[k + i], b[j]
+                first = (x < y) | (not same)
+                out.append(pd.DataFrame({"a": np.minimum(x, y)[first], "b": np.maximum(x, y)[first], "jaccard": near[i, j][first]}))
+                continue
+            out.append(pd.DataFrame({"a": a[k : k + 256], "links": (near > 0).sum(1), "closest": near.max(1)}))
+            links += (near > 0).sum(0)
+            best = np.maximum(best, near.max(0))
+        if not listed and not same:
+            out.append(pd.DataFrame({"a": b, "links": links, "closest": best}))
+        return pd.concat(out)
+
+    return run
+
+
+def _within(families: DataFrame, sets: DataFrame, t: float, plan: Plan, listed: bool) -> DataFrame:
+    """Pairs within families: (a, b, jaccard) of the similar ones if ``listed``, else rows (a, links, closest) to be summed up by set."""
+    members = cut(families.join(sets.select("id", "size", "tokens"), "id"))
+    load = members.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / plan.members, F.sum("size") / plan.member_tokens)).cast("long").alias("parts"))
+    placed = members.join(load, "family").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    placed = placed.select("family", "id", "size", "tokens", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    return placed.groupBy("family", "i", "j").applyInPandas(_relatives(t, listed), "a long, b long, jaccard double" if listed else "a long, links long, closest double")
+
+
 # -- the join
 
 
-def _group_pairs(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, plan: Plan) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(id, rep) of every document with words, rep being the least with the same set; (a, b, jaccard) of different sets' reps; names."""
+@dataclass(frozen=True)
+class _Joined:
+    """``groups``: (id, rep) of every document with words, rep being the least with the same set. ``pairs``: (a, b, jaccard) of different sets' reps, but for those within one of ``families``: (id, family), None without any. ``reps``: their sets."""
+
+    groups: DataFrame
+    pairs: DataFrame
+    names: DataFrame | None
+    families: DataFrame | None
+    reps: DataFrame
+
+
+def _group_pairs(docs: DataFrame, id_col: str, text_col: str, n: int, t: float, plan: Plan) -> _Joined:
     rows, size, names = one_row_per_id(docs, id_col, text_col)
     spark = docs.sparkSession
     buckets = postings.buckets_for(size // BYTES_A_TOKEN, max(1, shuffle_partitions(spark) // 2), plan.bucket)
@@ -404,20 +553,22 @@ def _group_pairs(docs: DataFrame, id_col: str, text_col: str, n: int, t: float,
     sent = postings.fan_out(sent, buckets, _respread(buckets, False), plan.fan)
     weighed = sent.groupBy("bucket").applyInPandas(_weigh(buckets, step), _TOKENS_SQL)
     weighed = postings.fan_out(weighed, buckets, _respread(buckets, True), plan.fan)
-    sets = cut(weighed.where(F.col("kind") >= _HOME).groupBy("bucket").applyInPandas(_gather, "id long, size long, d1 long, d2 long, tokens binary, weights binary"))
+    sets = cut(weighed.where(F.col("kind") >= _HOME).groupBy("bucket").applyInPandas(_gather(plan.hot), "id long, size long, d1 long, d2 long, tokens binary, weights binary, voters array<int>"))
 
     keyed = sets.select("id", "size", "d1", "d2")
     least = keyed.groupBy("d1", "d2", "size").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     copies = cut(keyed.join(least.where("n > 1"), ["d1", "d2", "size"]).where("id != rep").select("id", "rep"))
     gone = maybe_broadcast(copies)
     groups = keyed.select("id").join(gone, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    reps = sets.where("tokens is not null").select("id", "size", "tokens", "weights").join(gone.select("id"), "id", "left_anti")
+    reps = sets.where("tokens is not null").select("id", "size", "tokens", "weights", "voters").join(gone.select("id"), "id", "left_anti")
+    families = _families(reps, t, plan)
+    placed = reps.withColumn("family", F.lit(None).cast("long")) if families is None else reps.join(maybe_broadcast(families), "id", "left")
 
     total = sets.agg(F.sum("size")).first()[0] or 0
     wide = postings.buckets_for(total // 4, max(1, shuffle_partitions(spark) // 2), plan.bucket)
-    index = reps.mapInArrow(_index_map(plan, t, wide), postings.INDEX)
+    index = placed.select("id", "size", "tokens", "weights", "family").mapInArrow(_index_map(plan, t, wide), postings.INDEX)
     candidates = cut(postings.joined_lists(index, wide, t, plan.list_block, plan.part, plan.fan).select("a", "b"))
-    return groups, _verified(candidates, reps, t), names
+    return _Joined(groups, _verified(candidates, reps, t), names, families, reps)
 
 
 def _plan(frequent: int, plan: Plan | None) -> Plan:
@@ -434,7 +585,11 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     read whole whatever their length; ties can't occur; other columns aren't read; an empty table gives
     no pairs.
     """
-    groups, pairs, names = _group_pairs(docs, id_col, text_col, n, threshold, _plan(frequent, plan))
+    plan = _plan(frequent, plan)
+    found = _group_pairs(docs, id_col, text_col, n, threshold, plan)
+    groups, pairs, names = found.groups, found.pairs, found.names
+    if found.families is not None:
+        pairs = pairs.union(_within(found.families, found.reps, threshold, plan, True))
     left = groups.select(F.col("id").alias("x"), F.col("rep").alias("a"))
     right = groups.select(F.col("id").alias("y"), F.col("rep").alias("b"))
     across = pairs.join(left, "a").join(right, "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
@@ -442,6 +597,12 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return renamed(across.union(within), names, "doc_a", "doc_b")
 
 
+def _edges(found: _Joined) -> DataFrame:
+    """(a, b) with the components of all similar pairs: a family is linked through its hub."""
+    edges = found.pairs.select("a", "b")
+    return edges if found.families is None else edges.union(found.families.where("id != family").select("family", "id"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, frequent: int = FREQUENT, plan: Plan | None = None) -> DataFrame:
     """(doc_id, class_id, copies, links, closest), one row for each identifier of a row that has a text.
 
@@ -451,10 +612,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     greatest similarity to another document, 0 where there is none. No pair is lost: only copies aren't
     expanded. Edge cases are those of ``similar_pairs``; a text without words is a class of its own.
     """
-    groups, pairs, names = _group_pairs(docs, id_col, text_col, n, threshold, _plan(frequent, plan))
-    groups = cut(groups)
-    classes_ = connected_components(pairs.select("a", "b"))
-    both = pairs.union(pairs.select("b", "a", "jaccard")).groupBy(F.col("a").alias("rep")).agg(F.count(F.lit(1)).alias("links"), F.max("jaccard").alias("closest"))
+    plan = _plan(frequent, plan)
+    found = _group_pairs(docs, id_col, text_col, n, threshold, plan)
+    groups, pairs, names = cut(found.groups), found.pairs, found.names
+    classes_ = connected_components(_edges(found))
+    one = F.lit(1).cast("long").alias("links")
+    each = pairs.select("a", one, F.col("jaccard").alias("closest")).union(pairs.select("b", one, "jaccard"))
+    if found.families is not None:
+        each = each.union(_within(found.families, found.reps, threshold, plan, False))
+    both = each.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"), F.max("closest").alias("closest"))
     of_rep = groups.groupBy("rep").agg((F.count(F.lit(1)) - 1).alias("copies"))
     of_rep = of_rep.join(both, "rep", "left").join(classes_.withColumnRenamed("node", "rep"), "rep", "left")
     rows, renames = numbered_ids(docs, id_col, text_col, names)
@@ -479,8 +645,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows without identifier, text or words stay, and so do all rows of an identifier that stays, equal
     or not. Edge cases are those of ``similar_pairs``; an empty table gives an empty one.
     """
-    groups, pairs, names = _group_pairs(docs, id_col, text_col, n, threshold, _plan(frequent, plan))
-    edges = cut(pairs.select("a", "b").union(groups.where("id != rep").select("rep", "id")))
+    found = _group_pairs(docs, id_col, text_col, n, threshold, _plan(frequent, plan))
+    groups, names = found.groups, found.names
+    edges = cut(_edges(found).union(groups.where("id != rep").select("rep", "id")))
     gone = cut(renamed(connected_components(edges).where("node != component").select(F.col("node").alias("__gone")), names, "__gone"))
     key = docs[id_col].cast("long" if names is None else "string")
     return docs.join(maybe_broadcast(gone), (key == gone["__gone"]) & docs[text_col].isNotNull(), "left_anti")

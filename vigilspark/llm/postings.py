@@ -2,7 +2,8 @@
 
 A posting says that a document has a key; keys have 48 bits, their upper bits are the bucket. What a
 task sends to a bucket is one blob. Beyond ``FAN`` buckets a blob first goes to a range of buckets and
-is taken apart there, so that blobs don't become tiny as the corpus grows.
+is taken apart there, so that blobs don't become tiny as the corpus grows. Where documents have a family,
+those of one family aren't paired, nor are their pairs gone through.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from .common import cut, maybe_broadcast
 PIECE, FAN, BITS = 400_000, 1024, 48
 #: Postings of a bucket from which on it is cut into parts, and members of a list that are paired in one go.
 PART_POSTINGS, LIST_BLOCK = 3_000_000, 4096
-INDEX = "bucket long, n long, ids binary, sizes binary, tags binary, keys binary, owners binary, before binary"
-INDEX_ARROW = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in ("ids", "sizes", "tags", "keys", "owners", "before"))])
+INDEX = "bucket long, n long, ids binary, sizes binary, tags binary, keys binary, owners binary, before binary, families binary"
+INDEX_ARROW = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in ("ids", "sizes", "tags", "keys", "owners", "before", "families"))])
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -76,6 +77,29 @@ def key_pairs(keys: np.ndarray, longest: int | None = None) -> Iterator[tuple[np
                 yield s + i[above], s + j[above]
 
 
+def cross_left(keys: np.ndarray, families: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of ``keys``, sorted by key and family: where its family ends within its key, and how many places of the key come after that."""
+    n = len(keys)
+    new = np.r_[True, keys[1:] != keys[:-1]][:n]
+    start = np.flatnonzero(new)
+    end = np.repeat(np.append(start[1:], n), np.diff(np.append(start, n)))
+    start = np.flatnonzero(new | np.r_[True, families[1:] != families[:-1]][:n])
+    own = np.repeat(np.append(start[1:], n), np.diff(np.append(start, n)))
+    return own, end - own
+
+
+def cross_pairs(own: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions i < j of one key and two families, all of them, about ``PIECE`` at a time."""
+    at = np.flatnonzero(left)
+    total, k = np.cumsum(left[at]), 0
+    while k < len(at):
+        m = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + PIECE, "right")))
+        n = left[at[k:m]]
+        i = np.repeat(at[k:m], n)
+        yield i, own[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        k = m
+
+
 class PairSet:
     """Distinct pair codes, settled now and then so that repeats take no room."""
 
@@ -96,8 +120,8 @@ class PairSet:
         return self.codes
 
 
-def index_rows(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, sizes: np.ndarray, tags: np.ndarray, buckets: int, step: int, before: np.ndarray | None = None) -> Iterator[dict]:
-    """Blobs of postings (keys[i] of document owner[i]), one for each range of ``step`` buckets."""
+def index_rows(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, sizes: np.ndarray, tags: np.ndarray, buckets: int, step: int, before: np.ndarray | None = None, families: np.ndarray | None = None) -> Iterator[dict]:
+    """Blobs of postings (keys[i] of document owner[i]), one for each range of ``step`` buckets; a document without a family has its own identifier for one."""
     order = np.argsort(keys, kind="stable")
     keys, owner = keys[order], owner[order]
     before = None if before is None else before[order]
@@ -106,11 +130,12 @@ def index_rows(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, sizes: np.n
         yield {
             "bucket": target, "n": b - a, "ids": squeeze(ids[docs], True), "sizes": squeeze(sizes[docs].astype(np.uint32)), "tags": squeeze(tags[docs].astype(np.uint8)),
             "keys": squeeze(keys[a:b], True), "owners": squeeze(local.astype(np.uint32)), "before": squeeze(before[a:b]) if before is not None else b"",
+            "families": squeeze(families[docs] - ids[docs]) if families is not None else b"",
         }
 
 
 def opened(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """(key, document, what is before) of postings in the order of keys, and (id, size, tag, part) of documents."""
+    """(key, document, what is before) of postings in the order of keys, and (id, size, tag, part, family) of documents; with families, in their order within a key."""
     ids = [expand(x) for x in rows["ids"]]
     shift = np.cumsum([0, *map(len, ids)])
     size, tag = (np.concatenate([expand(x) for x in rows[c]]).astype(np.int64) for c in ("sizes", "tags"))
@@ -118,8 +143,10 @@ def opened(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
     key = np.concatenate([expand(x) for x in rows["keys"]])
     doc = np.concatenate([expand(x).astype(np.int64) + d for x, d in zip(rows["owners"], shift)])
     before = np.concatenate([expand(x) for x in rows["before"]]) if rows["before"].iloc[0] else None
-    order = np.argsort(key, kind="stable")
-    return key[order], doc[order], None if before is None else before[order], np.concatenate(ids), size, tag, part
+    ids = np.concatenate(ids)
+    family = ids + np.concatenate([expand(x) for x in rows["families"]]) if rows["families"].iloc[0] else None
+    order = np.argsort(key, kind="stable") if family is None else np.lexsort((family[doc], key))
+    return key[order], doc[order], None if before is None else before[order], ids, size, tag, part, family
 
 
 def _respread_index(buckets: int, step: int):
@@ -127,14 +154,14 @@ def _respread_index(buckets: int, step: int):
         for b in batches:
             for row in b.to_pandas().itertuples(index=False):
                 one = pd.DataFrame([row], columns=b.schema.names)
-                key, doc, before, ids, size, tag, _ = opened(one)
-                out = list(index_rows(key, doc, ids, size, tag, buckets, step, before))
+                key, doc, before, ids, size, tag, _, family = opened(one)
+                out = list(index_rows(key, doc, ids, size, tag, buckets, step, before, family))
                 yield pa.RecordBatch.from_pylist(out, INDEX_ARROW)
 
     return run
 
 
-_FOUND = "a binary, b binary, tags binary, list string, side long, block long, low long, high long, members binary"
+_FOUND = "a binary, b binary, tags binary, list string, side long, block long, low long, high long, kin long, members binary"
 
 
 def _packed(a: np.ndarray, b: np.ndarray, tag: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -153,10 +180,21 @@ def _pair(t: float, block: int):
     """Pairs of one bucket, or between two parts of one; lists too long for that come out in blocks."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        key, doc, before, ids, size, tag, part = opened(rows)
+        key, doc, before, ids, size, tag, part, family = opened(rows)
         across = rows["i"].iloc[0] != rows["j"].iloc[0]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        length = np.diff(np.append(start, len(key)))
+        long = length > block
+        if family is None:
+            meeting = key_pairs(key, block)
+        else:
+            # a list is long by the pairs between its families
+            own, left = cross_left(key, family[doc])
+            long &= np.add.reduceat(left, start) > block * (block - 1) // 2
+            left[np.repeat(long, length)] = 0
+            meeting = cross_pairs(own, left)
         pairs = PairSet()
-        for i, j in key_pairs(key, block):
+        for i, j in meeting:
             a, b = doc[i], doc[j]
             fits = (ids[a] != ids[b]) & (np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9)
             if before is not None:  # a longer common run is met once, where it begins
@@ -167,19 +205,21 @@ def _pair(t: float, block: int):
             pairs.add(np.minimum(a, b) << np.uint64(32) | np.maximum(a, b))
         codes = pairs.settle()
         a, b = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        out = [(*_packed(ids[a], ids[b], tag[a]), None, -1, -1, -1, -1, None)] if len(codes) else []
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-        length = np.diff(np.append(start, len(key)))
-        for s, n in zip(start[length > block].tolist(), length[length > block].tolist()):
+        out = [(*_packed(ids[a], ids[b], tag[a]), None, -1, -1, -1, -1, None, None)] if len(codes) else []
+        kin = ids if family is None else family
+        for s, n in zip(start[long].tolist(), length[long].tolist()):
             own = np.arange(s, s + n)
-            own = own[np.argsort(size[doc[own]], kind="stable")]
+            # by size, families after the others and each on its own
+            d = doc[own]
+            own = own[np.lexsort((size[d], np.where(kin[d] == ids[d], np.iinfo(np.int64).min, kin[d])))]
             for side in np.unique(part[doc[own]]).tolist() if across else [-1]:
                 mine = own[part[doc[own]] == side] if across else own
                 for k in range(0, len(mine), block):
                     d = doc[mine[k : k + block]]
                     name = f"{rows['bucket'].iloc[0]} {rows['i'].iloc[0]} {rows['j'].iloc[0]} {key[s]}"
-                    out.append((None, None, None, name, side, k // block, int(size[d].min()), int(size[d].max()), squeeze(np.stack([ids[d], size[d], tag[d], before[mine[k : k + block]] if before is not None else np.full(len(d), -1)]))))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _FOUND.split(", ")])
+                    out.append((None, None, None, name, side, k // block, int(size[d].min()), int(size[d].max()), int(kin[d[0]]) if (kin[d] == kin[d[0]]).all() else None, squeeze(np.stack([ids[d], size[d], tag[d], before[mine[k : k + block]] if before is not None else np.full(len(d), -1), kin[d]]))))
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in _FOUND.split(", ")])
+        return frame.assign(kin=pd.array([x[8] for x in out], "Int64"))  # no way through floats
 
     return run
 
@@ -188,13 +228,13 @@ def _pair_blocks(t: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for same, left, right in zip(batch["same"], batch["x"], batch["y"]):
-                x, y = (expand(m).reshape(4, -1) for m in (left, right))
+                x, y = (expand(m).reshape(5, -1) for m in (left, right))
                 step = max(1, PIECE // y.shape[1])
                 for k in range(0, x.shape[1], step):
                     i, j = np.meshgrid(np.arange(k, min(k + step, x.shape[1])), np.arange(y.shape[1]), indexing="ij")
                     i, j = i.ravel(), j.ravel()
                     a, b = x[:, i], y[:, j]
-                    fits = (a[0] != b[0]) & (np.minimum(a[1], b[1]) >= t * np.maximum(a[1], b[1]) - 1e-9)
+                    fits = (a[4] != b[4]) & (np.minimum(a[1], b[1]) >= t * np.maximum(a[1], b[1]) - 1e-9)
                     fits &= (a[3] != b[3]) | (a[3] == 64) | (a[3] == -1)
                     if same:
                         fits &= j > i
@@ -205,7 +245,7 @@ def _pair_blocks(t: float):
 
 
 def joined_lists(index: DataFrame, buckets: int, t: float, block: int = LIST_BLOCK, part_postings: int = PART_POSTINGS, fan: int = FAN, by: tuple[str, ...] = ("a", "b")) -> DataFrame:
-    """(a, b, tag), a < b, once each and partitioned ``by`` columns that a join may go on with: documents that have a key in common and whose sizes are within the factor ``t``.
+    """(a, b, tag), a < b, once each and partitioned ``by`` columns that a join may go on with: documents that have a key in common, are of different families, and whose sizes are within the factor ``t``.
 
     A bucket above ``part_postings`` is cut into parts, and every two parts meet in a task of their
     own; a list above ``block`` members is cut into blocks, and every two blocks meet in a row of their
@@ -229,10 +269,10 @@ def joined_lists(index: DataFrame, buckets: int, t: float, block: int = LIST_BLO
     pairs = found.where("a is not null").select("a", "b", "tags").mapInPandas(_pairs_of, "a long, b long, tag long")
     blocks = found.where("list is not null")
     if not blocks.isEmpty():
-        x = blocks.select("list", F.col("side").alias("xs"), F.col("block").alias("xb"), F.col("low").alias("xl"), F.col("high").alias("xh"), F.col("members").alias("x"))
-        y = blocks.select("list", F.col("side").alias("ys"), F.col("block").alias("yb"), F.col("low").alias("yl"), F.col("high").alias("yh"), F.col("members").alias("y"))
+        x = blocks.select("list", F.col("side").alias("xs"), F.col("block").alias("xb"), F.col("low").alias("xl"), F.col("high").alias("xh"), F.col("kin").alias("xk"), F.col("members").alias("x"))
+        y = blocks.select("list", F.col("side").alias("ys"), F.col("block").alias("yb"), F.col("low").alias("yl"), F.col("high").alias("yh"), F.col("kin").alias("yk"), F.col("members").alias("y"))
         near = f"xl <= yh / {t} + 1 and yl <= xh / {t} + 1"
-        meet = x.join(y, "list").where(f"((xs = -1 and xb <= yb) or xs < ys) and {near}")
+        meet = x.join(y, "list").where(f"((xs = -1 and xb <= yb) or xs < ys) and {near} and coalesce(xk != yk, true)")
         meet = meet.select((F.expr("xs = -1 and xb = yb")).alias("same"), "x", "y").repartition(F.xxhash64("x", "y"))
         pairs = pairs.union(meet.mapInPandas(_pair_blocks(t), "a long, b long, tag long"))
     return pairs.repartition(*by).distinct()
