@@ -321,6 +321,54 @@ def test_a_family_is_not_compared_pair_by_pair(spark, monkeypatch):
     assert sum(candidates) < 10 * len(texts)
 
 
+@pytest.mark.parametrize("frequent", [0, 2, 64])
+def test_a_similar_pair_has_a_key_that_leaves_enough(frequent):
+    """Sets of a small vocabulary, so that all tokens are in common with others and most keys are met by chance."""
+    rng = np.random.default_rng(frequent)
+    vocabulary = rng.integers(1, 1 << 48, 400, dtype=np.uint64)
+    weight = dict(zip(vocabulary.tolist(), rng.integers(2, 100, 400).tolist()))
+    sets = [np.unique(rng.choice(vocabulary, n)) for n in rng.integers(1, 200, 40)]
+    sets += [np.unique(np.concatenate([s[rng.random(len(s)) < 0.8], rng.choice(vocabulary, len(s) // 8)])) for s in sets for _ in range(3)]
+    keys = []
+    for s in (s for s in sets if len(s)):
+        w = np.array([weight[x] for x in s.tolist()])
+        with np.errstate(over="ignore"):
+            keys.append((set(s.tolist()), dict(zip(*(x.tolist() for x in ngram_join._ranked(s, w, len(s), frequent, 0.5))))))
+    met = kept = similar = 0
+    for i, (a, ka) in enumerate(keys):
+        for b, kb in keys[:i]:
+            enough = any(3 * min(len(a) - ka[k], len(b) - kb[k]) >= len(a) + len(b) for k in ka.keys() & kb.keys())
+            near = 2 * len(a & b) >= len(a | b)
+            assert enough or not near
+            met, kept, similar = met + bool(ka.keys() & kb.keys()), kept + enough, similar + near
+    assert similar > 100 and kept < met
+
+
+def test_unrelated_texts_of_common_phrases_are_no_candidates(spark, monkeypatch):
+    """pipeline's stage 3 compared nearly all texts that have one phrase of a prefix in common, so its time outgrew the table."""
+    rng = random.Random(5)
+    phrases = [" ".join(f"p{k}w{i}" for i in range(6)) for k in range(150)]
+    texts = {i: " ".join(rng.sample(phrases, 30)) + " " + " ".join(f"own{i}x{k}" for k in range(15)) for i in range(120)}
+    texts |= {200 + i: texts[i] + " more" for i in range(10)}
+    want = _pairs(texts, 0.5)
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    candidates, plain = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda c, s, t: candidates.append(c.count()) or plain(c, s, t))
+    assert {(r["doc_a"], r["doc_b"]) for r in ngram_join.similar_pairs(d).collect()} == want and len(want) >= 10
+    assert sum(candidates) <= 10 * len(want)
+
+
+def test_the_text_that_was_copied_is_the_hub(spark):
+    """The least identifier was the hub however much of its text was changed; copies that weren't similar to it met all others in the index."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(100)]
+    texts = {i: _edited(rng, words, 10) for i in range(149)} | {149: " ".join(words)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = ngram_join._group_pairs(d, "doc_id", "text", 3, 0.5, ngram_join.Plan())
+    assert {r["family"] for r in found.families.collect()} == {149} and found.families.count() > 140
+    assert {r["doc_id"] for r in ngram_join.drop_near_copies(d).collect()} == {0}
+
+
 def test_pairs_between_families_are_met_once():
     rng = np.random.default_rng(1)
     key, family = rng.integers(0, 6, 60), rng.integers(0, 5, 60)

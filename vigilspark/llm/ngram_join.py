@@ -10,12 +10,17 @@
    combinations of k = 2 within their class, about as many as the set has tokens. The number of classes
    follows the size, so a set is indexed for its own band of sizes and for that of its largest partner.
    Sets of a few tokens, that may share one only, have single tokens.
-3. Candidates are verified on their whole sets; tokens of one document alone count by number.
-4. Many near copies of one text would meet in the index once for each of their combinations. So a set
-   first votes, by a few of its tokens that many sets have, for one set, the family's hub; it joins the
-   family if it is similar to the hub indeed. Sets of one family don't meet in the index: their overlaps
-   are counted by products of matrices, and where only the components are asked for, not at all. What a
-   family is changes the cost and never the result.
+3. A posting says how many tokens of its set come before it in that order and can't be common. Of a
+   similar pair's meetings the first one leaves both sets enough tokens for their overlap; pairs that
+   have no such meeting are no candidates. So the vocabulary that unrelated texts come to share as a
+   corpus grows costs meetings and few comparisons.
+4. Candidates are verified on their whole sets; tokens of one document alone count by number.
+5. Many near copies of one text would meet in the index once for each of their combinations. So a set
+   most of whose tokens many sets have first votes, by a few of those, for one set, the family's hub:
+   the one with the fewest other tokens, as the text is that was copied. It joins the family if it is
+   similar to the hub indeed. Sets of one family don't meet in the index: their overlaps are counted by
+   products of matrices, and where only the components are asked for, not at all. What a family is
+   changes the cost and never the result.
 
 Tokens are 48-bit hashes. Documents with the same set are joined once, through the smallest identifier.
 """
@@ -265,8 +270,8 @@ def _weigh(buckets: int, step: int):
     return run
 
 
-def _gather(hot: int):
-    """(id, size, d1, d2, tokens, weights, voters): of each document the tokens it has in common with others, sorted, and their frequencies; hashes of the few tokens that vote."""
+def _gather(hot: int, t: float):
+    """(id, size, d1, d2, tokens, weights, cold, voters): of each document the tokens it has in common with others, sorted, and their frequencies; how many of its tokens aren't hot; hashes of the few that vote, if the hot ones could make it similar to a hub."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         info = rows[rows["kind"] == _INFO]
@@ -282,10 +287,12 @@ def _gather(hot: int):
         order = np.lexsort((hashed, docs[voter]))
         voter, hashed = docs[voter[order]], hashed[order]
         first = np.searchsorted(voter, ids, "left")
-        last = np.minimum(np.searchsorted(voter, ids, "right"), first + VOTERS)
+        last = np.searchsorted(voter, ids, "right")
+        cold = size - (last - first)
+        last = np.where(last - first >= _need(size, t), np.minimum(last, first + VOTERS), first)
         voters = [hashed[i:j] for i, j in zip(first.tolist(), last.tolist())]
         packed = [(squeeze(tokens[i:j], True), squeeze(weights[i:j])) if j > i else (None, None) for i, j in zip(low.tolist(), high.tolist())]
-        return pd.DataFrame({"id": ids, "size": size, "d1": d1, "d2": d2, "tokens": [p[0] for p in packed], "weights": [p[1] for p in packed], "voters": voters})
+        return pd.DataFrame({"id": ids, "size": size, "d1": d1, "d2": d2, "tokens": [p[0] for p in packed], "weights": [p[1] for p in packed], "cold": cold, "voters": voters})
 
     return run
 
@@ -303,12 +310,23 @@ def classes(band: int, t: float) -> int:
 
 def signatures(tokens: np.ndarray, weights: np.ndarray, size: int, frequent: int, t: float) -> np.ndarray:
     """Keys of a set; two sets of Jaccard ``t`` or more have one in common. ``tokens``: those that other sets have too."""
+    return _ranked(tokens, weights, size, frequent, t)[0]
+
+
+def _ranked(tokens: np.ndarray, weights: np.ndarray, size: int, frequent: int, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """The keys, and for each how many of the set's tokens come before it and can't be common if the pair meets first there.
+
+    A pair's first common token, if it is rare or single, has none in common before it. If there is no
+    rare one, take the first combination to be complete: up to its later token each class that was met
+    has one common token at most, and its own class two. So all tokens up to there but one for each
+    class, and one more, are not common.
+    """
     spare = size - int(_need(size, t))
     alone = size - len(tokens)
     order = np.lexsort((tokens, weights))
     tokens, rare = tokens[order], int((weights <= frequent).sum())
     single = tokens[: max(0, min(rare, spare + 1 - alone))]
-    out = [mix(single ^ _RARE)]
+    out, before = [mix(single ^ _RARE)], [alone + np.arange(len(single))]
     if alone + rare <= spare and rare < len(tokens):
         more = tokens[rare:]
         hashed = mix(more.copy())
@@ -316,46 +334,50 @@ def signatures(tokens: np.ndarray, weights: np.ndarray, size: int, frequent: int
             m = classes(band, t)
             if not m:
                 out.append(mix(more[: spare + 1 - alone - rare] ^ (_SINGLE + np.uint64(band))))
+                before.append(alone + rare + np.arange(len(out[-1])))
                 continue
             home = (hashed % np.uint64(m)).astype(np.int64)
             fresh = np.zeros(len(more), bool)
             fresh[np.unique(home, return_index=True)[1]] = True
-            reach = int(np.searchsorted(alone + rare + np.cumsum(~fresh), spare + 1)) + 1
+            passed = alone + rare + np.cumsum(~fresh)
+            reach = int(np.searchsorted(passed, spare + 1)) + 1
             own, home = more[:reach], home[:reach]
             by = np.lexsort((own, home))
-            own, home = own[by], home[by]
+            own, home, passed = own[by], home[by], passed[by]
             left = np.searchsorted(home, home, "right") - np.arange(len(home)) - 1  # later ones of the class
             i = np.repeat(np.arange(len(home)), left)
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(left) - left, left)
             out.append(mix(mix(own[i] * _LEFT + np.uint64(band)) + own[j]))
-    return np.concatenate(out)
+            before.append(np.maximum(passed[i], passed[j]) - 1)
+    return np.concatenate(out), np.concatenate(before)
 
 
 def _index_map(plan: Plan, t: float, buckets: int):
     step = postings.first_step(buckets, plan.fan)
 
-    def flush(keys: list, ids: list, sizes: list, families: list) -> pa.RecordBatch:
+    def flush(keys: list, before: list, ids: list, sizes: list, families: list) -> pa.RecordBatch:
         owner = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
-        rows = postings.index_rows(np.concatenate(keys) >> np.uint64(16), owner, np.array(ids, np.int64), np.array(sizes, np.int64), np.zeros(len(ids), np.uint8), buckets, step, families=np.array(families, np.int64))
+        rows = postings.index_rows(np.concatenate(keys) >> np.uint64(16), owner, np.array(ids, np.int64), np.array(sizes, np.int64), np.zeros(len(ids), np.uint8), buckets, step, np.concatenate(before).astype(np.uint32), np.array(families, np.int64))
         return pa.RecordBatch.from_pylist(list(rows), postings.INDEX_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            keys, ids, sizes, families, held = [], [], [], [], 0
+            keys, before, ids, sizes, families, held = [], [], [], [], [], 0
             for b in batches:
                 for i, size, tokens, weights, family in zip(*(b[c].to_pylist() for c in ("id", "size", "tokens", "weights", "family"))):
-                    found = signatures(expand(tokens), expand(weights), size, plan.frequent, t)
+                    found, ranks = _ranked(expand(tokens), expand(weights), size, plan.frequent, t)
                     if len(found):
                         keys.append(found)
+                        before.append(ranks)
                         ids.append(i)
                         sizes.append(size)
                         families.append(i if family is None else family)
                         held += len(found)
                     if held >= plan.flush:
-                        yield flush(keys, ids, sizes, families)
-                        keys, ids, sizes, families, held = [], [], [], [], 0
+                        yield flush(keys, before, ids, sizes, families)
+                        keys, before, ids, sizes, families, held = [], [], [], [], [], 0
             if held:
-                yield flush(keys, ids, sizes, families)
+                yield flush(keys, before, ids, sizes, families)
 
     return run
 
@@ -422,19 +444,20 @@ def _verified(candidates: DataFrame, sets: DataFrame, t: float) -> DataFrame:
 
 def _families(reps: DataFrame, t: float, plan: Plan) -> DataFrame | None:
     """(id, family), materialised: the sets that are similar to the hub of a family of at least ``plan.family``, and the hub; None if there are none."""
-    votes = cut(reps.select("id", "size", F.explode("voters").alias("voter")))
-    heard = cut(votes.groupBy("voter").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= plan.family).select("voter", "hub"))
+    votes = cut(reps.select("id", "size", "cold", F.explode("voters").alias("voter")))
+    heard = votes.groupBy("voter").agg(F.min(F.struct("cold", "id", "size")).alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= plan.family)
+    heard = cut(heard.select("voter", F.col("hub.id").alias("hub"), F.col("hub.cold").alias("hub_cold"), F.col("hub.size").alias("hub_size")))
     if heard.isEmpty():
         return None
-    cast = votes.join(maybe_broadcast(heard), "voter").where("id != hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= VOTES)
-    choice = cast.groupBy("id").agg(F.min(F.struct(-F.col("n"), "hub")).alias("best")).select("id", F.col("best.hub").alias("hub"))
+    cast = votes.join(maybe_broadcast(heard), "voter").where((F.col("id") != F.col("hub")) & (F.least("size", "hub_size") >= F.greatest("size", "hub_size") * F.lit(t)))
+    cast = cast.groupBy("id", "hub", "hub_cold").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= VOTES)
+    choice = cast.groupBy("id").agg(F.min(F.struct("hub_cold", -F.col("n"), "hub")).alias("best")).select("id", F.col("best.hub").alias("hub"))
     choice = cut(choice)
     hubs = cut(choice.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= plan.family - 1).select("hub"))
     if hubs.isEmpty():
         return None
     hubs = maybe_broadcast(hubs)
     asked = choice.join(hubs, "hub").join(hubs.select(F.col("hub").alias("id")), "id", "left_anti")
-    # a pair has its smaller end first; a hub is the least of those that have the token
     found = _verified(cut(asked.select(F.col("hub").alias("a"), F.col("id").alias("b"))), reps, t)
     kept = cut(found.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= plan.family - 1).select("a"))
     if kept.isEmpty():
@@ -553,21 +576,21 @@ def _group_pairs(docs: DataFrame, id_col: str, text_col: str, n: int, t: float,
     sent = postings.fan_out(sent, buckets, _respread(buckets, False), plan.fan)
     weighed = sent.groupBy("bucket").applyInPandas(_weigh(buckets, step), _TOKENS_SQL)
     weighed = postings.fan_out(weighed, buckets, _respread(buckets, True), plan.fan)
-    sets = cut(weighed.where(F.col("kind") >= _HOME).groupBy("bucket").applyInPandas(_gather(plan.hot), "id long, size long, d1 long, d2 long, tokens binary, weights binary, voters array<int>"))
+    sets = cut(weighed.where(F.col("kind") >= _HOME).groupBy("bucket").applyInPandas(_gather(plan.hot, t), "id long, size long, d1 long, d2 long, tokens binary, weights binary, cold long, voters array<int>"))
 
     keyed = sets.select("id", "size", "d1", "d2")
     least = keyed.groupBy("d1", "d2", "size").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     copies = cut(keyed.join(least.where("n > 1"), ["d1", "d2", "size"]).where("id != rep").select("id", "rep"))
     gone = maybe_broadcast(copies)
     groups = keyed.select("id").join(gone, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    reps = sets.where("tokens is not null").select("id", "size", "tokens", "weights", "voters").join(gone.select("id"), "id", "left_anti")
+    reps = sets.where("tokens is not null").select("id", "size", "tokens", "weights", "cold", "voters").join(gone.select("id"), "id", "left_anti")
     families = _families(reps, t, plan)
     placed = reps.withColumn("family", F.lit(None).cast("long")) if families is None else reps.join(maybe_broadcast(families), "id", "left")
 
     total = sets.agg(F.sum("size")).first()[0] or 0
     wide = postings.buckets_for(total // 4, max(1, shuffle_partitions(spark) // 2), plan.bucket)
     index = placed.select("id", "size", "tokens", "weights", "family").mapInArrow(_index_map(plan, t, wide), postings.INDEX)
-    candidates = cut(postings.joined_lists(index, wide, t, plan.list_block, plan.part, plan.fan).select("a", "b"))
+    candidates = cut(postings.joined_lists(index, wide, t, plan.list_block, plan.part, plan.fan, ranked=True).select("a", "b"))
     return _Joined(groups, _verified(candidates, reps, t), names, families, reps)
 
 

@@ -3,7 +3,8 @@
 A posting says that a document has a key; keys have 48 bits, their upper bits are the bucket. What a
 task sends to a bucket is one blob. Beyond ``FAN`` buckets a blob first goes to a range of buckets and
 is taken apart there, so that blobs don't become tiny as the corpus grows. Where documents have a family,
-those of one family aren't paired, nor are their pairs gone through.
+those of one family aren't paired, nor are their pairs gone through. What is ``before`` a posting is the
+character there or, where lists are ``ranked``, how many keys of its document come before it.
 """
 
 from __future__ import annotations
@@ -176,12 +177,26 @@ def _pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": expand(a), "b": expand(b), "tag": expand(tags).astype(np.int64)})
 
 
-def _pair(t: float, block: int):
+def _enough(a: np.ndarray, b: np.ndarray, left_a: np.ndarray, left_b: np.ndarray, t: float) -> np.ndarray:
+    """Whether what is left of sets of sizes ``a`` and ``b`` can be an overlap for a Jaccard similarity of ``t``, safe against rounding."""
+    return np.minimum(left_a, left_b) * (1 + t) >= (a + b) * t - 1e-6
+
+
+def _pair(t: float, block: int, ranked: bool):
     """Pairs of one bucket, or between two parts of one; lists too long for that come out in blocks."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         key, doc, before, ids, size, tag, part, family = opened(rows)
         across = rows["i"].iloc[0] != rows["j"].iloc[0]
+        if ranked:
+            # a posting that leaves too little even for the smallest set of its list
+            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+            least = np.repeat(np.minimum.reduceat(size[doc], new), np.diff(np.append(new, len(key))))
+            left = size[doc] - before
+            useful = _enough(size[doc], least, left, left, t)
+            key, doc, before = key[useful], doc[useful], before[useful]
+            if not len(key):
+                return pd.DataFrame({c.split()[0]: pd.Series(dtype=object) for c in _FOUND.split(", ")})
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
         length = np.diff(np.append(start, len(key)))
         long = length > block
@@ -197,7 +212,9 @@ def _pair(t: float, block: int):
         for i, j in meeting:
             a, b = doc[i], doc[j]
             fits = (ids[a] != ids[b]) & (np.minimum(size[a], size[b]) >= t * np.maximum(size[a], size[b]) - 1e-9)
-            if before is not None:  # a longer common run is met once, where it begins
+            if ranked:
+                fits &= _enough(size[a], size[b], size[a] - before[i], size[b] - before[j], t)
+            elif before is not None:  # a longer common run is met once, where it begins
                 fits &= (before[i] != before[j]) | (before[i] == 64)
             if across:
                 fits &= part[a] != part[b]
@@ -224,7 +241,7 @@ def _pair(t: float, block: int):
     return run
 
 
-def _pair_blocks(t: float):
+def _pair_blocks(t: float, ranked: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for same, left, right in zip(batch["same"], batch["x"], batch["y"]):
@@ -235,7 +252,10 @@ def _pair_blocks(t: float):
                     i, j = i.ravel(), j.ravel()
                     a, b = x[:, i], y[:, j]
                     fits = (a[4] != b[4]) & (np.minimum(a[1], b[1]) >= t * np.maximum(a[1], b[1]) - 1e-9)
-                    fits &= (a[3] != b[3]) | (a[3] == 64) | (a[3] == -1)
+                    if ranked:
+                        fits &= _enough(a[1], b[1], a[1] - a[3], b[1] - b[3], t)
+                    else:
+                        fits &= (a[3] != b[3]) | (a[3] == 64) | (a[3] == -1)
                     if same:
                         fits &= j > i
                     a, b = a[:, fits], b[:, fits]
@@ -244,8 +264,8 @@ def _pair_blocks(t: float):
     return run
 
 
-def joined_lists(index: DataFrame, buckets: int, t: float, block: int = LIST_BLOCK, part_postings: int = PART_POSTINGS, fan: int = FAN, by: tuple[str, ...] = ("a", "b")) -> DataFrame:
-    """(a, b, tag), a < b, once each and partitioned ``by`` columns that a join may go on with: documents that have a key in common, are of different families, and whose sizes are within the factor ``t``.
+def joined_lists(index: DataFrame, buckets: int, t: float, block: int = LIST_BLOCK, part_postings: int = PART_POSTINGS, fan: int = FAN, by: tuple[str, ...] = ("a", "b"), ranked: bool = False) -> DataFrame:
+    """(a, b, tag), a < b, once each and partitioned ``by`` columns that a join may go on with: documents that have a key in common, are of different families, and whose sizes are within the factor ``t``; ``ranked``: and have a key in common from which on both have enough left for a Jaccard similarity of ``t``.
 
     A bucket above ``part_postings`` is cut into parts, and every two parts meet in a task of their
     own; a list above ``block`` members is cut into blocks, and every two blocks meet in a row of their
@@ -265,7 +285,7 @@ def joined_lists(index: DataFrame, buckets: int, t: float, block: int = LIST_BLO
         placed = index.join(heavy, "bucket", "left_anti").select("*", *none).union(split)
     # by number, as a bucket is small in bytes and large in pairs
     tasks = min(100_000, 2 * (loads.agg(F.sum(F.expr("parts * (parts + 1) div 2"))).first()[0] or 1))
-    found = cut(placed.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(_pair(t, block), _FOUND))
+    found = cut(placed.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(_pair(t, block, ranked), _FOUND))
     pairs = found.where("a is not null").select("a", "b", "tags").mapInPandas(_pairs_of, "a long, b long, tag long")
     blocks = found.where("list is not null")
     if not blocks.isEmpty():
@@ -274,7 +294,7 @@ def joined_lists(index: DataFrame, buckets: int, t: float, block: int = LIST_BLO
         near = f"xl <= yh / {t} + 1 and yl <= xh / {t} + 1"
         meet = x.join(y, "list").where(f"((xs = -1 and xb <= yb) or xs < ys) and {near} and coalesce(xk != yk, true)")
         meet = meet.select((F.expr("xs = -1 and xb = yb")).alias("same"), "x", "y").repartition(F.xxhash64("x", "y"))
-        pairs = pairs.union(meet.mapInPandas(_pair_blocks(t), "a long, b long, tag long"))
+        pairs = pairs.union(meet.mapInPandas(_pair_blocks(t, ranked), "a long, b long, tag long"))
     return pairs.repartition(*by).distinct()
 
 
