@@ -193,6 +193,39 @@ def test_fingerprints_on_messy_rows(messy):
     assert len(rows[6]["signature"]) <= fingerprints.LENGTH
 
 
+def test_edit_distances_by_bits():
+    rng = np.random.default_rng(5)
+    size, code = np.r_[[1, 64, 64], rng.integers(1, 65, 57)], rng.integers(0, 6, (60, 64)).astype(np.uint8)
+    code[30:] = rng.integers(0, 64, (30, 64))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    text = ["".join(chr(97 + c) for c in row[:n]) for row, n in zip(code, size)]
+    want = np.array([_levenshtein(text[i], text[j]) for i, j in zip(a, b)])
+    assert (fingerprints.edit_distances(code, size, a, b) == want).all()
+    sets, rest = fingerprints._bags(code, size)
+    common = np.minimum(rest[a], rest[b]) + sum(np.bitwise_count(s[a] & s[b]).astype(int) for s in sets)
+    assert (np.maximum(size[a], size[b]) - common <= want).all()
+
+
+@pytest.mark.parametrize("block,part", [(2048, 3_000_000), (16, 3_000_000), (16, 50)])
+def test_a_line_of_many_texts_costs_no_pairs(spark, block, part, monkeypatch):
+    """Texts that share a line meet in one list; what leaves the comparison are matches, and their number doesn't depend on how lists are cut."""
+    rng, shared = random.Random(3), "the one line that every text has at its beginning, whatever comes after it in the text itself"
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    texts = [shared + " " + " ".join(word() for _ in range(rng.randint(30, 45))) for _ in range(120)]
+    texts += [t.replace(t.split()[-9], "changed") for t in texts[:30]]
+    prints = spark.createDataFrame(list(enumerate(texts)), "id long, body string").mapInArrow(fingerprints._map, "id long, bits long, one string, two string").collect()
+    sigs = {r["id"]: {r["bits"]: r["one"], r["bits"] + 1: r["two"]} for r in prints}
+    want = {(i, j): s for i in sigs for j in sigs if i < j and (s := _score(sigs[i], sigs[j])) >= fingerprints.MIN_SCORE}
+    met = sum(1 for i in sigs for j in sigs if i < j and _score(sigs[i], sigs[j]) > 0)
+    seen = []
+    cut = fingerprints.cut
+    monkeypatch.setattr(fingerprints, "cut", lambda df: (seen.append(r := cut(df)), r)[1])
+    got = fingerprints._matches(spark.createDataFrame(prints), fingerprints.MIN_SCORE, block, part).collect()
+    assert {(r["a"], r["b"]): r["score"] for r in got} == want
+    assert len(want) >= 25 and met > 10 * len(want)
+    assert max(df.count() for df in seen) < met / 2, "nothing that is stored has a row for each pair"
+
+
 # -- n-gram join
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from .arrow_text import spans, utf8
 from .common import cut, renamed, shuffle_partitions
 from .ngram_join import one_row_per_id
 from .ngrams import mix
-from .postings import INDEX, INDEX_ARROW, buckets_for, first_step, index_rows, joined_lists
+from .postings import INDEX, INDEX_ARROW, PART_POSTINGS, PairSet, buckets_for, cross_left, cross_pairs, first_step, index_rows, list_members
 
 WINDOW, LEAST_BITS, LENGTH, RUN = 7, 3, 64, 3
 #: Characters in a row that two signatures have in common to be compared.
@@ -158,19 +159,109 @@ def _post(buckets: int, step: int):
     return run
 
 
-def _matches(reps: DataFrame, min_score: int) -> DataFrame:
-    """(a, b, score) of different fingerprints, a < b."""
+def _codes(packed: np.ndarray) -> np.ndarray:
+    """Rows of six-bit characters, ``LENGTH`` in each, of byte strings of up to three quarters of that."""
+    data = np.frombuffer(b"".join(x.ljust(LENGTH * 3 // 4, b"\0") for x in packed), np.uint8).reshape(len(packed), -1, 3).astype(np.uint32)
+    word = data[:, :, 0] << 16 | data[:, :, 1] << 8 | data[:, :, 2]
+    return np.stack([(word >> s & 63).astype(np.uint8) for s in (18, 12, 6, 0)], 2).reshape(len(packed), LENGTH)
+
+
+def _bags(code: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each signature: sets of the characters it has at least once, twice and so on, as bits; and how many characters those leave out."""
+    here = np.arange(LENGTH) < size[:, None]
+    flat = (np.arange(len(code))[:, None] * 64 + code)[here]
+    count = np.bincount(flat, minlength=64 * len(code)).reshape(len(code), 64)
+    sets = [np.packbits(count > k, axis=1).view(np.uint64).ravel() for k in range(4)]
+    return sets, np.maximum(count - 4, 0).sum(1)
+
+
+def edit_distances(code: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Levenshtein distances of the rows ``a`` and ``b`` of ``code``, of ``size`` characters from 1 to 64, a bit for each (Myers, 1999; Hyyrö, 2003)."""
+    rows, at = np.unique(a, return_inverse=True)
+    where = np.zeros((len(rows), 64), np.uint64)
+    for k in range(int(size[rows].max())):
+        has = np.flatnonzero(size[rows] > k)
+        where[has, code[rows[has], k]] |= np.uint64(1 << k)
+    where, at = where.ravel(), at * 64
+    one, top, end = np.uint64(1), (size[a] - 1).astype(np.uint64), size[b]
+    up, down, score = np.full(len(a), ~np.uint64(0)), np.zeros(len(a), np.uint64), size[a].astype(np.int64)
+    out = np.zeros(len(a), np.int64)
+    for k in range(int(end.max())):
+        eq = where[at + code[b, k]]
+        x = (((eq & up) + up) ^ up) | eq
+        plus, minus = down | ~(x | up), up & x
+        score += (plus >> top & one).astype(np.int64) - (minus >> top & one).astype(np.int64)
+        plus, minus, eq = plus << one | one, minus << one, eq | down
+        up, down = minus | ~(eq | plus), plus & eq
+        out[end == k + 1] = score[end == k + 1]
+    return out
+
+
+def _meet(min_score: int, step: int = 50_000):
+    """(a, b, score) of the members of lists, or of two blocks of one list, that score at least ``min_score``."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        across = bool(rows["i"].iloc[0] != rows["j"].iloc[0])
+        ids, tag, block = (rows[c].to_numpy(np.int64) for c in ("id", "tag", "block"))
+        order = np.lexsort((tag, ids))
+        new = np.r_[True, (ids[order][1:] != ids[order][:-1]) | (tag[order][1:] != tag[order][:-1])]
+        first, own = order[new], np.empty(len(ids), np.int64)
+        own[order] = np.cumsum(new) - 1
+        size = rows["n"].to_numpy(np.int64)[first]
+        code = _codes(rows["sig"].to_numpy()[first])
+        (sets, rest), doc = _bags(code, size), ids[first]
+        lists, before = rows["list"].to_numpy(np.int64), rows["before"].to_numpy(np.int64)
+        before = np.where(before == 64, 64 + np.arange(len(before)), before)
+        order = np.lexsort((before, lists))
+        own, block, tag = own[order], block[order], tag[order]
+        pairs = PairSet()
+        for i, j in cross_pairs(*cross_left(lists[order], before[order])):
+            a, b = own[i], own[j]
+            most = np.maximum(size[a], size[b])
+            fits = (doc[a] != doc[b]) & (tag[i] == tag[j]) & (np.minimum(size[a], size[b]) * 100 >= min_score * most)
+            if across:
+                fits &= block[i] != block[j]
+            a, b, most = a[fits], b[fits], most[fits]
+            # no alignment keeps more characters than the two have in common
+            common = np.minimum(rest[a], rest[b])
+            for s in sets:
+                common += np.bitwise_count(s[a] & s[b])
+            fits = common * 100 >= min_score * most
+            a, b = a[fits], b[fits]
+            swap = doc[a] > doc[b]
+            pairs.add(np.where(swap, b, a).astype(np.uint64) << np.uint64(32) | np.where(swap, a, b).astype(np.uint64))
+        codes = pairs.settle()
+        a, b = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        score = np.zeros(len(a), np.int64)
+        for k in range(0, len(a), step):
+            x, y = a[k : k + step], b[k : k + step]
+            most = np.maximum(size[x], size[y])
+            score[k : k + step] = 100 * (most - edit_distances(code, size, x, y)) // most
+        good = score >= min_score
+        return pd.DataFrame({"a": doc[a[good]], "b": doc[b[good]], "score": score[good].astype(np.int32)})
+
+    return run
+
+
+def _matches(reps: DataFrame, min_score: int, block: int = 2048, part_postings: int = PART_POSTINGS) -> DataFrame:
+    """(a, b, score) of different fingerprints, a < b.
+
+    Signatures go to the lists of the runs that they share, and pairs are compared where they meet:
+    only those that match leave a task, so that a line which many texts have costs no shuffle of its pairs.
+    """
     sigs = cut(reps.select("id", F.explode(F.array(F.struct("bits", F.col("one").alias("sig")), F.struct((F.col("bits") + 1).alias("bits"), F.col("two").alias("sig")))).alias("s")).select("id", "s.*"))
     count = sigs.agg(F.sum(F.length("sig"))).first()[0] or 0
     buckets = buckets_for(count, max(1, shuffle_partitions(reps.sparkSession) // 4), BUCKET_POSTINGS)
-    # one exchange serves both the pairs' distinctness and the first join; signatures travel as six bits a character
-    found = joined_lists(sigs.mapInArrow(_post(buckets, first_step(buckets)), INDEX), buckets, min_score / 100, by=("a", "tag"))
-    packed = F.unbase64(F.expr("rpad(sig, (length(sig) + 3) div 4 * 4, 'A')"))
-    side = lambda k: sigs.select(F.col("id").alias(k), F.col("bits").alias("tag"), packed.alias(f"p{k}"), F.length("sig").cast("tinyint").alias(f"n{k}"))
-    found = found.join(side("a"), ["a", "tag"]).join(side("b"), ["b", "tag"])
-    found = found.select("a", "b", *[F.expr(f"substring(base64(p{k}), 1, n{k})").alias(f"s{k}") for k in "ab"])
-    score = F.expr("100 * (greatest(length(sa), length(sb)) - levenshtein(sa, sb)) div greatest(length(sa), length(sb))")
-    return found.select("a", "b", score.cast("int").alias("score")).where(F.col("score") >= min_score).groupBy("a", "b").agg(F.max("score").alias("score"))
+    members = cut(list_members(sigs.mapInArrow(_post(buckets, first_step(buckets)), INDEX), buckets, block, part_postings))
+    packed = F.unbase64(F.expr("rpad(sig, (length(sig) + 3) div 4 * 4, 'A')"))  # six bits a character
+    rows = members.join(sigs.select("id", F.col("bits").alias("tag"), packed.alias("sig"), F.length("sig").alias("n")), ["id", "tag"])
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # the lists of a bucket together, those of several blocks by two blocks each
+    rows = rows.select(F.when(F.col("blocks") > 1, F.col("list")).otherwise(-1 - F.col("bucket")).alias("at"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "list", "id", "tag", "before", "block", "sig", "n")
+    hot = members.where("blocks > 1").select("list", "blocks").distinct().agg(F.sum(F.expr("blocks * (blocks + 1) div 2"))).first()[0] or 0
+    tasks = min(100_000, 2 * (buckets + hot))
+    found = rows.repartition(tasks, "at", "i", "j").groupBy("at", "i", "j").applyInPandas(_meet(min_score), "a long, b long, score int")
+    return found.groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
 def _compared(docs: DataFrame, id_col: str, text_col: str, min_score: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:

@@ -1,4 +1,4 @@
-"""Postings in numpy: blobs that go to buckets, and the self-join of a bucket's lists.
+"""Postings in numpy: blobs that go to buckets, and the self-join of a bucket's lists or the members of these.
 
 A posting says that a document has a key; keys have 48 bits, their upper bits are the bucket. What a
 task sends to a bucket is one blob. Beyond ``FAN`` buckets a blob first goes to a range of buckets and
@@ -298,5 +298,55 @@ def joined_lists(index: DataFrame, buckets: int, t: float, block: int = LIST_BLO
     return pairs.repartition(*by).distinct()
 
 
+_MEMBERS = "bucket long, list long, id long, tag long, before long, block long, blocks long"
+
+
+def _members_of(block: int):
+    """Members of a bucket's lists in which some two have different characters before them, in blocks by size."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        key, doc, before, ids, size, tag, _, _ = opened(rows)
+        order = np.lexsort((size[doc], key))
+        key, doc, before = key[order], doc[order], before[order]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        length = np.diff(np.append(start, len(key)))
+        low, high = np.minimum.reduceat(before, start), np.maximum.reduceat(before, start)
+        meets = np.repeat((length > 1) & ((low != high) | (high == 64)), length)
+        place, blocks = np.arange(len(key)) - np.repeat(start, length), np.repeat(-(-length // block), length)
+        cols = (key.astype(np.int64), ids[doc], tag[doc], before.astype(np.int64), place // block, blocks)
+        out = pd.DataFrame({c: x[meets] for c, x in zip(("list", "id", "tag", "before", "block", "blocks"), cols)})
+        out.insert(0, "bucket", rows["bucket"].iloc[0])
+        return out
+
+    return run
+
+
+def _all_postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for k in range(len(batch)):
+            one = batch.iloc[k : k + 1]
+            key, doc, before, ids, _, tag, _, _ = opened(one)
+            yield pd.DataFrame({"bucket": one["bucket"].iloc[0], "list": key.astype(np.int64), "id": ids[doc], "tag": tag[doc], "before": before.astype(np.int64)})
+
+
+def list_members(index: DataFrame, buckets: int, block: int = LIST_BLOCK, part_postings: int = PART_POSTINGS, fan: int = FAN) -> DataFrame:
+    """(bucket, list, id, tag, before, block, blocks): the lists in which two documents may have different characters before a key, cut into blocks of about ``block`` members.
+
+    A run of equal lists is thus met once, where it begins, and lists of one document are gone. What comes
+    out is no more than the postings, whatever the number of pairs in them. The lists of a bucket above
+    ``part_postings`` aren't held by one task but found by an aggregate, in blocks by hash.
+    """
+    index = cut(fan_out(index, buckets, lambda step: _respread_index(buckets, step), fan))
+    heavy = cut(index.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > part_postings).select("bucket"))
+    if heavy.isEmpty():
+        return index.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_members_of(block), _MEMBERS)
+    heavy = maybe_broadcast(heavy)
+    found = index.join(heavy, "bucket", "left_anti").repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_members_of(block), _MEMBERS)
+    rows = cut(index.join(heavy, "bucket").mapInPandas(_all_postings, "bucket long, list long, id long, tag long, before long"))
+    sizes = rows.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("before").alias("low"), F.max("before").alias("high")).where("n > 1 and (low != high or high = 64)")
+    sizes = sizes.select("list", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
+    return found.unionByName(rows.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).select(*found.columns))
+
+
 def buckets_for(postings: int, least: int, each: int) -> int:
     return max(least, math.ceil(postings / each), 1)
