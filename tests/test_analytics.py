@@ -4,6 +4,7 @@ import json
 import math
 import random
 from dataclasses import replace
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,22 @@ def test_detector_against_a_running_mean(spark, tmp_path):
     assert anomaly.Detector.load(str(tmp_path / "m.json")) == d and "F44_duration" in d.summary()
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_statistics_are_exact(spark, partitions):
+    """As many digits of a large variance as are shown, in whatever order rows come; and values beyond four digits or above a thousand million."""
+    n = 200_000
+    cents = [k * 7919 * 7919 % 400_000_007 for k in range(n)]
+    s, q = sum(cents), sum(c * c for c in cents)
+    rows = spark.range(0, n, 1, partitions).select((F.expr("id * 7919 * 7919 % 400000007") / 100).alias("x"), (F.col("id") / 3).alias("y"), (F.col("id") * 1e6).alias("z"))
+    got = {r["name"]: r for r in anomaly.feature_stats(rows, src="", names=("x", "y", "z")).collect()}
+    exact = Fraction(n * q - s * s, n * 10_000)
+    assert abs(Fraction(got["x"]["m2"]) / exact - 1) < Fraction(1, 2**52)
+    assert got["x"]["mean"] == s / n / 100
+    whole = Fraction(n * (n * n - 1), 12)
+    assert got["y"]["m2"] == pytest.approx(float(whole / 9), rel=1e-12) and got["z"]["m2"] == pytest.approx(float(whole * 10**12), rel=1e-12)
+    assert got["y"]["mean"] == pytest.approx((n - 1) / 6, rel=1e-14) and got["z"]["mean"] == pytest.approx((n - 1) / 2 * 1e6, rel=1e-14)
+
+
 def test_only_above_the_threshold(spark):
     d = anomaly.Detector(stats={k: (200, 0.0, 199.0) for k in anomaly.WATCHED}, trained=True)
     got = [r["statistical_anomaly"] for r in anomaly.score(_rows(spark, [{"F44_duration": 3.0}, {"F44_duration": -3.5}, {"F44_duration": float("nan")}]), d, src="").orderBy("i").collect()]

@@ -80,12 +80,37 @@ def _said(x: Column, kind: str) -> Column:
     return F.regexp_replace(F.regexp_replace(fixed(x, 4), "0+$", ""), r"\.$", ".0")
 
 
+#: Values up to a thousand million, to the digits that features have.
+_EXACT = "decimal(13,4)"
+
+
+def _sums(x: Column) -> dict[str, Column]:
+    """Aggregates of a value: of its first four digits exactly, and of what is left of it."""
+    q = F.when(F.abs(x) < 1e9, F.round(x, 4).cast(_EXACT)).when(x.isNotNull(), F.lit(0).cast(_EXACT))
+    d = q.cast("double")
+    r = x - d
+    return {"n": F.count(x), "s": F.sum(q), "q": F.sum(q * q), "r": F.sum(r), "var": F.var_samp(r), "cov": F.covar_samp(d, r)}
+
+
+def _squares(k: str) -> Column:
+    """Sum of squared deviations: exactly from ``mu``, a mean of four digits, less what that is ``off``; then what values have beyond that."""
+    s, n, mu, off = (F.col(f"{p}_{k}") for p in ("s", "n", "mu", "off"))
+    first = (F.col(f"q_{k}") - mu * (s + off)).cast("double") - off.cast("double") * off.cast("double") / n
+    return F.when(n > 1, first + (2 * F.col(f"cov_{k}") + F.col(f"var_{k}")) * (n - 1))
+
+
 def feature_stats(rows: DataFrame, src: str = "features", names: tuple[str, ...] = WATCHED) -> DataFrame:
-    """(name, count, mean, m2): one partial aggregate over all rows; missing values and NaN don't count."""
-    aggs = [f(_numeric(k, src)).alias(f"{p}_{k}") for k in names for p, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))]
+    """(name, count, mean, m2): one partial aggregate over all rows; missing values and NaN don't count.
+
+    Sums are exact up to the fourth digit after the point, so they don't depend on the order of the rows.
+    """
+    aggs = [c.alias(f"{p}_{k}") for k in names for p, c in _sums(_numeric(k, src)).items()]
     one = rows.agg(*aggs)
-    m2 = lambda k: F.coalesce(F.col(f"var_{k}") * (F.col(f"n_{k}") - 1), F.lit(0.0))
-    packed = F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"n_{k}").alias("count"), F.coalesce(f"mean_{k}", F.lit(0.0)).alias("mean"), m2(k).alias("m2")) for k in names])
+    one = one.select("*", *[F.coalesce(F.col(f"s_{k}") / F.col(f"n_{k}"), F.lit(0)).cast(_EXACT).alias(f"mu_{k}") for k in names])
+    one = one.select("*", *[(F.col(f"s_{k}") - F.col(f"mu_{k}") * F.col(f"n_{k}").cast("decimal(12,0)")).cast("decimal(23,4)").alias(f"off_{k}") for k in names])
+    mean = lambda k: F.coalesce((F.col(f"s_{k}").cast("double") + F.col(f"r_{k}")) / F.col(f"n_{k}"), F.lit(0.0))
+    m2 = lambda k: F.coalesce(_squares(k), F.lit(0.0))
+    packed = F.array(*[F.struct(F.lit(k).alias("name"), F.col(f"n_{k}").alias("count"), mean(k).alias("mean"), m2(k).alias("m2")) for k in names])
     return one.select(F.explode(packed).alias("s")).select("s.*")
 
 
