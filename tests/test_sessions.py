@@ -10,9 +10,12 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
 from vigilspark import catalog, cli
+from vigilspark.catalog import KEYWORDS, TOTALS
 from vigilspark.functions.columns import decoded_payloads, hits, looks_like_typo, occurrences, rounded
 from vigilspark.operators import agents, documents, features, labeler, sessionize
+from vigilspark.plans import stored
 from vigilspark.session import Settings, load_env
 from vigilspark.sources import adapter, geo, logs, records
 from vigilspark.streaming.sessions import flush_sessions, stream_sessions
@@ -342,3 +345,51 @@ def test_a_table_keeps_its_mapping(spark, tmp_path):
     records.create_table(spark, path, d.schema, replace=True)
     records.insert(d, path)
     assert records.read_table(spark, path).count() == 2
+
+
+@pytest.mark.parametrize("known,longest", [(4096, 2048), (3, 2048), (4096, 12)])
+def test_known_commands_get_the_answers_of_the_others(spark, known, longest, monkeypatch):
+    """Commands that are looked at once, in a table, and those looked at in their rows."""
+    events = adapter.log_events(spark, SMALL)
+    cols = [*KEYWORDS, *TOTALS, *sessionize.MASKS, "obfuscation", "any_suspicious", "n_plain_unknown"]
+    rows = lambda: sorted(map(str, sessionize.sessions(events, keywords=True, rules=True).select("session_id", "seg", *cols).collect()))
+    monkeypatch.setattr(sessionize, "KNOWN", 0)
+    want = rows()
+    monkeypatch.setattr(sessionize, "KNOWN", known)
+    monkeypatch.setattr(sessionize, "LONGEST", longest)
+    assert rows() == want and len(want) > 40
+    texts = events.select(sessionize.command_text().alias("c")).where("c is not null").distinct()
+    looked = []
+    catalog = sessionize.with_catalog
+    monkeypatch.setattr(sessionize, "with_catalog", lambda df, *more: (looked.append(df), catalog(df, *more))[1])
+    sessionize.sessions(events, keywords=True, rules=True)
+    table, in_rows = looked
+    assert table.count() == min(known, texts.where(F.octet_length("c") <= longest).count())
+    assert in_rows.where("__text is not null").select("__text").distinct().count() == texts.count() - table.count()
+
+
+def test_sessions_without_any_command(spark):
+    s = sessionize.sessions(adapter.log_events(spark, SMALL).where("kind = 'session.connect'"), keywords=True, rules=True)
+    row = s.agg(F.count(F.lit(1)), F.sum("mask0"), F.sum("F1_keyword_bash"), F.count_if("any_suspicious"), F.count("obfuscation")).first()
+    assert row[0] > 0 and row[4] == row[0] and row[1:4] == (0, 0, 0)
+
+
+@pytest.mark.parametrize("name", ["o019_sink"])
+def test_documents_are_made_once(spark, name, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+    labelled = documents.labelled
+
+    def counted(events, *more):
+        rows = labelled(events, *more)
+
+        def tell(batches):
+            for b in batches:
+                made.add(b.num_rows)
+                yield b
+
+        return rows.mapInArrow(tell, rows.schema)
+
+    want = labelled(adapter.log_events(spark, SMALL)).count()
+    monkeypatch.setattr(documents, "labelled", counted)
+    stored.QUERIES[name](spark, SMALL).collect()
+    assert made.value == want

@@ -12,6 +12,8 @@ KEYS = ("location", "session", "seg")
 #: Bits of a rule mask; the catalog needs two.
 MASK_BITS = 45
 MASKS = tuple(f"mask{i}" for i in range(-(-len(RULES) // MASK_BITS)))
+#: Distinct commands that are looked at once, and bytes of the longest of them.
+KNOWN, LONGEST = 4096, 2048
 DEFAULT_PORT, DEFAULT_PROTOCOL = 22, "1"
 
 
@@ -37,13 +39,13 @@ def mask_sql(text: str, k: int) -> str:
     return " | ".join(f"if({hits_sql(text, r.pattern)}, {1 << r.bit % MASK_BITS}L, 0L)" for r in RULES if r.bit // MASK_BITS == k)
 
 
-def with_rule_bits(events: DataFrame) -> DataFrame:
-    """Rule masks of each command and of the payloads decoded from it; whether it hides something; whether it reads like a mistake."""
-    cmd = F.col("__cmd")
+def with_rule_bits(rows: DataFrame) -> DataFrame:
+    """Rule masks of each ``__text`` and of the payloads decoded from it; whether it hides something; whether it reads like a mistake."""
+    cmd = F.col("__text")
     pipe = hits(cmd, DECODE_PIPE)
     hidden = pipe | hits(cmd, DECODE_BARE) | hits(cmd, ESCAPE_PIPE) | (occurrences(cmd, ESCAPE) >= 3)
-    rows = events.withColumn("__cmd", command_text()).withColumn("__decoded", F.when(pipe, decoded_payloads(cmd)))
-    rows = rows.withColumns({m: F.expr(f"if(__cmd is null, null, {mask_sql('__cmd', k)})") for k, m in enumerate(MASKS)})
+    rows = rows.withColumn("__decoded", F.when(pipe, decoded_payloads(cmd)))
+    rows = rows.withColumns({m: F.expr(f"if(__text is null, null, {mask_sql('__text', k)})") for k, m in enumerate(MASKS)})
     inner = {m: F.expr(f"if(coalesce(size(__decoded), 0) > 0, {m} | aggregate(__decoded, 0L, (acc, x) -> acc | {mask_sql('x', k)}), {m})") for k, m in enumerate(MASKS)}
     rows = rows.withColumns(inner).withColumn("hidden", hidden).withColumn("suspicious", is_suspicious(cmd))
     unmatched = F.col(MASKS[0]).bitwiseOR(F.col(MASKS[1])) == 0
@@ -51,6 +53,34 @@ def with_rule_bits(events: DataFrame) -> DataFrame:
     return rows.withColumn("plain_unknown", F.coalesce(F.when(unmatched & ~F.col("suspicious"), ~looks_like_typo(cmd)), F.lit(False)))
 
 
+def with_catalog(rows: DataFrame, keywords: bool, rules: bool) -> DataFrame:
+    """What the catalog says of each ``__text``: keyword hits and totals, and rule bits."""
+    if keywords:
+        rows = rows.withColumns({name: F.expr(hits_sql("__text", p)) for name, p in KEYWORDS.items()} | {name: occurrences(F.col("__text"), p) for name, p in TOTALS.items()})
+    return with_rule_bits(rows).drop("__decoded") if rules else rows
+
+
+def examined(rows: DataFrame, keywords: bool, rules: bool) -> DataFrame:
+    """``rows`` with ``__cmd`` and what the catalog says of it.
+
+    Few commands make up most of a log, and the catalog has some hundred patterns. Up to
+    ``KNOWN`` distinct commands are looked at once, in a table that is broadcast; the others, and those
+    longer than ``LONGEST`` bytes, in their rows. The answer is the same for both.
+    """
+    rows = rows.withColumn("__cmd", command_text())
+    if not (keywords or rules):
+        return rows
+    known = [] if rows.isStreaming else rows.select("__cmd").where(F.octet_length("__cmd") <= LONGEST).distinct().limit(KNOWN).collect()
+    if not known:
+        return with_catalog(rows.withColumn("__text", F.col("__cmd")), keywords, rules)
+    once = with_catalog(rows.sparkSession.createDataFrame(known, "__text string"), keywords, rules)
+    said = [c for c in once.columns if c != "__text"]
+    once = once.select(F.col("__text").alias("__known"), *[F.col(c).alias(f"__known_{c}") for c in said])
+    # a known command leaves no text to look at
+    rows = rows.join(F.broadcast(once), F.col("__cmd") == F.col("__known"), "left").withColumn("__text", F.when(F.col("__known").isNull(), F.col("__cmd")))
+    return with_catalog(rows, keywords, rules).withColumns({c: F.coalesce(f"__known_{c}", c) for c in said})
+
+
 def sessions(events: DataFrame, keywords: bool = False, rules: bool = False) -> DataFrame:
     """A row for each session; ``keywords`` and ``rules`` add the sums and masks that features and labels need.
 
@@ -59,7 +89,7 @@ def sessions(events: DataFrame, keywords: bool = False, rules: bool = False) ->
     the last counts, be it null. Columns that aren't asked for later are pruned from the aggregate.
     """
     rows = segments(events)
-    rows = with_rule_bits(rows) if rules else rows.withColumn("__cmd", command_text())
+    rows = examined(rows, keywords, rules)
     cmd = F.col("__cmd")
     last = lambda x, kind: F.max_by(x, F.when(is_kind(kind), F.col("seq")))
     in_order = lambda test, **cols: F.array_sort(F.collect_list(F.when(test, F.struct("seq", *[F.col(c).alias(k) if isinstance(c, str) else c.alias(k) for k, c in cols.items()]))))
@@ -81,7 +111,7 @@ def sessions(events: DataFrame, keywords: bool = False, rules: bool = False) ->
         "__forwards": in_order(is_kind("direct-tcpip.request"), dst_ip="dst_ip", dst_port="dst_port"),
     }
     if keywords:
-        aggs |= {name: F.expr(f"count_if({hits_sql('__cmd', p)})") for name, p in KEYWORDS.items()} | {name: F.sum(occurrences(cmd, p)) for name, p in TOTALS.items()}
+        aggs |= {name: F.count_if(name) for name in KEYWORDS} | {name: F.sum(name) for name in TOTALS}
     if rules:
         aggs |= {m: F.coalesce(F.bit_or(m), F.lit(0).cast("long")) for m in MASKS}
         aggs |= {"obfuscation": F.bool_or("hidden"), "any_suspicious": F.bool_or("suspicious"), "n_plain_unknown": F.count_if("plain_unknown"), "first_seq": F.min("seq")}

@@ -170,7 +170,7 @@ def o012_geo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def o019_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table made with its mapping, documents inserted twice over, replaced once: what the sink counted beside what a reader finds."""
-    d, path = documents.nested(documents.labelled(adapter.log_events(spark, sf_dir))), folder(spark, "table")
+    d, path = agents.durable(documents.nested(documents.labelled(adapter.log_events(spark, sf_dir)))), folder(spark, "table")
     records.create_table(spark, path, d.schema)
     records.insert(d, path)
     records.create_table(spark, path, d.schema, replace=True)
