@@ -374,7 +374,7 @@ def test_sessions_without_any_command(spark):
     assert row[0] > 0 and row[4] == row[0] and row[1:4] == (0, 0, 0)
 
 
-@pytest.mark.parametrize("name", ["o019_sink"])
+@pytest.mark.parametrize("name", ["o019_sink", "o153_reanalyze"])
 def test_documents_are_made_once(spark, name, monkeypatch):
     made = spark.sparkContext.accumulator(0)
     labelled = documents.labelled

@@ -336,7 +336,7 @@ def o142_flag_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents.flat(documents.labelled(adapter.log_events(spark, sf_dir)), stamp=False, keep=("seg", "first_seq"))
+    rows = agents.durable(documents.flat(documents.labelled(adapter.log_events(spark, sf_dir)), stamp=False, keep=("seg", "first_seq")))
     return anomaly.score(rows, anomaly.train(rows))
 
 
