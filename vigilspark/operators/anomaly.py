@@ -94,8 +94,9 @@ def _sums(x: Column) -> dict[str, Column]:
 
 def _squares(k: str) -> Column:
     """Sum of squared deviations: exactly from ``mu``, a mean of four digits, less what that is ``off``; then what values have beyond that."""
+    # a wider factor would cost the difference its eighth digit
     s, n, mu, off = (F.col(f"{p}_{k}") for p in ("s", "n", "mu", "off"))
-    first = (F.col(f"q_{k}") - mu * (s + off)).cast("double") - off.cast("double") * off.cast("double") / n
+    first = (F.col(f"q_{k}") - mu * (s + off).cast("decimal(22,4)")).cast("double") - off.cast("double") * off.cast("double") / n
     return F.when(n > 1, first + (2 * F.col(f"cov_{k}") + F.col(f"var_{k}")) * (n - 1))
 
 
